@@ -12,8 +12,17 @@ from patronage.session import spread
 ORDER_COLUMNS = {"customer_id", "invoice_date", "invoice_year", "invoice_month", "invoice_yearmonth", "invoice_date_only"}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+_scans: dict[tuple[str, str, bool], DataFrame] = {}
+
+
+def table(spark: SparkSession, folder: str, name: str, large: bool = False) -> DataFrame:
+    """A scan, its schema read once per application; ``large`` tables are spread over the cores."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, large)
+    if key not in _scans:
+        scan = spark.read.parquet(path)
+        _scans[key] = spread(scan) if large else scan
+    return _scans[key]
 
 
 def date_parts(date: str) -> dict[str, Column]:
@@ -27,7 +36,7 @@ def date_parts(date: str) -> dict[str, Column]:
 
 def _lines(spark: SparkSession, folder: str, wanted: set[str], condition: Column) -> DataFrame:
     """Order lines that meet ``condition`` with only the joins the wanted columns need."""
-    out = spread(table(spark, folder, "lineitem")).where(condition)
+    out = table(spark, folder, "lineitem", large=True).where(condition)
     if wanted & (ORDER_COLUMNS | {"o_orderstatus", "o_orderpriority"}):
         out = out.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "description" in wanted:
@@ -102,7 +111,7 @@ def length_topic(chars: Column) -> Column:
 
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as complaints: language is the product, source the issue, the quality label timeliness."""
-    docs, labels = spread(table(spark, folder, "documents")), table(spark, folder, "labels")
+    docs, labels = table(spark, folder, "documents", large=True), table(spark, folder, "labels")
     rated = docs.join(labels, "doc_id", "left")
     return rated.select(
         F.col("doc_id").alias("complaint_id"),
