@@ -13,6 +13,7 @@ from patronage.operators import (
     statistics, tfidf, topics, vectors,
 )
 from patronage.plans import customer360 as chain, report_suite
+from patronage.session import pin
 from patronage.sources import readers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,7 +351,8 @@ def rfm_segment_overview(spark, folder):
 
 @query()
 def churn_labels(spark, folder):
-    return churn.churn_labels(lines(spark, folder, "customer_id", "invoice_date"), chain.CUTOFF)
+    spans = pin(churn.purchase_spans(lines(spark, folder, "customer_id", "invoice_date")))
+    return churn.churn_labels(spans, chain.CUTOFF)
 
 
 @query()

@@ -28,28 +28,33 @@ def prediction(sales: DataFrame, cutoff: str) -> DataFrame:
     return sales.where(F.col("invoice_date") >= moment(cutoff))
 
 
-def churn_labels(sales: DataFrame, cutoff: str) -> DataFrame:
-    """Customers seen before the cutoff, labelled by whether they come back; one grouping, no join."""
-    in_observation = F.col("invoice_date") < moment(cutoff)
-    seen = sales.groupBy("customer_id").agg(
-        F.max(flag(in_observation)).alias("_obs"),
-        F.max(flag(~in_observation)).alias("purchased_in_prediction"),
-        F.min("invoice_date").alias("_first"),
-        F.max("invoice_date").alias("_last"),
+def purchase_spans(sales: DataFrame) -> DataFrame:
+    """First and last line of every customer."""
+    return sales.groupBy("customer_id").agg(
+        F.min("invoice_date").alias("first_line_date"), F.max("invoice_date").alias("last_line_date")
     )
-    # two values over the customer rows, not over the lines
-    start = seen.agg(F.min("_first")).scalar()
-    end = seen.agg(F.max("_last")).scalar()
-    cut = F.to_date(moment(cutoff))
-    return seen.where(F.col("_obs") == 1).select(
+
+
+def churn_labels(spans: DataFrame, cutoff: str) -> DataFrame:
+    """Customers seen before the cutoff, labelled by whether they come back.
+
+    A customer bought before the cutoff when the first line is earlier, and after it when the last
+    line is not: the labels need neither the lines nor a join. ``spans`` should be stored, as the
+    ends of the data are read from it too.
+    """
+    first, last, cut = F.col("first_line_date"), F.col("last_line_date"), moment(cutoff)
+    start = spans.agg(F.min(first)).scalar()
+    end = spans.agg(F.max(last)).scalar()
+    returned = flag(last >= cut)
+    return spans.where(first < cut).select(
         "customer_id",
         F.to_date(start).alias("observation_start_date"),
-        F.date_sub(cut, 1).alias("observation_end_date"),
-        cut.alias("prediction_start_date"),
+        F.date_sub(F.to_date(cut), 1).alias("observation_end_date"),
+        F.to_date(cut).alias("prediction_start_date"),
         F.to_date(end).alias("prediction_end_date"),
         F.lit(1).alias("purchased_in_observation"),
-        "purchased_in_prediction",
-        (1 - F.col("purchased_in_prediction")).alias("churned"),
+        returned.alias("purchased_in_prediction"),
+        (1 - returned).alias("churned"),
     )
 
 

@@ -15,11 +15,13 @@ from patronage.functions.numeric import ratio, round_half_up
 from patronage.functions.rules import flag
 from patronage.operators.churn import predictions
 from patronage.operators.ranking import global_position, running_totals
+from patronage.session import pin
 
 LABEL, KEY = "churned", "customer_id"
 CATEGORICAL = ["obs_country_mode"]
 EXCLUDED = [KEY, LABEL, "purchased_in_prediction", "obs_first_purchase_date", "obs_last_purchase_date", *CATEGORICAL]
 NUMERIC = [c for c in CHURN_BASE_COLUMNS if c not in EXCLUDED]
+ROWS_PER_TASK = 50_000
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
 
 
@@ -93,6 +95,8 @@ def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, **sizes: in
     """Fit the named models on prepared training rows."""
     train = typed(train)
     n_train = train.count()
+    # the trainers make hundreds of passes: few, well-filled partitions, stored
+    train = pin(train.coalesce(max(1, -(-n_train // ROWS_PER_TASK))))
     fill = {c: most_frequent_value(train, c) for c in CATEGORICAL}
     train = train.fillna({c: v for c, v in fill.items() if v is not None})
     makers = {

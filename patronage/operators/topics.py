@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from patronage.session import pin
 
@@ -136,7 +136,7 @@ def document_topics(model: TopicModel, docs: DataFrame, key: str) -> DataFrame:
                 w = _batch_weights(pdf, shared.value)[0]
                 yield pd.DataFrame({key: pdf[key], "topic_weights": list(w)})
 
-    schema = docs.select(key).schema.add("topic_weights", "array<double>")
+    schema = docs.select(key).schema.add("topic_weights", T.ArrayType(T.DoubleType()))
     return docs.mapInPandas(run, schema)
 
 

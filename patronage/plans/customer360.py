@@ -29,17 +29,22 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tables.sales(spark, folder, features.SALES_COLUMNS)
 
 
+def build_base(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(spark, folder, "customer_base", lambda: features.customer_base(sales_lines(spark, folder)))
+
+
 def build_features(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        base = pin(features.customer_base(sales_lines(spark, folder)))
-        return features.customer_features(base, tables.returns(spark, folder, features.RETURN_COLUMNS))
+        returned = tables.returns(spark, folder, features.RETURN_COLUMNS)
+        return features.customer_features(build_base(spark, folder), returned)
 
     return stage(spark, folder, "customer_features", build)
 
 
 def build_labels(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
-    lines = tables.sales(spark, folder, ["customer_id", "invoice_date"])
-    return stage(spark, folder, f"churn_labels {cutoff}", lambda: churn.churn_labels(lines, cutoff))
+    """Labels straight from the customer rows: a customer-sized read, not stored again."""
+    spans = build_base(spark, folder).withColumnRenamed("first_purchase_date", "first_line_date")
+    return churn.churn_labels(spans, cutoff)
 
 
 def build_churn_base(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:

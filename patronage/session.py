@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
+    """Store ``df`` as a table in the shared checkpoint folder and read it from there.
 
     Used where a later step must see exactly the same rows again (range partition numbers) or where
-    several steps share one expensive input. The files outlive a lost executor.
+    several steps share one expensive input. The files outlive a lost executor, and as they are
+    columnar a later step reads only the columns it needs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{folder}/patronage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
