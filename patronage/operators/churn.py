@@ -10,7 +10,7 @@ from patronage.functions.fixed_values import (
 )
 from patronage.functions.numeric import clip, elapsed_days, pct, round_half_up
 from patronage.functions.rules import flag, label_map, right_closed_bins, under
-from patronage.operators.features import customer_base, ratio_features
+from patronage.operators.features import ratio_features
 from patronage.operators.ranking import (
     QUINTILES, equal_width_score, global_position, histogram, quantile_bin, quantile_cut_is_usable, quantile_values,
 )
@@ -70,15 +70,21 @@ def class_balance(labels: DataFrame, low: float = 20.0, high: float = 80.0) -> D
     return labels.agg(rate.alias("churn_rate")).withColumn("balanced", F.col("churn_rate").between(low, high))
 
 
-def observation_base(sales: DataFrame, cutoff: str) -> DataFrame:
-    """Unscored observation features; recency is counted from the cutoff."""
-    base = customer_base(observation(sales, cutoff))
-    renamed = base.select(
-        "customer_id",
-        *[F.col(c).alias(f"obs_{c}") for c in base.columns if c not in ("customer_id", "last_line_date")],
+def observation_window(cutoff: str) -> dict[str, Column]:
+    """The lines before the cutoff as a window of ``customer_base``."""
+    return {"obs_": F.col("invoice_date") < moment(cutoff)}
+
+
+def observation_base(base: DataFrame, cutoff: str) -> DataFrame:
+    """Unscored observation features of the customers seen before the cutoff; recency is counted from it.
+
+    ``base`` is ``customer_base`` with the observation window.
+    """
+    seen = base.where(F.col("obs_total_invoices") > 0).select(
+        "customer_id", *[c for c in base.columns if c.startswith("obs_")]
     )
     first, last = F.col("obs_first_purchase_date"), F.col("obs_last_purchase_date")
-    return renamed.withColumns(
+    return seen.withColumns(
         {"obs_tenure_days": elapsed_days(first, last), "obs_recency_days": elapsed_days(last, moment(cutoff))}
     ).withColumns(ratio_features("obs_", "obs_tenure_days"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.fixed_values import FEATURE_COLUMNS
@@ -102,45 +104,79 @@ def return_features(returns: DataFrame, customers: DataFrame | None = None) -> D
     )
 
 
-def customer_base(sales: DataFrame) -> DataFrame:
+def customer_base(sales: DataFrame, windows: Mapping[str, Column] | None = None) -> DataFrame:
     """All sales-based measures per customer from one pass over the lines.
 
     The lines are grouped once by the sets (customer, invoice), (customer, product),
-    (customer, country) and (customer, day); the small results are then folded per customer. Both
-    groupings combine before the shuffle, so a customer with a third of all lines is no bottleneck.
+    (customer, country) and (customer, day); the small results are then folded per customer and
+    invoice day, and per customer. Every grouping combines before its shuffle, so a customer with a
+    third of all lines is no bottleneck.
+
+    ``windows`` maps a column prefix to a condition on the lines: the measures are computed once more
+    over the lines that meet it, in the same pass (a customer without such lines has 0 invoices there).
     """
+    windows = {"": F.lit(True), **(windows or {})}
     lines = sales.withColumn("_day", F.to_date("invoice_date"))
     sets = ["invoice_id", "stock_code", "country", "_day"]
+    sums = [F.max("invoice_date").alias("_last_line")]
+    for p, inside in windows.items():
+        sums += [
+            F.min(F.when(inside, F.col("invoice_date"))).alias(f"_{p}date"),
+            F.sum(F.when(inside, F.col("revenue").cast(MONEY))).alias(f"_{p}revenue"),
+            F.sum(F.when(inside, F.col("quantity"))).alias(f"_{p}quantity"),
+            F.count(F.when(inside, 1)).alias(f"_{p}lines"),
+        ]
     grouped = lines.groupingSets([["customer_id", s] for s in sets], "customer_id", *sets).agg(
-        *[F.grouping(s).alias(f"_not_{s}") for s in sets],
-        F.min("invoice_date").alias("_date"),
-        F.max("invoice_date").alias("_last_line"),
-        F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"),
-        F.sum("quantity").alias("_quantity"),
-        F.count(F.lit(1)).alias("_lines"),
+        *[F.grouping(s).alias(f"_not_{s}") for s in sets], *sums
     )
 
-    def of(s: str, value: Column) -> Column:
-        return F.when((F.col(f"_not_{s}") == 0) & F.col(s).isNotNull(), value)
-
-    invoice = lambda c: of("invoice_id", F.col(c))
-    best_country = F.min(of("country", F.struct((-F.col("_lines")).alias("n"), F.col("country").alias("v"))))
-    return grouped.groupBy("customer_id").agg(
-        F.min(invoice("_date")).alias("first_purchase_date"),
-        F.max(invoice("_date")).alias("last_purchase_date"),
-        F.max(invoice("_last_line")).alias("last_line_date"),
-        F.count(invoice("invoice_id")).alias("total_invoices"),
-        F.sum(invoice("_lines")).alias("total_line_items"),
-        F.sum(invoice("_quantity")).alias("total_quantity"),
-        F.count(of("stock_code", F.lit(1))).alias("unique_products"),
-        F.count_distinct(F.to_date(invoice("_date"))).alias("unique_purchase_days"),
-        mean_gap(F.min(of("_day", F.col("_day"))), F.max(of("_day", F.col("_day"))), F.count(of("_day", F.lit(1))))
-        .alias("avg_days_between_purchases"),
-        F.sum(invoice("_revenue")).cast("double").alias("total_revenue"),
-        F.max(invoice("_revenue")).cast("double").alias("max_invoice_value"),
-        F.min(invoice("_revenue")).cast("double").alias("min_invoice_value"),
-        best_country["v"].alias("country_mode"),
-    )
+    def row_of(s: str) -> Column:
+        return (F.col(f"_not_{s}") == 0) & F.col(s).isNotNull()
+
+    # measure -> (value of a grouped row, how rows fold)
+    measures = {"last_line_date": (F.when(row_of("invoice_id"), F.col("_last_line")), F.max)}
+    for p in windows:
+        seen = F.col(f"_{p}lines") > 0
+
+        def of(s: str, value: Column, seen: Column = seen) -> Column:
+            return F.when(row_of(s) & seen, value)
+
+        country = F.struct((-F.col(f"_{p}lines")).alias("n"), F.col("country").alias("v"))
+        measures |= {
+            f"{p}first_purchase_date": (of("invoice_id", F.col(f"_{p}date")), F.min),
+            f"{p}last_purchase_date": (of("invoice_id", F.col(f"_{p}date")), F.max),
+            f"{p}total_invoices": (of("invoice_id", F.lit(1)), F.sum),
+            f"{p}total_line_items": (of("invoice_id", F.col(f"_{p}lines")), F.sum),
+            f"{p}total_quantity": (of("invoice_id", F.col(f"_{p}quantity")), F.sum),
+            f"{p}total_revenue": (of("invoice_id", F.col(f"_{p}revenue")), F.sum),
+            f"{p}max_invoice_value": (of("invoice_id", F.col(f"_{p}revenue")), F.max),
+            f"{p}min_invoice_value": (of("invoice_id", F.col(f"_{p}revenue")), F.min),
+            f"{p}unique_products": (of("stock_code", F.lit(1)), F.sum),
+            f"_{p}first_day": (of("_day", F.col("_day")), F.min),
+            f"_{p}last_day": (of("_day", F.col("_day")), F.max),
+            f"_{p}days": (of("_day", F.lit(1)), F.sum),
+            f"_{p}country": (of("country", country), F.min),
+        }
+    invoice_day = F.to_date(F.when(row_of("invoice_id"), F.col("_date"))).alias("_invoice_day")
+    per_day = grouped.groupBy("customer_id", invoice_day).agg(*[fold(v).alias(n) for n, (v, fold) in measures.items()])
+    # an invoice day counts for a window when one of its invoices has lines there
+    days = [
+        F.count(F.when(F.col("_invoice_day").isNotNull() & (F.col(f"{p}total_invoices") > 0), 1)).alias(
+            f"{p}unique_purchase_days"
+        )
+        for p in windows
+    ]
+    folded = per_day.groupBy("customer_id").agg(*[fold(n).alias(n) for n, (_, fold) in measures.items()], *days)
+    out = [F.col("customer_id"), F.col("last_line_date")]
+    for p in windows:
+        counts = ["total_invoices", "total_line_items", "total_quantity", "unique_products", "unique_purchase_days"]
+        money = ["total_revenue", "max_invoice_value", "min_invoice_value"]
+        gap = mean_gap(F.col(f"_{p}first_day"), F.col(f"_{p}last_day"), F.coalesce(f"_{p}days", F.lit(0)))
+        out += [F.col(f"{p}first_purchase_date"), F.col(f"{p}last_purchase_date")]
+        out += [F.coalesce(p + c, F.lit(0)).cast("long").alias(p + c) for c in counts]
+        out += [F.col(p + c).cast("double").alias(p + c) for c in money]
+        out += [gap.alias(f"{p}avg_days_between_purchases"), F.col(f"_{p}country.v").alias(f"{p}country_mode")]
+    return folded.select(*out)
 
 
 def ratio_features(prefix: str = "", tenure: str = "customer_tenure_days") -> dict[str, Column]:

@@ -29,8 +29,12 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tables.sales(spark, folder, features.SALES_COLUMNS)
 
 
-def build_base(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(spark, folder, "customer_base", lambda: features.customer_base(sales_lines(spark, folder)))
+def build_base(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
+    """Full-period and observation measures of every customer, from one pass over the lines."""
+    window = churn.observation_window(cutoff)
+    return stage(
+        spark, folder, f"customer_base {cutoff}", lambda: features.customer_base(sales_lines(spark, folder), window)
+    )
 
 
 def build_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,14 +47,14 @@ def build_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def build_labels(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
     """Labels straight from the customer rows: a customer-sized read, not stored again."""
-    spans = build_base(spark, folder).withColumnRenamed("first_purchase_date", "first_line_date")
+    spans = build_base(spark, folder, cutoff).withColumnRenamed("first_purchase_date", "first_line_date")
     return churn.churn_labels(spans, cutoff)
 
 
 def build_churn_base(spark: SparkSession, folder: str, cutoff: str = CUTOFF) -> DataFrame:
     def build() -> DataFrame:
-        base = pin(churn.observation_base(sales_lines(spark, folder), cutoff))
-        return churn.churn_model_base(build_labels(spark, folder, cutoff), churn.observation_scores(base))
+        scored = churn.observation_scores(churn.observation_base(build_base(spark, folder, cutoff), cutoff))
+        return churn.churn_model_base(build_labels(spark, folder, cutoff), scored)
 
     return stage(spark, folder, f"churn_base {cutoff}", build)
 
