@@ -724,7 +724,7 @@ sql("describe_metrics", [*C360, long_cte(fv.DESCRIBED_METRICS)], f"""SELECT metr
  {rnd('quantile_cont(v, 0.5)', 6)} AS median, {rnd('stddev_samp(v)', 6)} AS std, {rnd('MIN(v)', 6)} AS min, {rnd('MAX(v)', 6)} AS max
  FROM lm GROUP BY 1 HAVING COUNT(*) >= 2""")
 WELCH = """SELECT metric, n1, n2, {m1} AS mean1, {m2} AS mean2, {d} AS difference, {t} AS t_statistic, {f} AS degrees_of_freedom, {c} AS cohens_d,
- CASE WHEN ABS(cd) < 0.2 THEN 'Negligible' WHEN ABS(cd) < 0.5 THEN 'Small' WHEN ABS(cd) < 0.8 THEN 'Medium' ELSE 'Large' END AS effect_interpretation
+ CASE WHEN cd IS NULL THEN NULL WHEN ABS(cd) < 0.2 THEN 'Negligible' WHEN ABS(cd) < 0.5 THEN 'Small' WHEN ABS(cd) < 0.8 THEN 'Medium' ELSE 'Large' END AS effect_interpretation
  FROM (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS cd FROM mo)"""
 WELCH = WELCH.format(
     m1=rnd("m1", 6), m2=rnd("m2", 6), d=rnd("m1 - m2", 6), t=rnd("(m1 - m2) / sqrt(v1 / n1 + v2 / n2)", 6),

@@ -59,16 +59,19 @@ def two_group_moments(df: DataFrame, metrics: Sequence[str], group: Column) -> D
         parts += [
             F.count(value).alias(f"n{name}"), F.avg(value).alias(f"mean{name}"), F.var_samp(value).alias(f"var{name}")
         ]
-    return long.groupBy("metric").agg(*parts).where((F.col("n1") >= 2) & (F.col("n2") >= 2))
+    return long.groupBy("metric").agg(*parts)
 
 
 def welch(moments: DataFrame) -> DataFrame:
-    """Difference, Welch t, Welch-Satterthwaite degrees of freedom, Cohen's d and its size."""
+    """Difference, Welch t, Welch-Satterthwaite degrees of freedom, Cohen's d and its size.
+
+    A group of fewer than two values has no variance: its statistics are null.
+    """
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     s1, s2 = F.col("var1") / n1, F.col("var2") / n2
     difference = F.col("mean1") - F.col("mean2")
-    pooled = F.sqrt(((n1 - 1) * F.col("var1") + (n2 - 1) * F.col("var2")) / (n1 + n2 - 2))
     zero = F.lit(0.0)
+    pooled = F.sqrt(((n1 - 1) * F.col("var1") + (n2 - 1) * F.col("var2")) / F.nullif(n1 + n2 - 2, zero))
     return moments.withColumns(
         {
             "difference": difference,
@@ -106,7 +109,8 @@ def returns_vs_health(c360: DataFrame) -> DataFrame:
 
 
 def risk_group_moments(c360: DataFrame) -> DataFrame:
-    return welch(two_group_moments(c360, RISK_GROUP_METRICS, risk_group()))
+    moments = two_group_moments(c360, RISK_GROUP_METRICS, risk_group())
+    return welch(moments.where((F.col("n1") >= 2) & (F.col("n2") >= 2)))
 
 
 def risk_group_tests(c360: DataFrame) -> DataFrame:

@@ -76,5 +76,5 @@ def parse_hits(df: DataFrame, json_column: str, fields: str = HIT_FIELDS) -> Dat
 
 def read_hits(spark: SparkSession, paths: str | list[str], fields: str = HIT_FIELDS) -> DataFrame:
     """Envelope files, one JSON document per file."""
-    texts = spark.read.option("wholetext", True).text(paths)
+    texts = spark.read.text(paths, wholetext=True)
     return parse_hits(texts, "value", fields)
