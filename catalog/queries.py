@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.functions import text
 from patronage.functions.numeric import round_half_up
 from patronage.operators import (
     churn, cleaning, complaints as cx, contingency, features, health, modelling, quality, ranking, reports, rfm, sales,
     statistics, tfidf, topics, vectors,
 )
-from patronage.plans import customer360 as chain, report_suite
+from patronage.plans import complaint_text, customer360 as chain, report_suite
+from patronage.plans.stages import stage
 from patronage.session import pin
 from patronage.sources import readers, tables
 
@@ -27,9 +27,6 @@ STOP_WORDS = [
 ]
 TFIDF_OPTIONS = {"stop_words": STOP_WORDS, "min_df": 10, "max_df": 0.90, "max_features": 5000}
 NEGATIVE_OPTIONS = {"stop_words": STOP_WORDS}
-SUBLINEAR_OPTIONS = {
-    "stop_words": STOP_WORDS, "min_df": 15, "max_df": 0.90, "max_features": 10_000, "sublinear": True,
-}
 CHANNEL_ROWS = 100
 CONTRIBUTION_WEIGHTS = {"obs_recency_days": 0.004, "obs_total_invoices": -0.11, "obs_unique_products": -0.02}
 
@@ -524,36 +521,39 @@ def complaints(spark, folder):
     return tables.complaints(spark, folder)
 
 
+def cleaned(spark, folder):
+    return complaint_text.build_cleaned(spark, folder)
+
+
 def scored_complaints(spark, folder):
-    return cx.with_sentiment(cx.with_clean_text(complaints(spark, folder)), POSITIVE, NEGATIVE)
+    return cx.with_sentiment(cleaned(spark, folder), POSITIVE, NEGATIVE)
 
 
 @query()
 def text_clean(spark, folder):
-    return cx.with_clean_text(complaints(spark, folder)).select("complaint_id", "clean_text")
+    return cleaned(spark, folder).select("complaint_id", "clean_text")
 
 
 @query()
 def text_clean_redacted(spark, folder):
-    cleaned = complaints(spark, folder).select("complaint_id", text.clean_redacted(cx.TEXT).alias("clean_text"))
-    return cleaned.where(F.length("clean_text") >= 20)
+    return complaint_text.build_redacted(spark, folder)
 
 
 @query()
 def token_lists(spark, folder):
-    found = vectors.sentences(complaints(spark, folder), "complaint_id", cx.TEXT)
+    found = complaint_text.build_sentences(spark, folder)
     return found.select("complaint_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query()
 def text_measures(spark, folder):
-    measured = cx.text_measures(cx.with_clean_text(complaints(spark, folder)))
+    measured = cx.text_measures(cleaned(spark, folder))
     return measured.select("complaint_id", "text_length", "word_count")
 
 
 @query()
 def text_statistics(spark, folder):
-    return rounded(cx.text_statistics(cx.with_clean_text(complaints(spark, folder))), 6, "mean", "median")
+    return rounded(cx.text_statistics(cleaned(spark, folder)), 6, "mean", "median")
 
 
 @query()
@@ -609,7 +609,7 @@ def channel_counts(spark, folder):
 
 @query()
 def tfidf_top_terms(spark, folder):
-    return tfidf.corpus_terms(cx.with_clean_text(complaints(spark, folder)), "complaint_id", **TFIDF_OPTIONS)
+    return tfidf.corpus_terms(cleaned(spark, folder), "complaint_id", **TFIDF_OPTIONS)
 
 
 @query()
@@ -618,8 +618,7 @@ def tfidf_negative(spark, folder):
 
 
 def topic_weights(spark, folder):
-    cleaned = complaints(spark, folder).withColumn("clean_text", text.clean_redacted(cx.TEXT))
-    return tfidf.tfidf(cleaned.where(F.length("clean_text") >= 20), "complaint_id", **SUBLINEAR_OPTIONS)
+    return complaint_text.build_topic_weights(spark, folder, STOP_WORDS)
 
 
 @query()
@@ -881,7 +880,7 @@ def models(spark, folder):
     """The three models on the training share, fitted once per application."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _models:
-        split = chain.stage(
+        split = stage(
             spark, folder, "churn_split", lambda: modelling.stratified_split(chain.build_churn_base(spark, folder))
         )
         _models[key] = (modelling.fit_models(split.where("is_train = 1")), split)
@@ -947,8 +946,7 @@ _word_models: dict = {}
 def corpus_vectors(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _word_models:
-        found = vectors.sentences(complaints(spark, folder), "complaint_id", cx.TEXT)
-        _word_models[key] = vectors.word_vectors(vectors.fit_word_vectors(found))
+        _word_models[key] = vectors.word_vectors(vectors.fit_word_vectors(complaint_text.build_sentences(spark, folder)))
     return _word_models[key]
 
 

@@ -6,32 +6,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from patronage.functions.fixed_values import (
-    EMAIL_PATTERN, NON_LETTER_PATTERN, REDACTION_PATTERN, SPACE_PATTERN, URL_PATTERN,
-)
+from patronage.functions.fixed_values import REDACTION_PATTERN, SPACE_PATTERN, URL_PATTERN
 from patronage.functions.numeric import col
 
+# The same matches as EMAIL_PATTERN, tried once per word instead of once per character.
+EMAIL_WORD = r"(?<!\S)\S[^\s@]*@\S+"
+# NON_LETTER_PATTERN to a space and SPACE_PATTERN to one space, in one pass.
+NON_LETTERS = "[^a-z]+"
+
 
 def _scrub(c: Column, patterns: Sequence[str]) -> Column:
     text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    for pattern in patterns:
+    for pattern in [*patterns, NON_LETTERS]:
         text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(text, SPACE_PATTERN, " "))
+    return F.trim(text)
 
 
 def clean_text(c: str | Column) -> Column:
     """Lower case letters and single spaces; addresses and everything else removed."""
-    return _scrub(col(c), [URL_PATTERN, EMAIL_PATTERN, NON_LETTER_PATTERN])
+    return _scrub(col(c), [URL_PATTERN, EMAIL_WORD])
 
 
 def clean_redacted(c: str | Column) -> Column:
     """``clean_text`` that also drops runs of x (redactions) before other characters go."""
-    return _scrub(col(c), [URL_PATTERN, EMAIL_PATTERN, REDACTION_PATTERN, NON_LETTER_PATTERN])
+    return _scrub(col(c), [URL_PATTERN, EMAIL_WORD, REDACTION_PATTERN])
 
 
 def words(cleaned: str | Column) -> Column:
     """Words of cleaned text; empty text has none."""
-    return F.filter(F.split(col(cleaned), " "), lambda w: w != "")
+    cleaned = col(cleaned)
+    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
 def raw_words(c: str | Column) -> Column:
@@ -42,16 +46,17 @@ def raw_words(c: str | Column) -> Column:
 
 def tokens(c: str | Column, min_length: int = 3) -> Column:
     """Redaction-free words of at least ``min_length`` letters."""
-    return F.filter(words(clean_redacted(c)), lambda w: F.length(w) >= min_length)
-
-
-def count_in(tokens_: Column, vocabulary: Sequence[str]) -> Column:
-    return F.size(F.filter(tokens_, lambda w: w.isin(*vocabulary)))
+    return F.filter(F.split(clean_redacted(c), " "), lambda w: F.length(w) >= min_length)
 
 
 def lexicon_score(tokens_: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:
-    """Positive words minus negative words."""
-    return count_in(tokens_, positive) - count_in(tokens_, negative)
+    """Positive words minus negative words, in one walk over the words."""
+    plus, minus = list(positive), list(negative)
+    return F.aggregate(
+        tokens_,
+        F.lit(0),
+        lambda total, w: total + w.isin(*plus).cast("int") - w.isin(*minus).cast("int"),
+    )
 
 
 def polarity(score: Column) -> Column:

@@ -57,8 +57,13 @@ def channel_counts(complaints: DataFrame, channel: str) -> DataFrame:
 
 
 def with_clean_text(complaints: DataFrame) -> DataFrame:
-    """Add ``clean_text`` and drop complaints that have nothing left."""
-    return complaints.withColumn("clean_text", clean_text(TEXT)).where(F.col("clean_text") != "")
+    """Add ``clean_text`` and drop complaints that have nothing left.
+
+    The empty text is dropped as an empty list is exploded; as a separate filter the cleaning would be
+    pushed below it and run twice.
+    """
+    kept = F.filter(F.array(clean_text(TEXT)), lambda t: t != "")
+    return complaints.withColumn("clean_text", F.explode(kept))
 
 
 def text_measures(cleaned: DataFrame) -> DataFrame:

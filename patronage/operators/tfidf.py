@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.numeric import round_half_up
-from patronage.functions.text import ngrams_1_2, words
+from patronage.functions.text import ngrams_1_2
 
 
 def english_stop_words() -> list[str]:
@@ -21,7 +21,7 @@ def term_counts(docs: DataFrame, key: str, cleaned: str, stop_words: Sequence[st
     A document is one row, so its repeated terms are folded in its task before the shuffle.
     """
     stop_words = english_stop_words() if stop_words is None else list(stop_words)
-    kept = F.filter(words(cleaned), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+    kept = F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
     exploded = docs.select(key, F.explode(ngrams_1_2(kept)).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 

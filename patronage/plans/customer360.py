@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from patronage.operators import churn, features, health, rfm
 from patronage.operators.ranking import histogram
-from patronage.session import pin
+from patronage.plans.stages import stage
 from patronage.sources import tables
 
 CUTOFF = "2001-01-01"
 SCORED = ["recency_days", "total_invoices", "total_revenue", "purchase_frequency_per_month"]
 
-_stages: dict[tuple, DataFrame] = {}
-
-
-def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A customer-sized stage table, stored once per application and read by every later report."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _stages:
-        _stages[key] = pin(build())
-    return _stages[key]
-
-
 def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tables.sales(spark, folder, features.SALES_COLUMNS)
 
