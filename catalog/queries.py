@@ -27,7 +27,7 @@ STOP_WORDS = [
 ]
 TFIDF_OPTIONS = {"stop_words": STOP_WORDS, "min_df": 10, "max_df": 0.90, "max_features": 5000}
 NEGATIVE_OPTIONS = {"stop_words": STOP_WORDS}
-CHANNEL_ROWS = 100
+CHANNEL_ROWS = 25
 CONTRIBUTION_WEIGHTS = {"obs_recency_days": 0.004, "obs_total_invoices": -0.11, "obs_unique_products": -0.02}
 
 
@@ -392,7 +392,8 @@ def class_balance(spark, folder):
 
 @query()
 def key_set_ops(spark, folder):
-    return churn.key_sets(lines(spark, folder, "customer_id", "invoice_date"), chain.CUTOFF)
+    spans = pin(churn.purchase_spans(lines(spark, folder, "customer_id", "invoice_date")))
+    return churn.key_sets(spans, chain.CUTOFF)
 
 
 @query()
@@ -526,7 +527,7 @@ def cleaned(spark, folder):
 
 
 def scored_complaints(spark, folder):
-    return cx.with_sentiment(cleaned(spark, folder), POSITIVE, NEGATIVE)
+    return complaint_text.build_sentiment(spark, folder, POSITIVE, NEGATIVE)
 
 
 @query()
@@ -572,7 +573,8 @@ def lexicon_sentiment(spark, folder):
 
 @query()
 def lexicon_sentiment_raw(spark, folder):
-    return cx.with_raw_sentiment(complaints(spark, folder), POSITIVE, NEGATIVE).select("complaint_id", "sentiment")
+    texts = tables.complaints(spark, folder, False)
+    return cx.with_raw_sentiment(texts, POSITIVE, NEGATIVE).select("complaint_id", "sentiment")
 
 
 @query()
@@ -598,7 +600,7 @@ def complaint_categories(spark, folder):
 
 @query()
 def channel_sample(spark, folder):
-    found = cx.channel_sample(complaints(spark, folder), "issue", ["complaint_id"], CHANNEL_ROWS)
+    found = cx.channel_sample(tables.complaints(spark, folder, False), "issue", ["complaint_id"], CHANNEL_ROWS)
     return found.select("complaint_id", "issue", "product")
 
 
@@ -614,7 +616,8 @@ def tfidf_top_terms(spark, folder):
 
 @query()
 def tfidf_negative(spark, folder):
-    return tfidf.negative_terms(scored_complaints(spark, folder), "complaint_id", **NEGATIVE_OPTIONS)
+    scored = cx.with_sentiment(cleaned(spark, folder), POSITIVE, NEGATIVE)
+    return tfidf.negative_terms(scored, "complaint_id", **NEGATIVE_OPTIONS)
 
 
 def topic_weights(spark, folder):
@@ -641,7 +644,7 @@ def json_hits(spark, folder):
 
 
 def themes(spark, folder):
-    return cx.themed(complaints(spark, folder), POSITIVE, NEGATIVE)
+    return complaint_text.build_themed(spark, folder, POSITIVE, NEGATIVE)
 
 
 def plain_themes(spark, folder):
@@ -996,7 +999,7 @@ def lexicon_predictor(batch: list[str]) -> list[tuple[str, float]]:
 
 
 def classified(spark, folder):
-    return cx.classify_texts(complaints(spark, folder), lexicon_predictor, ["complaint_id", "product", "issue", "submitted_via"])
+    return cx.classify_texts(tables.complaints(spark, folder, False), lexicon_predictor, ["complaint_id", "product", "issue"])
 
 
 @query()

@@ -207,10 +207,10 @@ def recency_score(base: DataFrame, horizon_days: float = 730.0) -> DataFrame:
     return predictions(base, score)
 
 
-def key_sets(sales: DataFrame, cutoff: str) -> DataFrame:
-    """Sizes of the customer sets around the cutoff, by set operations on the keys."""
-    before = observation(sales, cutoff).select("customer_id").distinct()
-    after = prediction(sales, cutoff).select("customer_id").distinct()
+def key_sets(spans: DataFrame, cutoff: str) -> DataFrame:
+    """Sizes of the customer sets around the cutoff, by set operations on the keys of stored spans."""
+    before = spans.where(F.col("first_line_date") < moment(cutoff)).select("customer_id")
+    after = spans.where(F.col("last_line_date") >= moment(cutoff)).select("customer_id")
     sets = {
         "observation": before,
         "prediction": after,

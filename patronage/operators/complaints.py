@@ -14,7 +14,7 @@ from patronage.functions.numeric import is_yes, non_blank, pct, ratio
 from patronage.functions.rules import label_map, right_closed_bins
 from patronage.functions.text import clean_text, lexicon_score, polarity, raw_words, words
 from patronage.operators.cleaning import dedup_keep_first
-from patronage.operators.ranking import histogram, min_max, quantiles
+from patronage.operators.ranking import first_per_group, histogram, min_max, quantiles
 from patronage.sources.readers import first_present, keep_available, require_columns
 
 TEXT = "complaint_what_happened"
@@ -43,10 +43,9 @@ def complaint_view(complaints: DataFrame) -> DataFrame:
 
 
 def channel_sample(complaints: DataFrame, channel: str, order: Sequence[str], per_channel: int = 5000) -> DataFrame:
-    """The first rows of every channel. The rank filter runs in each task before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(channel).orderBy(*order))
+    """The first rows of every channel, exactly."""
     usable = complaints.where(non_blank(TEXT) & F.col(channel).isNotNull())
-    return usable.withColumn("_rank", rank).where(F.col("_rank") <= per_channel).drop("_rank")
+    return first_per_group(usable, [channel], order, per_channel)
 
 
 def channel_counts(complaints: DataFrame, channel: str) -> DataFrame:

@@ -165,6 +165,19 @@ def attach_average_ranks(
     return df.join(wide, key, "left")
 
 
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int, parts: int = 64) -> DataFrame:
+    """The first k rows of every group.
+
+    Ranked twice: within slices of a group, where each task drops all but k rows before the shuffle,
+    then over the at most ``parts * k`` rows left. A hot group is never sorted as a whole.
+    """
+    slice_no = F.pmod(F.xxhash64(*order), F.lit(parts))
+    in_slice = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
+    in_group = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    few = df.withColumn("_slice", slice_no).withColumn("_rank", in_slice).where(F.col("_rank") <= k)
+    return few.withColumn("_rank", in_group).where(F.col("_rank") <= k).drop("_rank", "_slice")
+
+
 def equal_width_score(position: Column, n: Column, bins: int = 5, higher_is_better: bool = True) -> Column:
     """Score of a rank percentile cut into equal-width bins over [1/n, 1]."""
     n = n.cast("double")
@@ -240,18 +253,21 @@ def min_max(c: str | Column) -> Column:
 def capped_histogram(
     df: DataFrame, column: str, bins: int, cap_prob: float = 0.95, whole_cap: bool = False
 ) -> DataFrame:
-    """Counts in equal-width bins of the values up to the ``cap_prob`` quantile."""
-    q = quantile_values(histogram(df, [column]), [cap_prob])[column]
+    """Counts in equal-width bins of the values up to the ``cap_prob`` quantile.
+
+    All of it comes from the stored histogram, so ``df`` is read once.
+    """
+    hist = histogram(df, [column])
+    q = quantile_values(hist, [cap_prob])[column]
     low, cap = float(q["min"]), float(q["q"][0])
     if whole_cap:
         cap = float(int(cap))
-    value = F.col(column).cast("double")
-    kept = df.where(value <= F.lit(cap))
-    high = kept.agg(F.max(value)).scalar()
-    width = (high - F.lit(low)) / F.lit(float(bins))
+    value = F.col("value")
+    kept = hist.rows.where(value <= F.lit(cap)).select("value", "cnt")
+    width = (kept.agg(F.max(value)).scalar() - F.lit(low)) / F.lit(float(bins))
     slot = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((value - F.lit(low)) / F.nullif(width, F.lit(0.0))).cast("int"), F.lit(bins - 1))
     )
     return kept.groupBy(slot.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
+        F.sum("cnt").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
     )

@@ -37,17 +37,14 @@ def distribution_summary(df: DataFrame, column: str) -> DataFrame:
 
 def revenue_metrics(sales: DataFrame) -> DataFrame:
     """Totals over the lines, mean and median over the invoices."""
-    invoices = sales.groupBy("invoice_id").agg(
-        F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"), F.sum("quantity").alias("_quantity")
+    invoices = sales.groupBy("invoice_id").agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"))
+    orders = quantiles(histogram(invoices, {"order_value": F.col("_revenue").cast("double")}), [0.5])
+    totals = sales.agg(money_sum("revenue").alias("total_revenue"), F.sum("quantity").alias("total_quantity"))
+    return (
+        totals.withColumn("total_invoices", orders.select("n").scalar())
+        .withColumn("median_order_value", orders.select(F.col("q")[0]).scalar())
+        .withColumn("avg_order_value", ratio(F.col("total_revenue"), F.col("total_invoices")))
     )
-    orders = invoices.agg(
-        F.sum("_revenue").cast("double").alias("total_revenue"),
-        F.sum("_quantity").alias("total_quantity"),
-        F.count(F.lit(1)).alias("total_invoices"),
-        ratio(F.sum("_revenue"), F.count(F.lit(1))).alias("avg_order_value"),
-    )
-    hist = histogram(invoices, {"order_value": F.col("_revenue").cast("double")})
-    return orders.withColumn("median_order_value", quantiles(hist, [0.5]).select(F.col("q")[0]).scalar())
 
 
 def revenue_by(sales: DataFrame, *keys: str) -> DataFrame:
@@ -142,5 +139,10 @@ def repeat_behaviour(sales: DataFrame) -> DataFrame:
 
 
 def revenue_of_group(sales: DataFrame, members: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Revenue of the lines whose key is in ``members`` (a semi-join)."""
-    return sales.join(members.select(key), key, "left_semi").agg(money_sum("revenue").alias("revenue"))
+    """Revenue of the lines whose key is in ``members`` (a semi-join).
+
+    The lines are summed per key first, so the join moves one row per key however hot it is.
+    """
+    per_key = sales.groupBy(key).agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"))
+    kept = per_key.join(members.select(key), key, "left_semi")
+    return kept.agg(F.sum("_revenue").cast("double").alias("revenue"))

@@ -15,8 +15,29 @@ MIN_TEXT = 20
 
 
 def build_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints with cleaned text: the patterns run once over the corpus."""
-    return stage(spark, folder, "cleaned", lambda: cx.with_clean_text(tables.complaints(spark, folder)))
+    """Complaints with cleaned text: the patterns run once over the corpus, without a shuffle."""
+    return stage(spark, folder, "cleaned", lambda: cx.with_clean_text(tables.complaints(spark, folder, False)))
+
+
+def build_sentiment(
+    spark: SparkSession, folder: str, positive: Sequence[str], negative: Sequence[str]
+) -> DataFrame:
+    """Lexicon sentiment per complaint with its response. The texts are dropped before the join."""
+    scored = cx.with_sentiment(build_cleaned(spark, folder), positive, negative).drop("clean_text", cx.TEXT)
+    return tables.with_responses(scored, spark, folder)
+
+
+def build_themed(
+    spark: SparkSession, folder: str, positive: Sequence[str], negative: Sequence[str]
+) -> DataFrame:
+    """Theme, response and raw-word sentiment per complaint, without the texts."""
+
+    def build() -> DataFrame:
+        texts = tables.complaints(spark, folder, False)
+        scored = cx.with_raw_sentiment(texts, positive, negative).drop(cx.TEXT)
+        return cx.with_theme(tables.with_responses(scored, spark, folder))
+
+    return stage(spark, folder, f"themed {sorted(positive)} {sorted(negative)}", build)
 
 
 def build_redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +45,7 @@ def build_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
     def build() -> DataFrame:
         kept = F.filter(F.array(text.clean_redacted(cx.TEXT)), lambda t: F.length(t) >= MIN_TEXT)
-        return tables.complaints(spark, folder).select("complaint_id", F.explode(kept).alias("clean_text"))
+        return tables.complaints(spark, folder, False).select("complaint_id", F.explode(kept).alias("clean_text"))
 
     return stage(spark, folder, "redacted", build)
 
@@ -33,7 +54,7 @@ def build_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Token lists for word vectors, which the trainer reads many times."""
     return stage(
         spark, folder, "sentences",
-        lambda: vectors.sentences(tables.complaints(spark, folder), "complaint_id", cx.TEXT),
+        lambda: vectors.sentences(tables.complaints(spark, folder, False), "complaint_id", cx.TEXT),
     )
 
 

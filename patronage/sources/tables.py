@@ -109,16 +109,26 @@ def length_topic(chars: Column) -> Column:
     return first_match([(chars < bound, topic) for bound, topic in bounds])
 
 
-def complaints(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as complaints: language is the product, source the issue, the quality label timeliness."""
-    docs, labels = table(spark, folder, "documents", large=True), table(spark, folder, "labels")
-    rated = docs.join(labels, "doc_id", "left")
-    return rated.select(
+RESPONSE_COLUMNS = ("submitted_via", "timely_response")
+
+
+def with_responses(complaints: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Add channel and timeliness by complaint id. Join narrow rows: texts should be dropped before."""
+    labels = table(spark, folder, "labels").select(
         F.col("doc_id").alias("complaint_id"),
-        F.col("lang").alias("product"),
-        F.col("source").alias("issue"),
         F.when(F.col("toxic") == 1, "Phone").when(F.col("toxic") == 0, "Web").alias("submitted_via"),
         F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("timely_response"),
+    )
+    return complaints.join(labels, "complaint_id", "left")
+
+
+def complaints(spark: SparkSession, folder: str, responses: bool = True) -> DataFrame:
+    """Documents as complaints: language is the product, source the issue, labels the response."""
+    docs = table(spark, folder, "documents", large=True).select(
+        F.col("doc_id").alias("complaint_id"),
+        F.col("lang").alias("product"),
+        F.col("source").alias("issue"),
         F.col("text").alias("complaint_what_happened"),
         length_topic(F.col("n_chars")).alias("dominant_topic"),
     )
+    return with_responses(docs, spark, folder) if responses else docs

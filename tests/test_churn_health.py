@@ -18,7 +18,7 @@ def test_labels(spark, rows):
     assert [(r["customer_id"], r["churned"]) for r in got] == [(1, 0), (2, 1), (4, 1)]
     assert got[0]["observation_start_date"] == date(2024, 1, 2) and got[0]["observation_end_date"] == date(2024, 1, 31)
     assert got[0]["prediction_start_date"] == date(2024, 2, 1) and got[0]["prediction_end_date"] == date(2024, 2, 3)
-    sizes = {r["key_set"]: r["customers"] for r in rows(churn.key_sets(sales, "2024-02-01"))}
+    sizes = {r["key_set"]: r["customers"] for r in rows(churn.key_sets(churn.purchase_spans(sales), "2024-02-01"))}
     assert sizes == {
         "observation": 3, "prediction": 2, "churned": 2, "retained": 1, "prediction_only": 1, "both": 1, "any": 4,
     }
