@@ -113,10 +113,11 @@ sql("repeat_behaviour", [SALES], f"""SELECT COUNT(*) AS total_customers, CAST(SU
 sql("repeat_revenue", [SALES, FREQ], f"SELECT {money('revenue')} AS revenue FROM sales WHERE customer_id IN (SELECT customer_id FROM freq WHERE num_orders > 1)")
 
 
-def histogram_sql(source: str, column: str, bins: int, cap: str) -> str:
-    return f"""SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE LEAST(floor((v - lo) / ((hi - lo) / {bins}.0)), {bins - 1}) END AS BIGINT) AS bin,
- COUNT(*) AS n, MIN(v) AS low, MAX(v) AS high FROM (SELECT v, MIN(v) OVER () AS lo, MAX(v) OVER () AS hi FROM
- (SELECT CAST({column} AS DOUBLE) AS v FROM {source}) WHERE v <= (SELECT {cap} FROM {source})) GROUP BY 1"""
+def histogram_sql(source: str, column: str, bins: int, cap: str, by: str = "") -> str:
+    group, first = (f"{by}, ", "1, 2") if by else ("", "1")
+    return f"""SELECT {group}CAST(CASE WHEN hi = lo THEN 0 ELSE LEAST(floor((v - lo) / ((hi - lo) / {bins}.0)), {bins - 1}) END AS BIGINT) AS bin,
+ COUNT(*) AS n, MIN(v) AS low, MAX(v) AS high FROM (SELECT {group}v, MIN(v) OVER () AS lo, MAX(v) OVER () AS hi FROM
+ (SELECT {group}CAST({column} AS DOUBLE) AS v FROM {source}) WHERE v <= (SELECT {cap} FROM {source})) GROUP BY {first}"""
 
 
 sql("frequency_histogram", [SALES, FREQ], histogram_sql("freq", "num_orders", 50, "floor(quantile_cont(num_orders, 0.95))"))
@@ -513,6 +514,19 @@ sql("value_tier_counts", C360, f"""SELECT customer_value_tier, COUNT(*) AS custo
 sql("vip_revenue", C360, f"SELECT rfm_segment, {rnd(money('total_revenue'), 2)} AS total_revenue FROM c360 WHERE vip_flag = 1 GROUP BY 1")
 sql("retention_revenue", C360, f"SELECT health_tier, {rnd(money('total_revenue'), 2)} AS total_revenue FROM c360 WHERE retention_target_flag = 1 GROUP BY 1")
 sql("top_segment", C360, f"SELECT rfm_segment, {money('total_revenue')} AS total_revenue FROM c360 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+sql("top_risk_customers", C360, """SELECT customer_id, country_mode, total_revenue, rfm_segment, health_tier, churn_probability, churn_risk_tier,
+ action_priority, final_recommended_action FROM c360 WHERE model_scored = 1 ORDER BY churn_probability DESC, customer_id LIMIT 20""")
+SUMMARISED = ["total_revenue", "total_invoices", "recency_days", "customer_tenure_days"]
+sql("feature_summary", FEATURES, " UNION ALL ".join(
+    f"""SELECT '{m}' AS metric, COUNT(*) AS n, CAST(MIN({m}) AS DOUBLE) AS min, CAST(MAX({m}) AS DOUBLE) AS max,
+ {rnd(f'quantile_cont(CAST({m} AS DOUBLE), 0.5)', 4)} AS median, {rnd(mean(m), 4)} AS mean FROM features""" for m in SUMMARISED))
+sql("top_feature_customers", FEATURES, """SELECT customer_id, total_revenue, total_invoices, recency_days FROM features
+ ORDER BY total_revenue DESC, customer_id LIMIT 10""")
+sql("segment_recency_histogram", RFM, histogram_sql("rfm", "recency_days", 60, "MAX(recency_days)", "rfm_segment"))
+sql("segment_frequency_histogram", RFM, histogram_sql("rfm", "total_invoices", 50, "floor(quantile_cont(total_invoices, 0.95))", "rfm_segment"))
+sql("segment_monetary_histogram", RFM, histogram_sql("rfm", "total_revenue", 60, "quantile_cont(total_revenue, 0.95)", "rfm_segment"))
+sql("churn_probability_histogram", [*C360, "sc AS (SELECT * FROM c360 WHERE model_scored = 1)"],
+    histogram_sql("sc", "churn_probability", 40, "MAX(churn_probability)"))
 sql("segment_mean_revenue", C360, f"SELECT rfm_segment, {rnd(mean('total_revenue'), 4)} AS avg_total_revenue FROM c360 GROUP BY 1")
 sql("high_risk_export", C360, f"SELECT customer_id, churn_risk_tier, churn_probability, total_revenue FROM c360 WHERE {RISKY}")
 sql("vip_export", C360, "SELECT customer_id, rfm_segment, customer_value_tier, total_revenue FROM c360 WHERE vip_flag = 1")

@@ -126,13 +126,27 @@ def purchase_frequency(spark, folder):
 
 @query()
 def order_distribution(spark, folder):
-    return sales.distribution_summary(purchase_frequency(spark, folder), "num_orders")
+    return sales.distribution_summary(purchase_frequency(spark, folder), "num_orders").drop("metric")
 
 
 @query()
 def revenue_distribution(spark, folder):
     per_customer = sales.revenue_by(lines(spark, folder, "customer_id", "revenue"), "customer_id")
-    return rounded(sales.distribution_summary(per_customer, "total_revenue"), 4, "median", "mean")
+    return rounded(sales.distribution_summary(per_customer, "total_revenue").drop("metric"), 4, "median", "mean")
+
+
+SUMMARISED = ["total_revenue", "total_invoices", "recency_days", "customer_tenure_days"]
+
+
+@query()
+def feature_summary(spark, folder):
+    return rounded(sales.distribution_summary(chain.build_features(spark, folder), *SUMMARISED), 4, "median", "mean")
+
+
+@query()
+def top_feature_customers(spark, folder):
+    found = chain.build_features(spark, folder).select("customer_id", "total_revenue", "total_invoices", "recency_days")
+    return sales.top_by(found, "total_revenue", 10, "customer_id")
 
 
 @query()
@@ -158,6 +172,27 @@ def revenue_histogram(spark, folder):
     return ranking.capped_histogram(per_customer, "total_revenue", 60)
 
 
+@query()
+def segment_recency_histogram(spark, folder):
+    return ranking.capped_histogram(chain.build_rfm(spark, folder), "recency_days", 60, cap_prob=1.0, by="rfm_segment")
+
+
+@query()
+def segment_frequency_histogram(spark, folder):
+    table = chain.build_rfm(spark, folder)
+    return ranking.capped_histogram(table, "total_invoices", 50, whole_cap=True, by="rfm_segment")
+
+
+@query()
+def segment_monetary_histogram(spark, folder):
+    return ranking.capped_histogram(chain.build_rfm(spark, folder), "total_revenue", 60, by="rfm_segment")
+
+
+@query()
+def churn_probability_histogram(spark, folder):
+    return ranking.capped_histogram(c360(spark, folder).where("model_scored = 1"), "churn_probability", 40, cap_prob=1.0)
+
+
 @query()
 def peak_month(spark, folder):
     return sales.peak_and_low(monthly_revenue(spark, folder), "invoice_yearmonth", "total_revenue")
@@ -496,6 +531,11 @@ def top_segment(spark, folder):
     return reports.top_group(c360(spark, folder), "rfm_segment")
 
 
+@query()
+def top_risk_customers(spark, folder):
+    return reports.top_risk_customers(c360(spark, folder))
+
+
 @query()
 def segment_mean_revenue(spark, folder):
     return rounded(reports.mean_by(c360(spark, folder), "rfm_segment", "total_revenue"), 4, "avg_total_revenue")

@@ -251,11 +251,12 @@ def min_max(c: str | Column) -> Column:
 
 
 def capped_histogram(
-    df: DataFrame, column: str, bins: int, cap_prob: float = 0.95, whole_cap: bool = False
+    df: DataFrame, column: str, bins: int, cap_prob: float = 0.95, whole_cap: bool = False, by: str | None = None
 ) -> DataFrame:
-    """Counts in equal-width bins of the values up to the ``cap_prob`` quantile.
+    """Counts in equal-width bins of the values up to the ``cap_prob`` quantile, optionally per group.
 
-    All of it comes from the stored histogram, so ``df`` is read once.
+    Without ``by`` everything comes from the stored histogram, so ``df`` is read once. With ``by`` the
+    bins are still those of all kept values.
     """
     hist = histogram(df, [column])
     q = quantile_values(hist, [cap_prob])[column]
@@ -268,6 +269,8 @@ def capped_histogram(
     slot = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((value - F.lit(low)) / F.nullif(width, F.lit(0.0))).cast("int"), F.lit(bins - 1))
     )
-    return kept.groupBy(slot.cast("int").alias("bin")).agg(
-        F.sum("cnt").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
-    )
+    keys = [slot.cast("int").alias("bin")]
+    if by is not None:
+        values = df.select(F.col(by), finite(column).alias("value")).where(value <= F.lit(cap))
+        kept, keys = values.withColumn("cnt", F.lit(1).cast("long")), [F.col(by), *keys]
+    return kept.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))

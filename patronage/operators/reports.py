@@ -137,6 +137,18 @@ def top_customers(c360: DataFrame, k: int = 50) -> DataFrame:
     return profile.orderBy(F.desc("total_revenue"), "customer_id").limit(k)
 
 
+RISK_COLUMNS = [
+    "customer_id", "country_mode", "total_revenue", "rfm_segment", "health_tier", "churn_probability",
+    "churn_risk_tier", "action_priority", "final_recommended_action",
+]
+
+
+def top_risk_customers(c360: DataFrame, k: int = 20) -> DataFrame:
+    """The k scored customers most likely to churn."""
+    scored = c360.where(F.col("model_scored") == 1).select(*RISK_COLUMNS)
+    return scored.orderBy(F.desc("churn_probability"), "customer_id").limit(k)
+
+
 def filter_customers(
     c360: DataFrame,
     health: Sequence[str] = (),
