@@ -920,25 +920,46 @@ def risk_explanations(spark, folder):
 _models: dict = {}
 
 
-def models(spark, folder):
-    """The three models on the training share, fitted once per application."""
-    key = (spark.sparkContext.applicationId, folder)
+def churn_split(spark, folder):
+    return stage(spark, folder, "churn_split", lambda: modelling.stratified_split(chain.build_churn_base(spark, folder)))
+
+
+def model(spark, folder, name):
+    """The named model on the training share, fitted once per application."""
+    key = (spark.sparkContext.applicationId, folder, name)
     if key not in _models:
-        split = stage(
-            spark, folder, "churn_split", lambda: modelling.stratified_split(chain.build_churn_base(spark, folder))
-        )
-        _models[key] = (modelling.fit_models(split.where("is_train = 1")), split)
+        train = churn_split(spark, folder).where("is_train = 1")
+        _models[key] = modelling.fit_models(train, [name])[name]
     return _models[key]
 
 
 def linear_model(spark, folder):
-    return models(spark, folder)[0]["Logistic Regression"]
+    return model(spark, folder, "Logistic Regression")
+
+
+def compared(spark, folder, names):
+    fitted = {name: model(spark, folder, name) for name in names}
+    return modelling.compare_models(fitted, churn_split(spark, folder).where("is_train = 0"))
+
+
+@query()
+def logistic_metrics(spark, folder):
+    return compared(spark, folder, ["Logistic Regression"]).drop("is_best")
+
+
+@query()
+def forest_metrics(spark, folder):
+    return compared(spark, folder, ["Random Forest"]).drop("is_best")
+
+
+@query()
+def boosting_metrics(spark, folder):
+    return compared(spark, folder, ["Gradient Boosting"]).drop("is_best")
 
 
 @query()
 def churn_model_compare(spark, folder):
-    fitted, split = models(spark, folder)
-    return modelling.compare_models(fitted, split.where("is_train = 0"))
+    return compared(spark, folder, modelling.MODEL_NAMES)
 
 
 @query()
@@ -948,7 +969,7 @@ def churn_model_predictions(spark, folder):
 
 @query()
 def feature_importance(spark, folder):
-    return modelling.feature_importance(models(spark, folder)[0]["Random Forest"])
+    return modelling.feature_importance(model(spark, folder, "Random Forest"))
 
 
 @query()
@@ -958,9 +979,9 @@ def coefficient_drivers(spark, folder):
 
 @query()
 def model_risk_explanations(spark, folder):
-    base, model = chain.build_churn_base(spark, folder), linear_model(spark, folder)
-    top = modelling.top_risk(modelling.churn_predictions(model, base), base)
-    drivers = modelling.top_contributions(modelling.model_contributions(model, base))
+    base, fitted = chain.build_churn_base(spark, folder), linear_model(spark, folder)
+    top = modelling.top_risk(modelling.churn_predictions(fitted, base), base)
+    drivers = modelling.top_contributions(modelling.model_contributions(fitted, base))
     return top.join(drivers, "customer_id", "left")
 
 
@@ -1024,8 +1045,8 @@ def nmf_topic_terms(spark, folder):
 
 @query()
 def nmf_dominant_topic(spark, folder):
-    model, docs = topic_model(spark, folder)
-    found = topics.dominant_topic(topics.document_topics(model, docs, "complaint_id"))
+    fitted, docs = topic_model(spark, folder)
+    found = topics.dominant_topic(topics.document_topics(fitted, docs, "complaint_id"))
     return found.select("complaint_id", "dominant_topic", "topic_strength")
 
 

@@ -8,7 +8,7 @@ from tools.check_queries import compare, connect
 SMALL = "/root/testdata/sf0.001"
 # models are trained in test_models_vectors.py with smaller sizes
 LONG = {
-    "churn_model_compare", "churn_model_predictions", "feature_importance", "coefficient_drivers", "model_risk_explanations",
+    "logistic_metrics", "forest_metrics", "boosting_metrics", "churn_model_compare", "churn_model_predictions", "feature_importance", "coefficient_drivers", "model_risk_explanations",
 }
 
 

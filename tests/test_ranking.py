@@ -26,6 +26,23 @@ def test_average_rank_share(spark, name):
     assert np.array_equal(got["x_rank"], pd.Series(values, dtype=float).rank(pct=True, method="average"))
 
 
+@pytest.mark.parametrize("share", [0, 3, 40])
+def test_hot_and_cold_values_meet_the_same_ranks(spark, monkeypatch, share):
+    """No value hot, a few hot, most hot: the ranks do not change."""
+    monkeypatch.setattr(ranking, "HOT_SHARE", share)
+    values = pd.Series([7.0] * 70 + list(range(50)) + [1.0] * 30 + [None, None], dtype=float)
+    df = frame(spark, [None if pd.isna(v) else v for v in values])
+    got = ranking.attach_average_ranks(df, "id", ranking.histogram(df, ["x"])).orderBy("id").toPandas()
+    assert np.array_equal(got["x_rank"], values.rank(pct=True, method="average"), equal_nan=True)
+
+
+def test_first_rows_of_a_hot_group(spark):
+    df = spark.createDataFrame([("hot" if i % 5 else "cold", (i * 37) % 500, i) for i in range(500)], "g string, o int, i int")
+    got = ranking.first_per_group(df, ["g"], ["o", "i"], 45, parts=8).toPandas()
+    want = df.toPandas().sort_values(["g", "o", "i"]).groupby("g").head(45)
+    assert sorted(got["i"]) == sorted(want["i"])
+
+
 @pytest.mark.parametrize("name", CASES)
 @pytest.mark.parametrize("higher", [True, False])
 def test_rank_quintile(spark, name, higher):
@@ -89,6 +106,12 @@ def test_capped_histogram_counts_all_kept_rows(spark):
     assert list(got.sort_values("bin")["n"]) == list(counts)
 
 
+def test_grouped_histogram_shares_the_bins(spark):
+    df = spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(100)], "id long, x double, g string")
+    got = ranking.capped_histogram(df, "x", 10, cap_prob=1.0, by="g").toPandas()
+    assert len(got) == 20 and got.groupby("bin")["n"].sum().tolist() == np.histogram(range(100), 10)[0].tolist()
+
+
 def test_distribution_of_constant_column(spark):
     got = ranking.capped_histogram(frame(spark, [2.0] * 5), "x", 10).collect()
     assert [(r["bin"], r["n"]) for r in got] == [(0, 5)]
