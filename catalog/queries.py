@@ -967,6 +967,12 @@ def churn_model_predictions(spark, folder):
     return modelling.churn_predictions(linear_model(spark, folder), chain.build_churn_base(spark, folder))
 
 
+@query()
+def customer_360_from_model(spark, folder):
+    """Customer 360 with the probabilities of the fitted model."""
+    return chain.build_customer_360(spark, folder, churn_model_predictions(spark, folder))
+
+
 @query()
 def feature_importance(spark, folder):
     return modelling.feature_importance(model(spark, folder, "Random Forest"))

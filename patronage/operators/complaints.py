@@ -108,6 +108,7 @@ def sentiment_by(scored: DataFrame, *keys: str, positive: bool = False) -> DataF
 
 def with_theme(complaints: DataFrame) -> DataFrame:
     """Theme of the dominant topic and the response flags."""
+    require_columns(complaints, ["dominant_topic", "timely_response"])
     topic = F.col("dominant_topic").cast("string").try_cast("double")
     return complaints.withColumns(
         {
@@ -118,12 +119,6 @@ def with_theme(complaints: DataFrame) -> DataFrame:
     )
 
 
-def themed(complaints: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS):
-    """Complaints with theme, response flags and raw-word sentiment."""
-    require_columns(complaints, ["dominant_topic", TEXT, "timely_response", "product", "issue"])
-    return with_raw_sentiment(with_theme(complaints), positive, negative)
-
-
 def theme_metrics(themes: DataFrame) -> DataFrame:
     """Volume, sentiment and response rates per theme."""
     groups = themes.groupBy("theme").agg(

@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 # models are trained in test_models_vectors.py with smaller sizes
 LONG = {
     "logistic_metrics", "forest_metrics", "boosting_metrics", "churn_model_compare", "churn_model_predictions", "feature_importance", "coefficient_drivers", "model_risk_explanations",
+    "customer_360_from_model",
 }
 
 
