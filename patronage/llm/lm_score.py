@@ -42,14 +42,22 @@ def file_blocks(rows: int = 4096) -> Column:
     return F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index DIV {rows}"))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane, which the shuffle's own compression shrinks."""
+    return values.astype(U).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(U).ravel()
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, which the shuffle's own compression shrinks."""
-    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=U(0)))
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+    return np.cumsum(_values(packed), dtype=U)
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,54 +90,59 @@ def _counted(seen: list[np.ndarray], asked: list[np.ndarray]) -> tuple[np.ndarra
     return keys, out
 
 
-def _requests(docs: DataFrame, bits: int, pairs: bool) -> DataFrame:
+def _requests(docs: DataFrame, bits: int) -> DataFrame:
     """(range, block, keys, counts): what each block has counted, cut by key range; held-out texts ask only."""
 
-    def cut(block: int, seen: list, asked: list) -> Iterator[tuple]:
-        keys, counts = _counted(seen, asked)
-        places = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
-        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(keys) else []
-        for start, stop in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            yield int(places[start]), block, _pack(keys[start:stop]), counts[start:stop].astype(np.int32)
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen, asked, held_tokens = None, [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(cut(current, seen, asked))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "block", "keys", "counts"])
+        def flush() -> pa.RecordBatch:
+            keys, counts = _counted(seen, asked)
+            rows = [(place, current, _pack(keys[part]), _planes(counts[part])) for place, part in _ranges(keys, bits)]
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "block", "keys", "counts"])
 
         for batch in small_batches(batches):
             blocks = batch.column("block").to_numpy()
             edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
             for start, stop in zip(edges, np.append(edges[1:], len(blocks)), strict=True):
                 if current is not None and (blocks[start] != current or held_tokens > GATHERED):
-                    yield from flush()
+                    yield flush()
                     seen, asked, held_tokens = [], [], 0
                 current = int(blocks[start])
                 part = batch.slice(start, stop - start)
                 tokens, bounds = _tokens(part.column("text"))
-                held = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-                for keys in (tokens, *([_pairs(tokens, bounds)] if pairs else [])):
+                held = _held(part, bounds)
+                for keys in (tokens, _pairs(tokens, bounds)):
                     seen.append(keys[~held])
-                    if pairs:
-                        asked.append(keys[held])
+                    asked.append(keys[held])
                 held_tokens += len(tokens)
         if current is not None:
-            yield from flush()
+            yield flush()
 
     rows = docs.select("block", "held_out", "text")
-    return rows.mapInArrow(gather, "range long, block long, keys binary, counts array<int>")
+    return rows.mapInArrow(gather, "range long, block long, keys binary, counts binary")
+
+
+def _held(batch: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+    """Which tokens are in held-out texts."""
+    return np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+
+
+def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The ranges that sorted keys fall into, by their leading bits, and where."""
+    places = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    for start, stop in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        yield int(places[start]), slice(start, stop)
 
 
 def _summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all requests of a key range: keys and own counts, sorted by key; where each key begins; the sums; each entry's row."""
     parts = [_unpack(k.as_py()) for k in group.column("keys")]
     keys = np.concatenate(parts)
-    own = np.concatenate([np.asarray(c.values) for c in group.column("counts")])
+    own = np.concatenate([_values(c.as_py()) for c in group.column("counts")])
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, own, row = keys[order], own[order].astype(np.int64), row[order]
@@ -138,14 +151,35 @@ def _summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def vocabulary(docs: DataFrame, bits: int) -> tuple[int, int]:
-    """N and V: all and distinct tokens of the training texts."""
+    """N and V: all and distinct tokens of the training texts. Tasks count their tokens and send their distinct words."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kept, n = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(seen))
+            rows = [(place, _pack(keys[part])) for place, part in _ranges(keys, bits)]
+            ranges, packed = zip(*rows, strict=True) if rows else ((), ())
+            first = [n] + [0] * (len(ranges) - 1) if ranges else []
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(packed, pa.binary()), pa.array(first, pa.int64())], ["range", "keys", "n"])
+
+        for batch in small_batches(batches):
+            tokens, _ = _tokens(batch.column("text"))
+            n += len(tokens)
+            seen.append(np.unique(tokens))
+            kept += len(seen[-1])
+            if kept > GATHERED:
+                yield flush()
+                seen, kept, n = [], 0, 0
+        if seen:
+            yield flush()
 
     def size(group: pa.Table) -> pa.Table:
-        _, _, _, sums, _ = _summed(group)
-        return pa.table({"n": pa.array([int(sums.sum())]), "v": pa.array([int((sums > 0).sum())])})
+        keys = np.unique(np.concatenate([_unpack(k.as_py()) for k in group.column("keys")]))
+        return pa.table({"n": pa.array([sum(group.column("n").to_pylist())]), "v": pa.array([len(keys)])})
 
-    sums = _requests(docs, bits, pairs=False).groupBy("range").applyInArrow(size, "n long, v long")
-    n, v = sums.agg(F.sum("n"), F.sum("v")).first()
+    found = docs.where("NOT held_out").select("text").mapInArrow(gather, "range long, keys binary, n long")
+    n, v = found.groupBy("range").applyInArrow(size, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return n or 0, v or 0
 
 
@@ -164,11 +198,11 @@ def _answers(docs: DataFrame, bits: int) -> DataFrame:
         for i, block in enumerate(blocks):
             if edges[i] < edges[i + 1]:
                 part = slice(edges[i], edges[i + 1])
-                out.append((block, _pack(keys[part]), totals[part]))
+                out.append((block, _pack(keys[part]), _planes(totals[part])))
         columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["block", "keys", "totals"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "keys", "totals"])
 
-    return _requests(docs, bits, pairs=True).groupBy("range").applyInArrow(answer, "block long, keys binary, totals array<long>")
+    return _requests(docs, bits).groupBy("range").applyInArrow(answer, "block long, keys binary, totals binary")
 
 
 def walk(tokens: np.ndarray, bounds: np.ndarray, keys: np.ndarray, totals: np.ndarray, n: int, v: int, weight: float) -> dict[str, np.ndarray]:
@@ -216,14 +250,14 @@ def score_documents(docs: DataFrame, block: Column | None = None, model: Backoff
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         seen, asked = [], []
         for batch, tokens, bounds in parts:
-            held = np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+            held = _held(batch, bounds)
             for keys in (tokens, _pairs(tokens, bounds)):
                 seen.append(keys[~held])
                 asked.append(keys[held])
         keys, totals = _counted(seen, [*asked, np.array([END])])
         del seen, asked
         for packed, sums in zip(found.column("keys"), found.column("totals"), strict=True):
-            totals[np.searchsorted(keys, _unpack(packed.as_py()))] = np.asarray(sums.values)
+            totals[np.searchsorted(keys, _unpack(packed.as_py()))] = _values(sums.as_py())
         for batch, tokens, bounds in parts:
             scores = walk(tokens, bounds, keys, totals, n, v, model.weight)
             out.append(pa.table({
