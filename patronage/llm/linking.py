@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from patronage.session import pin
 
 MEMBER = "key long, id long, centre long"
 #: Slots of the fixed-size bitmap; it fills 2 MB whatever the input.
 SLOT_BITS = 24
+MARK_BITS = 1024
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
@@ -69,28 +70,108 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def set_components(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (id, root) of sets with a Jaccard similarity of at least num / den.
+
+    ``sets`` is a stored table (id, fragment, n, grams, marks): the elements of a set of n in any fragments, and in its first
+    fragment the parity marks of the whole set. Elements are ordered by
+    how many sets have them. Two linked sets differ in at most (n + m)(den - num)/(den + num) elements, and all elements
+    before the first that they share are such; so only elements near the front of a set can be that first one, and
+    the sum of both places is bounded. Sets with many elements of their own so have no candidates at all.
+
+    First each set is compared with one other, the nearest centre of its elements. Then all candidate pairs still in different
+    components are compared; pairs inside a component cannot change the result and are not made.
+    """
+    numbered = (
+        sets.select("id", "n", F.explode("grams").alias("key"))
+        .withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        .withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("sets", "key")).cast("long") - 1)
+    )
+    front = pin(
+        numbered.where((F.col("sets") > 1) & (F.col("place") * num <= F.col("n") * (den - num)))
+        .select("key", "id", "n", "place", (F.col("place") * 1_000_000 / F.col("n")).cast("long").alias("order"))
+    )
+
+    def possible(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return ((F.col(f"{x}.place") + F.col(f"{y}.place")) * (den + num) <= (n + m) * (den - num)) & (
+            F.least(n, m) * den >= F.greatest(n, m) * num
+        )
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("id").alias(x), "fragment", F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(
+            "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap")
+        )
+        summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
+        return summed.where(F.col("overlap") * den >= union * num).select("a", "b")
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
+
+    centre = F.first(F.struct("id", "n", "place")).over(Window.partitionBy("key").orderBy("order", "id"))
+    stars = front.select(F.struct("id", "n", "place").alias("x"), centre.alias("c")).where((F.col("x.id") != F.col("c.id")) & possible("x", "c"))
+    nearest = stars.groupBy("x.id").agg(F.min(F.struct((F.col("x.place") + F.col("c.place")).alias("sum"), *pair("x", "c"))).alias("best"))
+    links = pin(verify(nearest.select("best.a", "best.b").distinct()))
+    roots = components(links)
+    named = front.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    marks = sets.where("marks IS NOT NULL").select("id", "marks")
+    rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(marks, "id"))
+    # the places of a pair cannot both be above their set's own part of the bound
+    low = rest.where(F.col("place") * (den + num) <= F.col("n") * (den - num))
+    crossing = (
+        low.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y") & few_odd("x", "y", num, den))
+        .select(*pair("x", "y")).distinct()
+    )
+    new = pin(verify(crossing))
+    return roots if new.isEmpty() else components(links.unionByName(new))
+
+
+def parity_marks(elements: np.ndarray) -> np.ndarray:
+    """1,024 bits, each the parity of the elements that fall on it, as 16 longs.
+
+    Two sets differ in at least as many elements as their marks differ in bits, so marks rule out pairs and never a link.
+    """
+    odd = np.bincount((elements & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def few_odd(x: str, y: str, num: int, den: int) -> Column:
+    """The marks of x and y differ in no more bits than linked sets of their sizes differ in elements."""
+    bits = F.zip_with(f"{x}.marks", f"{y}.marks", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    odd = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    return odd * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num)
+
+
+def linked_components(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Components (id, root) of the verified links among the members of each key.
 
-    First each member is compared with the centre of its keys. Then all pairs of a key that are still in
-    different components are compared; pairs inside a component cannot change the result and are not made.
+    First each member is compared with the centre with which it shares most keys. Then all pairs of a key that are still in
+    different components, and that their sizes and marks (id, n, marks) do not rule out, are compared; pairs inside a
+    component cannot change the result and are not made.
     """
-    stars = members.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    counted = members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
+    nearest = counted.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select("id", "best.centre")
+    x, y = marks.alias("x"), marks.alias("y")
+    stars = (
+        nearest.join(x, F.col("x.id") == nearest["id"]).join(y, F.col("y.id") == nearest["centre"]).where(few_odd("x", "y", num, den))
+        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    )
     links = pin(verify(stars))
     roots = components(links)
     all_rows = members.select("key", "id").unionByName(members.select("key", F.col("centre").alias("id")).distinct())
     named = _with_root(all_rows, roots)
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_rows = pin(named.join(mixed.select("key"), "key", "left_semi"))
-    if open_rows.isEmpty():
-        return roots
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(marks, "id"))
+    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
     crossing = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-        .distinct()
+        rest.alias("x")
+        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & sizes & few_odd("x", "y", num, den))
+        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     )
-    new = pin(verify(crossing.join(stars, ["a", "b"], "left_anti")))
+    new = pin(verify(crossing))
     return roots if new.isEmpty() else components(links.unionByName(new))
 
 

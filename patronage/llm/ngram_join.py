@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join of documents by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments of equal width; a
-document's n-grams inside a fragment are its segment there. Two sets with ``links`` similarity differ in at most
-(n + m)(1 - t)/(1 + t) n-grams, so with one fragment more than that some segment is the same in both. Fragments are
-joined separately on their segments, which gives all candidates and no more than a few others; then the overlap of
-each candidate pair is counted fragment by fragment and summed.
+N-grams have a global order, that of their 64-bit hashes. It is cut into fragments of equal width; a document's n-grams
+inside a fragment are its segment there. Two linked sets differ in at most (n + m)(1 - t)/(1 + t) n-grams, so with one
+fragment more than that, some segment is the same in both. Fragments are joined separately on their segments, which
+leaves the documents that can have links at all. Among those, candidate pairs come from the n-grams that the fewest
+documents have, and their overlaps are counted fragment by fragment and summed per pair.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, bucket_members, in_bitmap, linked_components, share, text_key
+from patronage.llm.linking import bitmap, bucket_members, in_bitmap, parity_marks, set_components, share, text_key
 from patronage.llm.textops import U, as_long, mix, mix_one, per_text, shingles, small_batches, words
 from patronage.session import pin
 
@@ -119,7 +119,7 @@ def segment_keys(docs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def _counted_segments(docs: DataFrame, wanted: np.ndarray, similarity: Similarity) -> DataFrame:
-    """(id, fragment, n, grams) of the sets in the bitmap ``wanted``."""
+    """(id, fragment, n, grams, marks) of the sets in the bitmap ``wanted``; the marks of the whole set stand in fragment 0."""
     shared = share(docs.sparkSession, wanted)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,35 +130,25 @@ def _counted_segments(docs: DataFrame, wanted: np.ndarray, similarity: Similarit
             for i in np.flatnonzero(picked)[np.unique(ids[picked], return_index=True)[1]]:
                 grams = sets[i]
                 cuts = np.searchsorted(grams, [U(((1 << 64) - 1) // COUNT_FRAGMENTS * f) for f in range(1, COUNT_FRAGMENTS)])
-                out += [(ids[i].view(np.int64), f, len(grams), part.view(np.int64)) for f, part in enumerate(np.split(grams, cuts))]
+                marks = parity_marks(grams)
+                out += [(ids[i].view(np.int64), f, len(grams), part.view(np.int64), None if f else marks) for f, part in enumerate(np.split(grams, cuts))]
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)],
-                    ["id", "fragment", "n", "grams"],
+                    [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
+                    ["id", "fragment", "n", "grams", "marks"],
                 )
 
-    rows = docs.select("text").mapInArrow(segments, "id long, fragment int, n long, grams array<long>")
+    rows = docs.select("text").mapInArrow(segments, "id long, fragment int, n long, grams array<long>, marks array<long>")
     return rows.dropDuplicates(["id", "fragment"])
 
 
 def _components(docs: DataFrame, similarity: Similarity) -> DataFrame:
     """(doc_id, text_key, n_shingles, root, component_id); root names the component and is null without words."""
     sets = pin(document_sets(docs, similarity))
-    members = pin(bucket_members(segment_keys(docs, similarity)))
-    ids = members.select("id").unionByName(members.select(F.col("centre").alias("id")))
-    segments = pin(_counted_segments(docs, bitmap(ids.distinct()), similarity))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = segments.select(F.col("id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-        b = segments.select(F.col("id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-        partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(
-            "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap")
-        )
-        summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
-        return summed.where(F.col("overlap") * similarity.den >= union * similarity.num).select("a", "b")
-
-    roots = linked_components(members, verify).withColumnRenamed("id", "set_key")
+    members = bucket_members(segment_keys(docs, similarity))
+    near = pin(members.select(F.explode(F.array("id", "centre")).alias("id")).distinct())
+    segments = pin(_counted_segments(docs, bitmap(near), similarity).join(near, "id", "left_semi"))
+    roots = set_components(segments, similarity.num, similarity.den).withColumnRenamed("id", "set_key")
     named = pin(
         sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("low"))
         .join(roots, "set_key", "left")
