@@ -124,7 +124,7 @@ def read_page(source: str) -> Page:
 
 
 def _inside(path: str, slot: str) -> bool:
-    return path == slot or path.startswith(slot + ">")
+    return not slot or path == slot or path.startswith(slot + ">")
 
 
 def blocks(page: Page, slot: str) -> str:
@@ -142,16 +142,19 @@ def blocks(page: Page, slot: str) -> str:
 
 
 def slot_sizes(page: Page) -> dict[str, tuple[int, int]]:
-    """Characters of text, and of text in links, below each path that occurs once and is not clutter."""
+    """Characters of text, and of text in links, below the page and each block element that occurs once and is not clutter."""
     out: dict[str, list[int]] = {}
     for node, text in page.pieces:
         if text != BREAK and not node.clutter and (n := len(text.strip())):
             path = node.path
-            while path:
-                if page.counts.get(path) == 1:
+            while True:
+                inline = path.rpartition(">")[2].partition(".")[0] in INLINE
+                if not path or (page.counts.get(path) == 1 and not inline):
                     sizes = out.setdefault(path, [0, 0])
                     sizes[0] += n
                     sizes[1] += n * node.link
+                if not path:
+                    break
                 path = path.rpartition(">")[0]
     return {k: (v[0], v[1]) for k, v in out.items()}
 

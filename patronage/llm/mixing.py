@@ -59,25 +59,33 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: int) -> list[f
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, slots: int) -> np.ndarray:
     """How many documents of each distinct size to take so that their words come as near to ``budget`` as they can.
 
-    Takes the same share of each size, then whole documents from the largest size down while more than ``slots`` words are
-    left, then solves the remainder exactly: bit b of ``reach`` says that b words can be made of the sizes so far.
+    Takes the same share of each size and fills the rest. If that misses the budget, half that share and none are tried too.
     """
     share = min(1.0, budget / max(1, int((sizes * counts).sum())))
+    best = None
+    for part in (share, share / 2, 0.0):
+        taken = _fill(sizes, counts, budget, slots, part)
+        gap = abs(int((sizes * taken).sum()) - budget)
+        if best is None or gap < best[0]:
+            best = gap, taken
+        if not gap:
+            break
+    return best[1]
+
+
+def _fill(sizes: np.ndarray, counts: np.ndarray, budget: int, slots: int, share: float) -> np.ndarray:
+    """Takes ``share`` of each size, then whole documents from the largest size down while more than ``slots`` words are left,
+    then solves the remainder exactly: bit b of ``reach`` says that b words can be made of the sizes so far.
+    """
     taken = np.floor(counts * share).astype(np.int64)
-    left = budget - int((sizes * taken).sum())
+    left = max(0, budget - int((sizes * taken).sum()))
     for i in np.argsort(-sizes, kind="stable"):
         if left <= slots:
             break
         more = min(int(counts[i] - taken[i]), max(0, left - slots + int(sizes[i]) - 1) // int(sizes[i]), left // int(sizes[i]))
         taken[i] += more
         left -= more * int(sizes[i])
-    for i in np.flatnonzero(taken) if left < 0 else ():
-        less = min(int(taken[i]), -(left // int(sizes[i])))
-        taken[i] -= less
-        left += less * int(sizes[i])
-        if left >= 0:
-            break
-    window = int(left) + int(sizes.min())  # the nearest sum may lie above
+    window = left + min(left, int(sizes.max()))  # the nearest sum may lie above
     mask, reach, steps = (1 << (window + 1)) - 1, 1, []
     for i in np.argsort(sizes, kind="stable"):
         size, free = int(sizes[i]), int(counts[i] - taken[i])
