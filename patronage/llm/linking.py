@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -204,6 +205,12 @@ def share(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used, before a next large shuffle is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(column: str = "text") -> Column:
     """A hash that, with the id, names a row where ids repeat or are null."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

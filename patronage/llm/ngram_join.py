@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, bucket_members, in_bitmap, parity_marks, set_components, share, text_key
+from patronage.llm.linking import bitmap, bucket_members, free_shuffles, in_bitmap, parity_marks, set_components, share, text_key
 from patronage.llm.textops import U, as_long, mix, mix_one, per_text, shingles, small_batches, words
 from patronage.session import pin
 
@@ -147,6 +147,8 @@ def _components(docs: DataFrame, similarity: Similarity) -> DataFrame:
     sets = pin(document_sets(docs, similarity))
     members = bucket_members(segment_keys(docs, similarity))
     near = pin(members.select(F.explode(F.array("id", "centre")).alias("id")).distinct())
+    del members
+    free_shuffles(docs.sparkSession)
     segments = pin(_counted_segments(docs, bitmap(near), similarity).join(near, "id", "left_semi"))
     roots = set_components(segments, similarity.num, similarity.den).withColumnRenamed("id", "set_key")
     named = pin(
