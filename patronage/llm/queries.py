@@ -101,10 +101,10 @@ LLM_ORACLE: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b LEFT JOIN m ON b.n = m.n AND k = 1
     """,
     "op5_ngram_jaccard_join": f"""
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_FOLD.format("coalesce(text, '')")}, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_FOLD.format("coalesce(text, '')")}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
-        n AS (SELECT doc_id, len(g) AS n, list_sort(list_transform(g, x -> hash(x))) AS g FROM s),
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+        n AS (SELECT doc_id, len(g) AS n, list_sort(list_transform(g, lambda x: hash(x))) AS g FROM s),
         f AS (SELECT doc_id, n, unnest(g) AS x FROM n),
         c AS (SELECT x, count(*) AS df FROM f GROUP BY x HAVING count(*) > 1),
         o AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), x) AS k FROM f LEFT JOIN c USING (x)),
