@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronage.session import pin
 
@@ -71,61 +72,100 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def set_components(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (id, root) of sets with a Jaccard similarity of at least num / den.
+@dataclass(frozen=True)
+class Fronts:
+    """The first elements of a set in a global order, of which sets with a Jaccard similarity of num / den share one.
 
-    ``sets`` is a stored table (id, fragment, n, grams, marks): the elements of a set of n in any fragments, and in its first
-    fragment the parity marks of the whole set. Elements are ordered by
-    how many sets have them. Two linked sets differ in at most (n + m)(den - num)/(den + num) elements, and all elements
-    before the first that they share are such; so only elements near the front of a set can be that first one, and
-    the sum of both places is bounded. Sets with many elements of their own so have no candidates at all.
-
-    First each set is compared with one other, the nearest centre of its elements. Then all candidate pairs still in different
-    components are compared; pairs inside a component cannot change the result and are not made.
+    Of two linked sets of n and m at least o = (n + m) num / (den + num) elements are shared, so the first shared one has
+    at most n - o elements before it in one set and m - o in the other. A place is kept as a 256th part of the front,
+    rounded down, in the last byte of the element's key.
     """
-    numbered = (
-        sets.select("id", "n", F.explode("grams").alias("key"))
-        .withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        .withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("sets", "key")).cast("long") - 1)
-    )
-    front = pin(
-        numbered.where((F.col("sets") > 1) & (F.col("place") * num <= F.col("n") * (den - num)))
-        .select("key", "id", "n", "place", (F.col("place") * 1_000_000 / F.col("n")).cast("long").alias("order"))
-    )
 
-    def possible(x: str, y: str) -> Column:
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return ((F.col(f"{x}.place") + F.col(f"{y}.place")) * (den + num) <= (n + m) * (den - num)) & (
-            F.least(n, m) * den >= F.greatest(n, m) * num
-        )
+    num: int
+    den: int
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(x), "fragment", F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(
-            "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap")
+    def size(self, n: int) -> int:
+        return n * (self.den - self.num) // self.den + 1
+
+    def place(self, x: str) -> Column:
+        size = F.floor(F.col(f"{x}.n") * (self.den - self.num) / self.den) + 1
+        return F.floor(F.col(f"{x}.place") * size / 256)
+
+    def possible(self, x: str, y: str) -> Column:
+        shared = (F.col(f"{x}.n") + F.col(f"{y}.n")) * self.num
+        return ((F.col(f"{x}.n") - self.place(x)) * (self.den + self.num) >= shared) & (
+            (F.col(f"{y}.n") - self.place(y)) * (self.den + self.num) >= shared
         )
-        summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
-        return summed.where(F.col("overlap") * den >= union * num).select("a", "b")
 
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
+    def members(self, keys: DataFrame) -> DataFrame:
+        """(key, id) -> (key, id, place, centre, centre_place, leads): all members of an element but the foremost, the centre.
+
+        Rows of an element are read in order as a stream, so a frequent one is never held in memory; elements with
+        one id vanish here. The first member of each element ``leads``: it stands for the centre's own row.
+        """
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last_key = last_id = kept_key = centre = centre_place = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                packed, ident = (batch.column(i).to_numpy() for i in (0, 1))
+                key, place = packed >> 8, packed & 255
+                first = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
+                again = np.append(not first[0] and ident[0] == last_id, ident[1:] == ident[:-1]) & ~first
+                begun = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+                centres = np.where(begun < 0, 0 if centre is None else centre, ident[begun])
+                centre_places = np.where(begun < 0, 0 if centre_place is None else centre_place, place[begun])
+                keep = (ident != centres) & ~again
+                last_key, last_id, centre, centre_place = key[-1], ident[-1], centres[-1], centre_places[-1]
+                if keep.any():
+                    kept = key[keep]
+                    leads = np.append(kept_key is None or kept[0] != kept_key, kept[1:] != kept[:-1])
+                    kept_key = kept[-1]
+                    columns = [kept, ident[keep], place[keep], centres[keep], centre_places[keep], leads]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "place", "centre", "centre_place", "leads"])
+
+        sorted_keys = keys.select("key", "id").repartition(F.shiftright("key", 8)).sortWithinPartitions("key", "id")
+        return sorted_keys.mapInArrow(stream, "key long, id long, place long, centre long, centre_place long, leads boolean")
+
+
+def front_components(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], fronts: Fronts) -> DataFrame:
+    """Components (id, root) of the sets (id, n, marks) that ``verify`` links, from the stored members of their fronts.
+
+    First each set is compared with the centre with which it shares most of its front. Then all candidate pairs still in
+    different components are compared; pairs inside a component cannot change the result and are not made.
+    """
+    num, den = fronts.num, fronts.den
+    counted = members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
+    nearest = counted.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select("id", "best.centre")
+    x, y = sets.alias("x"), sets.alias("y")
+    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    swap = F.col("x.id") < F.col("y.id")
 
-    centre = F.first(F.struct("id", "n", "place")).over(Window.partitionBy("key").orderBy("order", "id"))
-    stars = front.select(F.struct("id", "n", "place").alias("x"), centre.alias("c")).where((F.col("x.id") != F.col("c.id")) & possible("x", "c"))
-    nearest = stars.groupBy("x.id").agg(F.min(F.struct((F.col("x.place") + F.col("c.place")).alias("sum"), *pair("x", "c"))).alias("best"))
-    links = pin(verify(nearest.select("best.a", "best.b").distinct()))
+    def pair() -> list[Column]:
+        return [
+            F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"),
+            F.when(swap, F.col("y.n")).otherwise(F.col("x.n")).alias("n_a"), F.when(swap, F.col("x.n")).otherwise(F.col("y.n")).alias("n_b"),
+        ]
+
+    stars = nearest.join(x, F.col("x.id") == nearest["id"]).join(y, F.col("y.id") == nearest["centre"]).where(sizes & few_odd("x", "y", num, den))
+    links = pin(verify(pin(stars.select(*pair()).distinct())))
     roots = components(links)
-    named = front.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = members.select("key", "id", "place").unionByName(
+        members.where("leads").select("key", F.col("centre").alias("id"), F.col("centre_place").alias("place"))
+    )
+    named = rows.join(roots, "id", "left").select("key", "id", "place", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    marks = sets.where("marks IS NOT NULL").select("id", "marks")
-    rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(marks, "id"))
-    # the places of a pair cannot both be above their set's own part of the bound
-    low = rest.where(F.col("place") * (den + num) <= F.col("n") * (den - num))
+    rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(sets, "id"))
+    # of a pair, the smaller set has the first shared element within its own part of the bound
+    low = rest.alias("x").where(fronts.place("x") * (den + num) <= F.col("x.n") * (den - num))
     crossing = (
-        low.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y") & few_odd("x", "y", num, den))
-        .select(*pair("x", "y")).distinct()
+        low.join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & fronts.possible("x", "y") & few_odd("x", "y", num, den))
+        .select(*pair()).distinct()
     )
+    crossing = pin(crossing)
+    if crossing.isEmpty():
+        return roots
     new = pin(verify(crossing))
     return roots if new.isEmpty() else components(links.unionByName(new))
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join of documents by vertical partitioning.
 
-N-grams have a global order, that of their 64-bit hashes. It is cut into fragments of equal width; a document's n-grams
-inside a fragment are its segment there. Two linked sets differ in at most (n + m)(1 - t)/(1 + t) n-grams, so with one
-fragment more than that, some segment is the same in both. Fragments are joined separately on their segments, which
-leaves the documents that can have links at all. Among those, candidate pairs come from the n-grams that the fewest
-documents have, and their overlaps are counted fragment by fragment and summed per pair.
+N-grams have one global order: rough frequency first (from a table of counters of fixed size over all documents), then their
+64-bit hashes. Two linked sets share an n-gram within the first (1 - t) of either set, so the fronts of all sets, joined
+n-gram by n-gram, leave the pairs that can be links. The order of hashes is cut into fragments; the overlaps of a
+candidate pair are counted fragment by fragment and summed.
+
+Any function of the n-gram is a valid order, so rough counters cost candidates at most, never a link.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, bucket_members, free_shuffles, in_bitmap, parity_marks, set_components, share, text_key
+from patronage.llm.linking import Fronts, bitmap, front_components, free_shuffles, in_bitmap, parity_marks, share, text_key
 from patronage.llm.textops import U, as_long, mix, mix_one, per_text, shingles, small_batches, words
 from patronage.session import pin
 
 #: Fragments in which the overlap of a pair is counted: a row holds about so many parts less of a document's n-grams.
 COUNT_FRAGMENTS = 4
-#: Cuts tried for a set with an empty segment before empty segments are joined too.
-CUTS = 3
-LARGEST = 1 << 40
+#: Counters of n-grams by the first bits of their hash, whatever the input; they travel in parts.
+COUNTER_BITS, COUNTER_PARTS = 18, 8
+LOW_56 = U((1 << 56) - 1)
 
 
 @dataclass(frozen=True)
@@ -35,40 +36,13 @@ class Similarity:
     num: int = 80
     den: int = 100
 
-    def bounds(self) -> np.ndarray:
-        """Size classes: linked sets lie in the same class or in neighbouring ones."""
-        out = [1]
-        while out[-1] < LARGEST:
-            out.append(out[-1] * self.den // self.num + 1)
-        return np.array(out)
-
-    def fragments(self, largest: int) -> int:
-        """One more than the n-grams in which linked sets of up to ``largest`` can differ."""
-        return 2 * largest * (self.den - self.num) // (self.den + self.num) + 1
-
 
 def _set_key(grams: np.ndarray) -> int:
     return mix_one(int(np.add.reduce(mix(grams ^ U(0xA5A5A5A5A5A5A5A5)))) + mix_one(len(grams)))
 
 
-def _segment_keys(grams: np.ndarray, fragments: int, size_class: int) -> np.ndarray:
-    """Keys of the segments of one set, cut into ``fragments``.
-
-    Linked sets may agree only in segments that are empty in both. Such sets are cut anew by another order, and
-    in the last cut empty segments count as segments.
-    """
-    keys = []
-    for cut in range(CUTS):
-        order = np.sort(mix(grams + U(mix_one(1000 + cut))))
-        place = ((order >> U(32)) * U(fragments)) >> U(32)
-        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        seed = U(mix_one(size_class * 64 + cut))
-        keys.append(mix(np.add.reduceat(mix(order), starts) + mix(place[starts] + seed)))
-        if len(starts) == fragments:
-            break
-    else:
-        keys.append(mix(mix(np.setdiff1d(np.arange(fragments, dtype=U), place) + seed) + U(1)))
-    return np.concatenate(keys)
+def _signed(value: int) -> int:
+    return np.array(value, dtype=U).view(np.int64).item()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -76,51 +50,91 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
         yield batch, list(per_text(*shingles(*words(batch.column("text")), size)))
 
 
+SETS = "doc_id long, text_key long, n_shingles long, set_key long, marks array<long>"
+
+
 def document_sets(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key) for every row; equal sets have equal keys, an empty set has none."""
+    """(doc_id, text_key, n_shingles, set_key, marks) for every row; equal sets have equal keys, an empty set has none."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, similarity.size):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([np.array(_set_key(s), dtype=U).view(np.int64).item() if len(s) else None for s in sets], pa.int64()),
+                    pa.array([_signed(_set_key(s)) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([parity_marks(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text_key", "n_shingles", "set_key"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "marks"],
             )
 
-    return _rows(docs).mapInArrow(describe, "doc_id long, text_key long, n_shingles long, set_key long")
+    return _rows(docs).mapInArrow(describe, SETS)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
 
 
-def segment_keys(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """(key, id): the segments of every set, in its own size class and the next one."""
-    bounds = similarity.bounds()
+def frequency_levels(docs: DataFrame, similarity: Similarity) -> np.ndarray:
+    """Rough frequency of the n-grams by the first bits of their hash, on a scale of a fifth more from level to level.
+
+    Each task sends its counters in the narrowest type; their sums, of fixed size, go through the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for _, sets in _sets(batches, similarity.size):
+            seen += np.bincount((np.concatenate(sets) >> U(64 - COUNTER_BITS)).astype(np.int64), minlength=len(seen))
+        for part, counts in enumerate(np.split(seen, COUNTER_PARTS)):
+            if counts.any():
+                kind = np.min_scalar_type(int(counts.max()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([kind.itemsize], pa.int32()), pa.array([counts.astype(kind).tobytes()], pa.binary())],
+                    ["part", "width", "counts"],
+                )
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = np.frombuffer(row["counts"], dtype=f"u{row['width']}").astype(np.int64)
+                sums[row["part"]] = sums[row["part"]] + counts if row["part"] in sums else counts
+        for part, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
+
+    sent = docs.select("text").mapInArrow(count, "part int, width int, counts binary")
+    sums = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), dtype=np.int64)
+    for row in sent.repartition("part").mapInArrow(total, "part int, counts binary").collect():  # one row per part
+        sums[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    return np.floor(4 * np.log2(sums.reshape(-1) + 1)).astype(np.uint8)
+
+
+def set_fronts(docs: DataFrame, similarity: Similarity, levels: np.ndarray) -> DataFrame:
+    """(key, id): the first n-grams of every set in the global order, with their place in the last byte of the key."""
+    shared = share(docs.sparkSession, levels)  # one byte per counter
+    fronts = Fronts(similarity.num, similarity.den)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
         for _, sets in _sets(batches, similarity.size):
             keys, ids, seen = [], [], set()
             for grams in sets:
                 if len(grams) and (ident := _set_key(grams)) not in seen:
                     seen.add(ident)
-                    own = int(np.searchsorted(bounds, len(grams), side="right")) - 1
-                    for size_class in (own, own + 1):
-                        fragments = similarity.fragments(int(bounds[size_class + 1]) - 1)
-                        if fragments > 1:  # else linked sets are equal sets
-                            keys.append(_segment_keys(grams, fragments, size_class))
-                            ids.append(np.full(len(keys[-1]), ident, dtype=U))
+                    size = fronts.size(len(grams))
+                    order = (level[grams >> U(64 - COUNTER_BITS)].astype(U) << U(56)) | (grams & LOW_56)
+                    first = np.sort(np.partition(order, size - 1)[:size])
+                    keys.append((first & ~U(255)) | (np.arange(size, dtype=U) * U(256) // U(size)))
+                    ids.append(np.full(size, ident, dtype=U))
             if keys:
                 yield pa.RecordBatch.from_arrays([as_long(np.concatenate(x)) for x in (keys, ids)], ["key", "id"])
 
     return docs.select("text").mapInArrow(cut, "key long, id long")
 
 
-def _counted_segments(docs: DataFrame, wanted: np.ndarray, similarity: Similarity) -> DataFrame:
-    """(id, fragment, n, grams, marks) of the sets in the bitmap ``wanted``; the marks of the whole set stand in fragment 0."""
+def _grams(docs: DataFrame, wanted: np.ndarray, similarity: Similarity) -> DataFrame:
+    """(id, fragment, grams) of the sets in the bitmap ``wanted``, partitioned by id; a repeated set comes once."""
     shared = share(docs.sparkSession, wanted)
+    cuts = [U(((1 << 64) - 1) // COUNT_FRAGMENTS * f) for f in range(1, COUNT_FRAGMENTS)]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, similarity.size):
@@ -128,29 +142,44 @@ def _counted_segments(docs: DataFrame, wanted: np.ndarray, similarity: Similarit
             picked = in_bitmap(shared.value, ids.view(np.int64)) & np.array([len(s) > 0 for s in sets], dtype=bool)
             out: list[tuple] = []
             for i in np.flatnonzero(picked)[np.unique(ids[picked], return_index=True)[1]]:
-                grams = sets[i]
-                cuts = np.searchsorted(grams, [U(((1 << 64) - 1) // COUNT_FRAGMENTS * f) for f in range(1, COUNT_FRAGMENTS)])
-                marks = parity_marks(grams)
-                out += [(ids[i].view(np.int64), f, len(grams), part.view(np.int64), None if f else marks) for f, part in enumerate(np.split(grams, cuts))]
+                parts = np.split(sets[i], np.searchsorted(sets[i], cuts))
+                out += [(ids[i].view(np.int64), f, part.view(np.int64)) for f, part in enumerate(parts)]
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
-                    ["id", "fragment", "n", "grams", "marks"],
+                    [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)],
+                    ["id", "fragment", "grams"],
                 )
 
-    rows = docs.select("text").mapInArrow(segments, "id long, fragment int, n long, grams array<long>, marks array<long>")
-    return rows.dropDuplicates(["id", "fragment"])
+    rows = docs.select("text").mapInArrow(segments, "id long, fragment int, grams array<long>")
+    return rows.repartition("id").dropDuplicates(["id", "fragment"])
 
 
 def _components(docs: DataFrame, similarity: Similarity) -> DataFrame:
     """(doc_id, text_key, n_shingles, root, component_id); root names the component and is null without words."""
+    spark = docs.sparkSession
     sets = pin(document_sets(docs, similarity))
-    members = bucket_members(segment_keys(docs, similarity))
-    near = pin(members.select(F.explode(F.array("id", "centre")).alias("id")).distinct())
-    del members
-    free_shuffles(docs.sparkSession)
-    segments = pin(_counted_segments(docs, bitmap(near), similarity).join(near, "id", "left_semi"))
-    roots = set_components(segments, similarity.num, similarity.den).withColumnRenamed("id", "set_key")
+    fronts = Fronts(similarity.num, similarity.den)
+    members = pin(fronts.members(set_fronts(docs, similarity, frequency_levels(docs, similarity))))
+    free_shuffles(spark)
+    described = sets.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(
+        F.first("n_shingles").alias("n"), F.first("marks").alias("marks")  # the same in all rows of a key
+    )
+    near = members.select(F.explode(F.array("id", "centre")).alias("id")).distinct()
+    described = pin(described.join(near, "id", "left_semi"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) that are links: overlaps by fragment, summed."""
+        free_shuffles(spark)
+        grams = _grams(docs, bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id"))), similarity)
+        a, b = (grams.select(F.col("id").alias(x), F.col("fragment").alias(f"fragment_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        partial = pairs.join(a, "a").join(b, "b").where("fragment_a = fragment_b").select(
+            "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap")
+        )
+        summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
+        return summed.where(F.col("overlap") * similarity.den >= union * similarity.num).select("a", "b")
+
+    roots = front_components(members, described, verify, fronts).withColumnRenamed("id", "set_key")
     named = pin(
         sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("low"))
         .join(roots, "set_key", "left")
