@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.queries import CHANNEL_ROWS, CONTRIBUTION_WEIGHTS, NEGATIVE, POSITIVE, STOP_WORDS
+from catalog.queries import CHANNEL_ROWS, CONTRIBUTION_WEIGHTS, LOOKED_UP, NEGATIVE, POSITIVE, STOP_WORDS
 from patronage.functions import fixed_values as fv
 from patronage.plans.customer360 import CUTOFF
 
@@ -605,6 +605,8 @@ sql("sentiment_by_channel", SCORED, sentiment_sql("scored", "submitted_via"))
 sql("complaint_categories", SCORED, sentiment_sql("scored", "product, issue"))
 sql("channel_sample", [COMPLAINTS], f"""SELECT complaint_id, issue, product FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY issue ORDER BY complaint_id) AS r
  FROM cc WHERE TRIM(text) <> '' AND issue IS NOT NULL) WHERE r <= {CHANNEL_ROWS}""")
+sql("channel_sample_default", [COMPLAINTS], """SELECT complaint_id, issue, product FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY issue ORDER BY complaint_id) AS r
+ FROM cc WHERE TRIM(text) <> '' AND issue IS NOT NULL) WHERE r <= 5000""")
 sql("channel_counts", [COMPLAINTS], "SELECT COALESCE(submitted_via, 'Unknown') AS submitted_via, COUNT(*) AS complaints FROM cc WHERE TRIM(text) <> '' GROUP BY 1")
 
 
@@ -684,6 +686,35 @@ def cell_ctes(source: str, a: str, b: str) -> list[str]:
     ]
 
 
+STEPS = 4000
+
+
+def t_tail(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule on the angle whose tangent is t / sqrt(dof)."""
+    angle = f"atan(ABS({t}) / sqrt({dof}))"
+    weights = f"CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, {STEPS + 1}), lambda i: ({weights}) * pow(cos({angle} * i / {STEPS}.0), {dof} - 1.0))) * {angle} / {3 * STEPS}.0"
+    return f"GREATEST(0.0, 1.0 - 2.0 * exp(lgamma(({dof} + 1.0) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi()) * {area})"
+
+
+def chi_tail(x: str, dof: str) -> str:
+    """Upper tail of chi-square from the series of the lower one, its terms summed as exponentials of logarithms."""
+    terms = f"list_transform(range(0, {STEPS}), lambda i: exp(({dof} / 2.0 + i) * ln(({x}) / 2.0) - ({x}) / 2.0 - lgamma({dof} / 2.0 + i + 1.0)))"
+    return f"CASE WHEN ({x}) <= 0 OR {dof} = 0 THEN 1.0 ELSE GREATEST(0.0, 1.0 - list_sum({terms})) END"
+
+
+def chi_test_sql(name: str, source: str, a: str, b: str, number: int) -> str:
+    """The test row of one pair of columns, with its own copy of the cells."""
+    ctes = ", ".join(x.replace("tab", f"tab{number}").replace("cells", f"cells{number}").replace("ex AS", f"ex{number} AS") for x in cell_ctes(source, a, b))
+    n, r, c = "CAST(SUM(o) AS DOUBLE)", "COUNT(DISTINCT a)", "COUNT(DISTINCT b)"
+    parts = f"""SELECT {n} AS n, {r} AS r, {c} AS c, SUM((o - e) * (o - e) / e) AS plain,
+ SUM((ABS(o - e) - LEAST(0.5, ABS(o - e))) ** 2 / e) AS yates FROM ex{number}"""
+    chosen = f"SELECT *, (r - 1) * (c - 1) AS dof, CASE WHEN (r - 1) * (c - 1) = 1 THEN yates ELSE plain END AS chi FROM ({parts})"
+    v = "sqrt(GREATEST(0.0, plain / n - CAST(dof AS DOUBLE) / (n - 1)) / LEAST(r - 1, c - 1))"
+    return f"""SELECT * FROM (WITH {ctes} SELECT '{name}' AS analysis, {rnd('chi', 6)} AS chi_square, dof AS degrees_of_freedom,
+ {rnd('p', 6)} AS p_value, {rnd(v, 6)} AS cramers_v, p < 0.05 AS statistically_significant FROM (SELECT *, {chi_tail('chi', 'dof')} AS p FROM ({chosen})))"""
+
+
 def chi_sql() -> str:
     n, r, c = "CAST(SUM(o) AS DOUBLE)", "COUNT(DISTINCT a)", "COUNT(DISTINCT b)"
     plain = "SUM((o - e) * (o - e) / e)"
@@ -697,6 +728,8 @@ def chi_sql() -> str:
 PT = [*PLAIN, *cell_ctes("th", "product", "theme")]
 sql("crosstab", PT, "SELECT a AS product, b AS theme, o AS observed FROM cells")
 sql("chi_square_stat", PT, chi_sql())
+sql("chi_square_tests", PLAIN, chi_test_sql("CX theme vs response timeliness", "th", "theme", "timely_yes", 1)
+    + " UNION ALL " + chi_test_sql("Product vs CX theme", "th", "product", "theme", 2))
 sql("timeliness_chi_square_stat", [*PLAIN, *cell_ctes("th", "theme", "timely_yes")], chi_sql())
 sql("yates_chi_square_stat", [*PLAIN, "fl AS (SELECT *, submitted_via IS NOT NULL AS known FROM th)", *cell_ctes("fl", "known", "timely_yes")], chi_sql())
 Z = f"{fv.WILSON_Z!r}::DOUBLE"
@@ -746,6 +779,14 @@ WELCH = WELCH.format(
 )
 
 
+def tested(extra: str = "") -> str:
+    """Welch's test with its p-value on the unrounded statistic."""
+    full = "(m1 - m2) / sqrt(v1 / n1 + v2 / n2)"
+    dof = "(v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))"
+    return f"""SELECT w.*, {rnd('p', 6)} AS p_value, p < 0.05 AS statistically_significant{extra} FROM ({WELCH}) w
+ JOIN (SELECT metric, {t_tail('t', 'f')} AS p FROM (SELECT metric, {full} AS t, {dof} AS f FROM mo)) USING (metric)"""
+
+
 def moment_cte(group: str) -> str:
     return f"""mo AS (SELECT metric, COUNT(*) FILTER ({group}) AS n1, COUNT(*) FILTER (NOT {group}) AS n2, AVG(v) FILTER ({group}) AS m1,
  AVG(v) FILTER (NOT {group}) AS m2, var_samp(v) FILTER ({group}) AS v1, var_samp(v) FILTER (NOT {group}) AS v2 FROM lm GROUP BY 1)"""
@@ -753,6 +794,9 @@ def moment_cte(group: str) -> str:
 
 sql("welch_moments", [*C360, long_cte(["customer_health_score"], "has_returned"), moment_cte("(has_returned = 1)")], WELCH)
 GROUPED = long_cte(fv.RISK_GROUP_METRICS, "churn_risk_tier").replace("FROM c360 WHERE", "FROM c360 WHERE churn_risk_tier <> 'Not Scored' AND")
+sql("risk_group_tests", [*C360, GROUPED, moment_cte("(churn_risk_tier IN ('High Risk', 'Critical Risk'))")], tested())
+sql("returns_vs_health", [*C360, long_cte(["customer_health_score"], "has_returned"), moment_cte("(has_returned = 1)")],
+    tested(f", CASE WHEN p < 0.05 THEN '{fv.HEALTH_DIFFERS}' ELSE '{fv.HEALTH_SAME}' END AS conclusion"))
 sql("risk_group_moments", [*C360, GROUPED, moment_cte("(churn_risk_tier IN ('High Risk', 'Critical Risk'))")], WELCH)
 sql("spearman_matrix", C360, " UNION ALL ".join(
     f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, {rnd('corr(ra, rb)', 9)} AS correlation FROM (SELECT {average_rank(a)} AS ra, {average_rank(b)} AS rb
@@ -814,3 +858,19 @@ CLASSIFIED = [*RAW_SCORED, """cl AS (SELECT complaint_id, CASE WHEN p > n THEN '
 sql("batch_classifier", CLASSIFIED, f"SELECT complaint_id, predicted_label, {rnd('confidence', 6)} AS confidence, sentiment FROM cl")
 sql("classifier_summary", CLASSIFIED, f"""SELECT sentiment, COUNT(*) AS complaints, {rnd('AVG(confidence)', 6)} AS mean_confidence,
  {rnd(pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()'), 6)} AS percentage FROM cl GROUP BY 1""")
+
+# ---- sinks and what they read back --------------------------------------------------------------
+
+sql("raw_parts", [RAW], f"""SELECT country, COUNT(*) AS lines, {big('SUM(quantity)')} AS quantity, COUNT(description) AS described,
+ COUNT(customer_id) AS with_customer, {stamp('MIN(invoice_date)')} AS first_date FROM raw GROUP BY 1""")
+sql("parquet_sink", C360, "SELECT customer_id, health_tier, total_revenue, action_priority FROM c360")
+ORACLE["csv_report_sink"] = ORACLE["health_tier_summary"]
+ORACLE["json_sink"] = ORACLE["executive_kpis"]
+sql("format_parity", C360, f"""SELECT format, n AS rows, CAST({len(C360_COLUMNS)} AS BIGINT) AS columns
+ FROM (SELECT COUNT(*) AS n FROM c360), (VALUES ('csv'), ('parquet')) f(format)""")
+sql("model_round_trip", CHURN_BASE, "SELECT COUNT(*) AS customers, COUNT(*) AS same FROM cbase")
+ORACLE["report_run"] = ORACLE["report_shapes"]
+sql("customer_lookup", C360, f"""SELECT customer_id, CAST(r_score AS DOUBLE) AS recency, CAST(f_score AS DOUBLE) AS frequency,
+ CAST(m_score AS DOUBLE) AS monetary, {rnd('customer_health_score / 20.0', 6)} AS health,
+ {rnd('CASE WHEN model_scored = 1 THEN (1.0 - churn_probability) * 5.0 ELSE 2.5 END', 6)} AS churn_safety FROM c360
+ WHERE customer_id = {LOOKED_UP}""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,8 +14,8 @@ from patronage.operators import (
 )
 from patronage.plans import complaint_text, customer360 as chain, report_suite
 from patronage.plans.stages import stage
-from patronage.session import pin
-from patronage.sources import readers, tables
+from patronage.session import ensure_checkpoint_dir, pin
+from patronage.sources import readers, tables, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +29,7 @@ STOP_WORDS = [
 TFIDF_OPTIONS = {"stop_words": STOP_WORDS, "min_df": 10, "max_df": 0.90, "max_features": 5000}
 NEGATIVE_OPTIONS = {"stop_words": STOP_WORDS}
 CHANNEL_ROWS = 25
+LOOKED_UP = 7
 CONTRIBUTION_WEIGHTS = {"obs_recency_days": 0.004, "obs_total_invoices": -0.11, "obs_unique_products": -0.02}
 
 
@@ -98,18 +100,19 @@ def order_value_trend(spark, folder):
 
 @query()
 def country_revenue_top10(spark, folder):
-    return sales.top_by(sales.revenue_by(lines(spark, folder, "country", "revenue"), "country"), "total_revenue", 10, "country")
+    found = sales.revenue_by_name(lines(spark, folder, "supplier_id", "revenue"), "supplier_id", tables.places(spark, folder), "country")
+    return sales.top_by(found, "total_revenue", 10, "country")
 
 
 @query()
 def product_revenue_top10(spark, folder):
-    found = sales.revenue_by(lines(spark, folder, "stock_code", "description", "revenue"), "stock_code", "description")
-    return sales.top_by(found, "total_revenue", 10, "stock_code")
+    found = sales.revenue_by(lines(spark, folder, "stock_code", "revenue"), "stock_code")
+    return sales.top_by(found, "total_revenue", 10, "stock_code").join(tables.products(spark, folder), "stock_code")
 
 
 @query()
 def product_name_top10(spark, folder):
-    found = sales.revenue_by(lines(spark, folder, "description", "revenue"), "description")
+    found = sales.revenue_by_name(lines(spark, folder, "stock_code", "revenue"), "stock_code", tables.products(spark, folder), "description")
     return sales.top_by(found, "total_revenue", 10, "description")
 
 
@@ -645,6 +648,13 @@ def channel_sample(spark, folder):
     return found.select("complaint_id", "issue", "product")
 
 
+@query()
+def channel_sample_default(spark, folder):
+    """The operator's own 5,000 rows a channel."""
+    found = cx.channel_sample(tables.complaints(spark, folder, False), "issue", ["complaint_id"])
+    return found.select("complaint_id", "issue", "product")
+
+
 @query()
 def channel_counts(spark, folder):
     return cx.channel_counts(complaints(spark, folder), "submitted_via")
@@ -771,7 +781,8 @@ def yates_chi_square_stat(spark, folder):
 def chi_square_tests(spark, folder):
     found = plain_themes(spark, folder)
     first = contingency.chi_square_test(found, "theme", "timely_yes", "CX theme vs response timeliness")
-    return first.unionByName(contingency.chi_square_test(found, "product", "theme", "Product vs CX theme"))
+    both = first.unionByName(contingency.chi_square_test(found, "product", "theme", "Product vs CX theme"))
+    return rounded(both, 6, "chi_square", "p_value", "cramers_v")
 
 
 @query()
@@ -825,8 +836,12 @@ def describe_metrics_ci(spark, folder):
 MOMENTS = ["mean1", "mean2", "difference", "t_statistic", "degrees_of_freedom", "cohens_d"]
 
 
-def moments_view(df):
-    return rounded(df, 6, *MOMENTS).select("metric", "n1", "n2", *MOMENTS, "effect_interpretation")
+def moments_view(df, *more):
+    return rounded(df, 6, *MOMENTS).select("metric", "n1", "n2", *MOMENTS, "effect_interpretation", *more)
+
+
+def tests_view(df, *more):
+    return moments_view(rounded(df, 6, "p_value"), "p_value", "statistically_significant", *more)
 
 
 @query()
@@ -841,12 +856,12 @@ def risk_group_moments(spark, folder):
 
 @query()
 def returns_vs_health(spark, folder):
-    return statistics.returns_vs_health(c360(spark, folder))
+    return tests_view(statistics.returns_vs_health(c360(spark, folder)), "conclusion")
 
 
 @query()
 def risk_group_tests(spark, folder):
-    return statistics.risk_group_tests(c360(spark, folder))
+    return tests_view(statistics.risk_group_tests(c360(spark, folder)))
 
 
 @query()
@@ -987,7 +1002,7 @@ def coefficient_drivers(spark, folder):
 def model_risk_explanations(spark, folder):
     base, fitted = chain.build_churn_base(spark, folder), linear_model(spark, folder)
     top = modelling.top_risk(modelling.churn_predictions(fitted, base), base)
-    drivers = modelling.top_contributions(modelling.model_contributions(fitted, base))
+    drivers = modelling.top_contributions(modelling.model_contributions(fitted, base, keys=top))
     return top.join(drivers, "customer_id", "left")
 
 
@@ -1052,8 +1067,8 @@ def nmf_topic_terms(spark, folder):
 @query()
 def nmf_dominant_topic(spark, folder):
     fitted, docs = topic_model(spark, folder)
-    found = topics.dominant_topic(topics.document_topics(fitted, docs, "complaint_id"))
-    return found.select("complaint_id", "dominant_topic", "topic_strength")
+    weighed = topics.document_topics(fitted, docs, "complaint_id")
+    return topics.assign_topics(complaint_text.build_redacted(spark, folder).select("complaint_id"), "complaint_id", weighed)
 
 
 def lexicon_predictor(batch: list[str]) -> list[tuple[str, float]]:
@@ -1078,3 +1093,98 @@ def batch_classifier(spark, folder):
 @query()
 def classifier_summary(spark, folder):
     return rounded(cx.classification_summary(classified(spark, folder)), 6, "mean_confidence", "percentage")
+
+
+# ---- sinks and what they read back --------------------------------------------------------------
+
+
+def sink(spark, name):
+    """A new folder for one run in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def raw_parts(spark, folder):
+    """Raw lines written as CSV parts by year, read again under one another."""
+    raw = tables.raw_transactions(spark, folder)
+    late = F.year("InvoiceDate") >= 1995
+    paths = [sink(spark, "raw-early"), sink(spark, "raw-late")]
+    for path, part in zip(paths, (raw.where(~late), raw.where(late)), strict=True):
+        writers.write_export(part, path)
+    read = readers.read_raw_parts(spark, paths)
+    out = read.groupBy("Country").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("Quantity").alias("quantity"), F.count("Description").alias("described"),
+        F.count("Customer ID").alias("with_customer"), F.min("InvoiceDate").alias("first_date"),
+    )
+    return out.withColumnRenamed("Country", "country")
+
+
+@query()
+def parquet_sink(spark, folder):
+    path = sink(spark, "customer-360")
+    writers.write_table(c360(spark, folder), path, "health_tier")
+    return readers.read_table(spark, path, ["customer_id", "health_tier"]).select("customer_id", "health_tier", "total_revenue", "action_priority")
+
+
+@query()
+def csv_report_sink(spark, folder):
+    path, report = sink(spark, "report"), reports.health_tier_summary(c360(spark, folder))
+    writers.write_report(report, path)
+    return readers.read_csv(spark, path, report.schema)
+
+
+@query()
+def json_sink(spark, folder):
+    path, report = sink(spark, "kpis"), reports.executive_kpis(c360(spark, folder))
+    writers.write_json(report, path)
+    return readers.read_json(spark, path, report.schema)
+
+
+@query()
+def format_parity(spark, folder):
+    """Rows and columns of the same table read from CSV and from Parquet."""
+    c = c360(spark, folder)
+    paths = {"csv": sink(spark, "csv"), "parquet": sink(spark, "parquet")}
+    writers.write_export(c, paths["csv"])
+    writers.write_table(c, paths["parquet"])
+    read = {"csv": readers.read_csv(spark, paths["csv"]), "parquet": readers.read_table(spark, paths["parquet"])}
+    out = [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("format"), "rows", F.lit(len(df.columns)).alias("columns"))
+        for name, df in read.items()
+    ]
+    return out[0].unionByName(out[1])
+
+
+@query()
+def model_round_trip(spark, folder):
+    """Customers scored by the fitted pipeline and by its stored copy: all of them, and those with the same probability."""
+    path, base, fitted = sink(spark, "model"), chain.build_churn_base(spark, folder), linear_model(spark, folder)
+    modelling.save_model(fitted, path)
+    a, b = (modelling.score(m, base).select("customer_id", F.col("probability_of_churn").alias(p)) for m, p in ((fitted, "a"), (modelling.load_model(path), "b")))
+    return a.join(b, "customer_id").agg(F.count(F.lit(1)).alias("customers"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same"))
+
+
+@query()
+def report_run(spark, folder):
+    """All ten reports written to the shared folder; the shapes are those of the files."""
+    sold = tables.sales(
+        spark, folder,
+        ["invoice_yearmonth", "stock_code", "description", "revenue", "quantity", "invoice_id", "customer_id", "unit_price"],
+    )
+    path = sink(spark, "reports")
+    names = report_suite.run_reports(c360(spark, folder), sold, path).select("report").collect()  # ten names
+    written = {r["report"]: readers.read_csv(spark, f"{path}/{r['report']}") for r in names}
+    return quality.report_shapes(written, report_suite.ROW_LIMITS)
+
+
+@query()
+def customer_lookup(spark, folder):
+    found = reports.score_profile(reports.customer_lookup(c360(spark, folder), LOOKED_UP))
+    return rounded(found, 6, "health", "churn_safety")
+
+
+@query()
+def fitted_theme_metrics(spark, folder):
+    """Themes from the fitted topics instead of the length of the text."""
+    found = complaint_text.build_themed(spark, folder, POSITIVE, NEGATIVE, nmf_dominant_topic(spark, folder))
+    return rounded(cx.theme_metrics(found), 6, *RATES)

@@ -39,8 +39,8 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         c = c if abs(c) > TINY else TINY
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * (value - 1.0)
+            return front * (value - 1.0)
+    return float("nan")  # the fraction did not settle
 
 
 def upper_gamma(s: float, x: float) -> float:
@@ -68,8 +68,8 @@ def upper_gamma(s: float, x: float) -> float:
         c = c if abs(c) > TINY else TINY
         value *= c * d
         if abs(c * d - 1.0) < 1e-16:
-            break
-    return front * value
+            return front * value
+    return float("nan")  # the fraction did not settle
 
 
 def t_tail(t: float, df: float) -> float:

@@ -181,3 +181,7 @@ CHURN_REGRESSORS = [
     "recency_days", "total_invoices", "total_revenue", "unique_products", "return_rate",
     "purchase_frequency_per_month",
 ]
+
+# Conclusions of the test of health against returns.
+HEALTH_DIFFERS = "There is statistically significant evidence that customer health differs between customers with and without returns."
+HEALTH_SAME = "There is not sufficient statistical evidence to conclude that customer health differs between the two groups."

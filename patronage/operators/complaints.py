@@ -66,9 +66,9 @@ def with_clean_text(complaints: DataFrame) -> DataFrame:
 
 
 def text_measures(cleaned: DataFrame) -> DataFrame:
-    return cleaned.withColumns(
-        {"text_length": F.length(TEXT).cast("long"), "word_count": F.size(words("clean_text")).cast("long")}
-    )
+    """Raw length and words of the cleaned text; a stored stage holds ``text_length`` in place of the raw text."""
+    length = F.col("text_length") if "text_length" in cleaned.columns else F.length(TEXT)
+    return cleaned.withColumns({"text_length": length.cast("long"), "word_count": F.size(words("clean_text")).cast("long")})
 
 
 def text_statistics(cleaned: DataFrame) -> DataFrame:

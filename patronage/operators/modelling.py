@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -21,7 +21,8 @@ LABEL, KEY = "churned", "customer_id"
 CATEGORICAL = ["obs_country_mode"]
 EXCLUDED = [KEY, LABEL, "purchased_in_prediction", "obs_first_purchase_date", "obs_last_purchase_date", *CATEGORICAL]
 NUMERIC = [c for c in CHURN_BASE_COLUMNS if c not in EXCLUDED]
-ROWS_PER_TASK = 50_000
+#: Partitions of the training rows. Sub-sampled trees depend on it, so it is a parameter and not read from the data.
+TRAIN_PARTS = 16
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
 
 
@@ -54,8 +55,17 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in [*NUMERIC, LABEL]})
 
 
-def preprocessing(scale: bool) -> list:
-    """Median imputation (scaled for linear models) and one-hot categories, unknown ones left at zero."""
+def fill_categories(modes: Mapping[str, str | None]) -> SQLTransformer:
+    """A stage that puts the training rows' most frequent category in place of a null, when fitting and when scoring."""
+    filled = []
+    for column, mode in modes.items():
+        text = "NULL" if mode is None else "'" + mode.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        filled.append(f"coalesce({column}, {text}) AS {column}_filled")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def preprocessing(scale: bool, modes: Mapping[str, str | None]) -> list:
+    """Median and most-frequent imputation (scaled for linear models) and one-hot categories, unknown ones left at zero."""
     imputed = [f"{c}_filled" for c in NUMERIC]
     steps = [
         Imputer(inputCols=NUMERIC, outputCols=imputed, strategy="median", relativeError=0.0001),
@@ -63,10 +73,12 @@ def preprocessing(scale: bool) -> list:
     ]
     if scale:
         steps.append(StandardScaler(inputCol="numeric_raw", outputCol="numeric", withMean=True, withStd=True))
+    filled = [f"{c}_filled" for c in CATEGORICAL]
     indexed = [f"{c}_index" for c in CATEGORICAL]
     hot = [f"{c}_hot" for c in CATEGORICAL]
     steps += [
-        StringIndexer(inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        fill_categories(modes),
+        StringIndexer(inputCols=filled, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=["numeric" if scale else "numeric_raw", *hot], outputCol="features"),
     ]
@@ -81,6 +93,7 @@ def logistic(n_train: int, c: float = 1.0, max_iter: int = 1000) -> LogisticRegr
 
 
 def forest(trees: int = 200, leaf: int = 5, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+    """Trees grow until leaves are pure or small; ``depth`` is the trainer's own limit, the deepest it allows."""
     return RandomForestClassifier(labelCol=LABEL, numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=seed)
 
 
@@ -91,14 +104,13 @@ def boosting(rounds: int = 200, depth: int = 6, rate: float = 0.1, seed: int = 4
     )
 
 
-def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, **sizes: int) -> dict[str, PipelineModel]:
-    """Fit the named models on prepared training rows."""
-    train = typed(train)
+def fit_models(
+    train: DataFrame, names: Sequence[str] = MODEL_NAMES, parts: int = TRAIN_PARTS, **sizes: int
+) -> dict[str, PipelineModel]:
+    """Fit the named models on prepared training rows, stored in ``parts`` partitions by key: trainers read them many times."""
+    train = pin(typed(train).repartition(parts, KEY).sortWithinPartitions(KEY))
     n_train = train.count()
-    # the trainers make hundreds of passes: few, well-filled partitions, stored
-    train = pin(train.coalesce(max(1, -(-n_train // ROWS_PER_TASK))))
-    fill = {c: most_frequent_value(train, c) for c in CATEGORICAL}
-    train = train.fillna({c: v for c, v in fill.items() if v is not None})
+    modes = {c: most_frequent_value(train, c) for c in CATEGORICAL}
     makers = {
         "Logistic Regression": lambda: (True, logistic(n_train)),
         "Random Forest": lambda: (False, forest(sizes.get("trees", 200))),
@@ -107,10 +119,19 @@ def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, **sizes: in
     fitted = {}
     for name in names:
         scale, estimator = makers[name]()
-        fitted[name] = Pipeline(stages=[*preprocessing(scale), estimator]).fit(train)
+        fitted[name] = Pipeline(stages=[*preprocessing(scale, modes), estimator]).fit(train)
     return fitted
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Store a fitted pipeline, its imputation included, in a shared folder."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Rows with the probability of churn."""
     return model.transform(typed(rows)).withColumn("probability_of_churn", vector_to_array("probability")[1])
@@ -267,12 +288,18 @@ def linear_contributions(df: DataFrame, key: str, coefficients: Mapping[str, flo
     return df.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.feature", "e.phi")
 
 
-def model_contributions(model: PipelineModel, base: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, contributions array of (feature, phi)) of a fitted linear model, for every row."""
+def model_contributions(model: PipelineModel, base: DataFrame, key: str = KEY, keys: DataFrame | None = None) -> DataFrame:
+    """(key, contributions array of (feature, phi)) of a fitted linear model, for every row or those in ``keys``.
+
+    Means are taken over all rows; only then are the rows cut to the few wanted ``keys``.
+    """
     names = feature_names(model)
     weights = [float(v) for v in model.stages[-1].coefficients.toArray()]
     vectors = model.transform(typed(base)).select(key, vector_to_array("features").alias("x"))
     means = vectors.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))]).first()
+    if keys is not None:
+        few = base.join(F.broadcast(keys.select(key)), key, "left_semi")  # the k keys of a top list
+        vectors = model.transform(typed(few)).select(key, vector_to_array("features").alias("x"))
     entries = [
         F.struct(F.lit(n).alias("feature"), (F.lit(b) * (F.col("x")[i] - F.lit(float(means[i])))).alias("phi"))
         for i, (n, b) in enumerate(zip(names, weights))

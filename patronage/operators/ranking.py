@@ -165,17 +165,16 @@ def attach_average_ranks(
     return df.join(wide, key, "left")
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int, parts: int = 64) -> DataFrame:
-    """The first k rows of every group.
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first k rows of every group, for any k.
 
-    Ranked twice: within slices of a group, where each task drops all but k rows before the shuffle,
-    then over the at most ``parts * k`` rows left. A hot group is never sorted as a whole.
+    ``order`` must end in a unique key. Only group and order columns are ranked, by range partitions, so a hot group is
+    spread like any other rows; the other columns (texts) join the at most k keys per group afterwards.
     """
-    slice_no = F.pmod(F.xxhash64(*order), F.lit(parts))
-    in_slice = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
-    in_group = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    few = df.withColumn("_slice", slice_no).withColumn("_rank", in_slice).where(F.col("_rank") <= k)
-    return few.withColumn("_rank", in_group).where(F.col("_rank") <= k).drop("_rank", "_slice")
+    keys = [*group, *order]
+    placed = global_position(df.select(*keys), order, "_rank", group)
+    same = [F.col(f"_all.{c}").eqNullSafe(F.col(f"_few.{c}")) for c in keys]
+    return df.alias("_all").join(placed.where(F.col("_rank") <= k).select(*keys).alias("_few"), same, "left_semi")
 
 
 def equal_width_score(position: Column, n: Column, bins: int = 5, higher_is_better: bool = True) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.numeric import MONEY, exact_avg, money_sum, non_blank, pct, ratio, round_half_up
 from patronage.operators.ranking import histogram, quantiles
+from patronage.session import pin
 
 
 def dataset_overview(sales: DataFrame) -> DataFrame:
@@ -33,10 +34,10 @@ def distribution_summary(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def revenue_metrics(sales: DataFrame) -> DataFrame:
-    """Totals over the lines, mean and median over the invoices."""
-    invoices = sales.groupBy("invoice_id").agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"))
+    """Totals, mean and median over the invoices; the lines are read once, to roll them up."""
+    invoices = pin(sales.groupBy("invoice_id").agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"), F.sum("quantity").alias("_quantity")))
     orders = quantiles(histogram(invoices, {"order_value": F.col("_revenue").cast("double")}), [0.5])
-    totals = sales.agg(money_sum("revenue").alias("total_revenue"), F.sum("quantity").alias("total_quantity"))
+    totals = invoices.agg(F.sum("_revenue").cast("double").alias("total_revenue"), F.sum("_quantity").alias("total_quantity"))
     return (
         totals.withColumn("total_invoices", orders.select("n").scalar())
         .withColumn("median_order_value", orders.select(F.col("q")[0]).scalar())
@@ -48,6 +49,12 @@ def revenue_by(sales: DataFrame, *keys: str) -> DataFrame:
     return sales.groupBy(*keys).agg(money_sum("revenue").alias("total_revenue"))
 
 
+def revenue_by_name(sales: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
+    """Revenue per ``name`` of ``names`` (key, name): lines are folded per key before they meet the names."""
+    per_key = sales.groupBy(key).agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"))
+    return per_key.join(names, key).groupBy(name).agg(F.sum("_revenue").cast("double").alias("total_revenue"))
+
+
 def top_by(df: DataFrame, measure: str, k: int, *tie: str) -> DataFrame:
     """The k largest rows; ties in key order."""
     return df.orderBy(F.desc(measure), *tie).limit(k)
@@ -57,13 +64,25 @@ def distinct_by(sales: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return sales.groupBy(key).agg(F.count_distinct(value).alias(out))
 
 
+def _customer_folds(sales: DataFrame, *keys: str) -> DataFrame:
+    """Revenue, quantity and distinct invoices per ``keys`` and customer. An invoice belongs to one customer.
+
+    Lines are folded to invoices first, which needs no shuffle where they are partitioned by order.
+    """
+    sums = [F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"), F.sum("quantity").alias("_quantity")]
+    invoices = sales.groupBy(*keys, "customer_id", "invoice_id").agg(*sums)
+    return invoices.groupBy(*keys, "customer_id").agg(
+        F.sum("_revenue").alias("_revenue"), F.sum("_quantity").alias("_quantity"), F.count("invoice_id").alias("_invoices")
+    )
+
+
 def monthly_report(sales: DataFrame) -> DataFrame:
     """Revenue, invoices, active customers, quantity and mean order value per month."""
-    months = sales.groupBy(F.col("invoice_yearmonth").alias("invoice_month")).agg(
-        money_sum("revenue").alias("_revenue"),
-        F.count_distinct("invoice_id").alias("total_invoices"),
-        F.count_distinct("customer_id").alias("active_customers"),
-        F.sum("quantity").alias("total_quantity"),
+    months = _customer_folds(sales, "invoice_yearmonth").groupBy(F.col("invoice_yearmonth").alias("invoice_month")).agg(
+        F.sum("_revenue").cast("double").alias("_revenue"),
+        F.sum("_invoices").alias("total_invoices"),
+        F.count("customer_id").alias("active_customers"),
+        F.sum("_quantity").alias("total_quantity"),
     )
     return months.select(
         "invoice_month",
@@ -106,14 +125,14 @@ def peak_and_low(df: DataFrame, name: str, measure: str) -> DataFrame:
 
 
 def orders_per_customer(sales: DataFrame) -> DataFrame:
-    return distinct_by(sales, "customer_id", "invoice_id", "num_orders")
+    invoices = sales.groupBy("customer_id", "invoice_id").agg(F.lit(1))
+    return invoices.groupBy("customer_id").agg(F.count("invoice_id").alias("num_orders"))
 
 
 def repeat_behaviour(sales: DataFrame) -> DataFrame:
     """One-time against repeat buyers: customers, shares and revenue."""
-    customers = sales.groupBy("customer_id").agg(
-        F.count_distinct("invoice_id").alias("_orders"), F.sum(F.col("revenue").cast(MONEY)).alias("_revenue")
-    )
+    invoices = sales.groupBy("customer_id", "invoice_id").agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"))
+    customers = invoices.groupBy("customer_id").agg(F.count("invoice_id").alias("_orders"), F.sum("_revenue").alias("_revenue"))
     repeat = F.col("_orders") > 1
 
     def both(condition: Column, name: str) -> Sequence[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.distributions import t_critical, t_p_value
 from patronage.functions.fixed_values import (
-    CHURN_REGRESSORS, CORRELATED_METRICS, DESCRIBED_METRICS, EFFECT_SIZES, HEALTH_REGRESSORS, LARGEST_EFFECT,
+    CHURN_REGRESSORS, CORRELATED_METRICS, DESCRIBED_METRICS, EFFECT_SIZES, HEALTH_DIFFERS, HEALTH_REGRESSORS, HEALTH_SAME, LARGEST_EFFECT,
     RISK_GROUP_METRICS,
 )
 from patronage.functions.numeric import finite
@@ -103,9 +103,7 @@ def returns_moments(c360: DataFrame) -> DataFrame:
 def returns_vs_health(c360: DataFrame) -> DataFrame:
     """Does health differ between customers with and without returns?"""
     tested = with_p_value(returns_moments(c360))
-    different = "There is statistically significant evidence that customer health differs between customers with and without returns."
-    same = "There is not sufficient statistical evidence to conclude that customer health differs between the two groups."
-    return tested.withColumn("conclusion", F.when(F.col("statistically_significant"), different).otherwise(same))
+    return tested.withColumn("conclusion", F.when(F.col("statistically_significant"), HEALTH_DIFFERS).otherwise(HEALTH_SAME))
 
 
 def risk_group_moments(c360: DataFrame) -> DataFrame:

@@ -15,20 +15,24 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def term_counts(docs: DataFrame, key: str, cleaned: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """(key, term, tf) for words of two letters or more; stop words go before bigrams are formed.
-
-    A document is one row, so its repeated terms are folded in its task before the shuffle.
-    """
+def document_terms(cleaned: str, stop_words: Sequence[str] | None = None) -> Column:
+    """Array of the words of two letters or more and their bigrams; stop words go before bigrams are formed."""
     stop_words = english_stop_words() if stop_words is None else list(stop_words)
-    kept = F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
-    exploded = docs.select(key, F.explode(ngrams_1_2(kept)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return ngrams_1_2(F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words)))
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, min_df: int, max_df: float, max_features: int) -> DataFrame:
-    """The most frequent terms with a document count in range: (term, df), at most ``max_features`` rows."""
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+def vocabulary(docs: DataFrame, terms: Column, n_docs: Column, min_df: int, max_df: float, max_features: int) -> DataFrame:
+    """The most frequent terms with a document count in range: (term, df), at most ``max_features`` rows.
+
+    A document is one row, so its distinct terms are known there: one grouping by term, folded in the tasks, gives both
+    counts, and no (document, term) pair is shuffled.
+    """
+    marked = F.concat(
+        F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    )
+    entries = docs.select(terms.alias("_terms")).select(F.explode(marked).alias("e")).select("e.*")
+    stats = entries.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
     in_range = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)
     return stats.where(in_range).orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
 
@@ -39,14 +43,16 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, weight) with smoothed idf ln((1+N)/(1+df))+1 and rows scaled to unit length.
 
-    The vocabulary is bounded by ``max_features`` and broadcast; a document has at most that many terms.
+    The vocabulary is bounded by ``max_features`` and broadcast; only its terms are shuffled.
     """
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    counts = term_counts(docs, key, cleaned, stop_words)
-    terms = vocabulary(counts, n_docs, min_df, max_df, max_features)
+    found = document_terms(cleaned, stop_words)
+    terms = vocabulary(docs, found, n_docs, min_df, max_df, max_features)
+    known = docs.select(key, F.explode(found).alias("term")).join(F.broadcast(terms), "term")
+    counts = known.groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     tf = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
-    weighted = counts.join(F.broadcast(terms), "term").select(key, "term", (tf * idf).alias("_w"))
+    weighted = counts.select(key, "term", (tf * idf).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
 

@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from patronage.session import pin
 
-SWEEPS = 30
+#: A row of weights is settled when a sweep moves none of them by more than this share of its largest one.
+SETTLED = 1e-10
+#: Tasks of the first level that sums the arrays of a round.
+FOLDS = 32
+#: Sweeps after which a row still moving is counted as unsettled; the model reports how many there were.
+MOST_SWEEPS = 20_000
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,8 @@ class TopicModel:
     terms: list[str]
     components: np.ndarray
     errors: list[float]
+    converged: bool
+    unsettled: int
 
 
 def document_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
@@ -36,15 +43,25 @@ def document_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]
     return pin(entries.select(key, F.col("e.idx").alias("idx"), F.col("e.weight").alias("val"))), terms
 
 
-def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Non-negative least squares for many rows at once: cyclic updates of one column at a time."""
+def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, int]:
+    """Non-negative least squares for many rows at once, and the number of rows that did not settle.
+
+    Cyclic updates of one column at a time; rows leave the sweeps as they settle.
+    """
     rows = start.copy()
-    for _ in range(sweeps):
+    moving = np.arange(len(rows))
+    for _ in range(MOST_SWEEPS):
+        if not len(moving):
+            break
+        now, wanted = rows[moving], target[moving]
+        before = now.copy()
         for j in range(gram.shape[0]):
             if gram[j, j] > 0:
-                step = (target[:, j] - rows @ gram[:, j]) / gram[j, j]
-                rows[:, j] = np.maximum(rows[:, j] + step, 0.0)
-    return rows
+                step = (wanted[:, j] - now @ gram[:, j]) / gram[j, j]
+                now[:, j] = np.maximum(now[:, j] + step, 0.0)
+        rows[moving] = now
+        moving = moving[np.abs(now - before).max(axis=1) > settled * np.maximum(now.max(axis=1), 1e-300)]
+    return rows, len(moving)
 
 
 def _batch_weights(pdf: pd.DataFrame, h: np.ndarray):
@@ -56,39 +73,42 @@ def _batch_weights(pdf: pd.DataFrame, h: np.ndarray):
     target = np.zeros((len(pdf), k))
     for j in range(k):
         target[:, j] = np.bincount(doc, weights=vals * h[j, cols], minlength=len(pdf))
-    w = solve_rows(target, h @ h.T, np.zeros((len(pdf), k)))
-    return w, doc, cols, vals
+    w, unsettled = solve_rows(target, h @ h.T, np.zeros((len(pdf), k)))
+    return w, doc, cols, vals, unsettled
 
 
 def _round_sums(docs: DataFrame, h: np.ndarray):
-    """Sums over all documents for one round: W'A, W'W and the squared norm of A."""
+    """Sums over all documents for one round: W'A, W'W, the squared norm of A and the number of unsettled rows."""
     k, v = h.shape
     shared = docs.sparkSession.sparkContext.broadcast(h)
 
     def run(batches):
         matrix = shared.value
-        wta, wtw, squares = np.zeros((k, v)), np.zeros((k, k)), 0.0
+        wta, wtw, squares, moving = np.zeros((k, v)), np.zeros((k, k)), 0.0, 0
         for pdf in batches:
             if len(pdf):
-                w, doc, cols, vals = _batch_weights(pdf, matrix)
+                w, doc, cols, vals, unsettled = _batch_weights(pdf, matrix)
+                moving += unsettled
                 for j in range(k):
                     wta[j] += np.bincount(cols, weights=vals * w[doc, j], minlength=v)
                 wtw += w.T @ w
                 squares += float(vals @ vals)
-        j, c = np.nonzero(wta)
-        yield pd.DataFrame({"part": 0, "j": j, "c": c, "s": wta[j, c]})
-        j, c = np.nonzero(wtw)
-        yield pd.DataFrame({"part": 1, "j": j, "c": c, "s": wtw[j, c]})
-        yield pd.DataFrame({"part": [2], "j": [0], "c": [0], "s": [squares]})
-
-    sums = docs.select("idx", "val").mapInPandas(run, "part int, j int, c int, s double")
-    found = sums.groupBy("part", "j", "c").agg(F.sum("s").alias("s")).toPandas()  # at most k * (v + k) + 1 rows
+        yield pd.DataFrame({"part": range(k + 1), "s": [*wta, np.concatenate([wtw.ravel(), [squares, moving]])]})
+
+    def fold(batches):
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for part, s in zip(pdf["part"], pdf["s"]):
+                totals[part] = totals[part] + s if part in totals else np.asarray(s)
+        yield pd.DataFrame({"part": list(totals), "s": list(totals.values())}, columns=["part", "s"])
+
+    # a task sends k + 1 arrays, which are summed in two levels
+    kind = "part int, s array<double>"
+    sums = docs.select("idx", "val").mapInPandas(run, kind).repartition(FOLDS).mapInPandas(fold, kind)
+    rows = {r["part"]: np.asarray(r["s"]) for r in sums.repartition(1).mapInPandas(fold, kind).collect()}  # k + 1 rows
     shared.unpersist()
-    wta, wtw = np.zeros((k, v)), np.zeros((k, k))
-    for part, matrix in ((0, wta), (1, wtw)):
-        rows = found[found["part"] == part]
-        matrix[rows["j"], rows["c"]] = rows["s"]
-    return wta, wtw, float(found.loc[found["part"] == 2, "s"].sum())
+    wta, rest = np.stack([rows.get(j, np.zeros(v)) for j in range(k)]), rows.get(k, np.zeros(k * k + 2))
+    return wta, rest[: k * k].reshape(k, k), float(rest[-2]), float(rest[-1])
 
 
 def fit_topics(
@@ -97,18 +117,21 @@ def fit_topics(
     """Fit k topics; returns the model and the stored document vectors.
 
     Alternates exact document weights (in the tasks) with an update of H; the squared error never rises.
-    Stops when a round improves the error by less than ``tolerance`` of the first error.
+    Stops when a round improves the error by less than ``tolerance`` of the first error; ``converged`` tells whether that
+    came within ``max_iter`` rounds, ``unsettled`` how many weight rows of the last round were still moving.
     """
     docs, terms = document_vectors(weights, key)
     h = np.random.default_rng(seed).uniform(0.0, 1.0, (k, len(terms)))
     errors: list[float] = []
+    converged, unsettled = False, 0
     for _ in range(max_iter):
-        wta, wtw, squares = _round_sums(docs, h)
+        wta, wtw, squares, unsettled = _round_sums(docs, h)
         errors.append(squares - 2.0 * float((wta * h).sum()) + float((wtw * (h @ h.T)).sum()))
         if len(errors) > 1 and errors[-2] - errors[-1] <= tolerance * errors[0]:
+            converged = True
             break
-        h = solve_rows(wta.T, wtw, h.T).T
-    return TopicModel(terms, h, errors), docs
+        h = solve_rows(wta.T, wtw, h.T)[0].T
+    return TopicModel(terms, h, errors, converged, int(unsettled)), docs
 
 
 def topic_terms(model: TopicModel, docs: DataFrame, k: int = 12) -> DataFrame:

@@ -15,28 +15,41 @@ MIN_TEXT = 20
 
 
 def build_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints with cleaned text: the patterns run once over the corpus, without a shuffle."""
-    return stage(spark, folder, "cleaned", lambda: cx.with_clean_text(tables.complaints(spark, folder, False)))
+    """Complaints with cleaned text and the length of the raw one: the patterns run once, without a shuffle."""
+
+    def build() -> DataFrame:
+        cleaned = cx.with_clean_text(tables.complaints(spark, folder, False))
+        return cleaned.withColumn("text_length", F.length(cx.TEXT).cast("long")).drop(cx.TEXT)
+
+    return stage(spark, folder, "cleaned", build)
 
 
 def build_sentiment(
     spark: SparkSession, folder: str, positive: Sequence[str], negative: Sequence[str]
 ) -> DataFrame:
     """Lexicon sentiment per complaint with its response. The texts are dropped before the join."""
-    scored = cx.with_sentiment(build_cleaned(spark, folder), positive, negative).drop("clean_text", cx.TEXT)
+    scored = cx.with_sentiment(build_cleaned(spark, folder), positive, negative).drop("clean_text", "text_length")
     return tables.with_responses(scored, spark, folder)
 
 
 def build_themed(
-    spark: SparkSession, folder: str, positive: Sequence[str], negative: Sequence[str]
+    spark: SparkSession, folder: str, positive: Sequence[str], negative: Sequence[str], topics: DataFrame | None = None
 ) -> DataFrame:
-    """Theme, response and raw-word sentiment per complaint, without the texts."""
+    """Theme, response and raw-word sentiment per complaint, without the texts.
+
+    Topics come from ``topics`` (complaint_id, dominant_topic) of a fitted model, else from the length of the text;
+    complaints that the model did not see have no topic.
+    """
 
     def build() -> DataFrame:
         texts = tables.complaints(spark, folder, False)
         scored = cx.with_raw_sentiment(texts, positive, negative).drop(cx.TEXT)
+        if topics is not None:
+            scored = scored.drop("dominant_topic").join(topics.select("complaint_id", "dominant_topic"), "complaint_id", "left")
         return cx.with_theme(tables.with_responses(scored, spark, folder))
 
+    if topics is not None:
+        return build()
     return stage(spark, folder, f"themed {sorted(positive)} {sorted(negative)}", build)
 
 

@@ -7,15 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_PARTS = 10_000
+
 
 def build_session(app_name: str = "patronage", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs assume: AQE, skew-join splitting, UTC."""
+    """A session with the settings the jobs assume: AQE, skew-join splitting, UTC.
+
+    Shuffles start with ``SHUFFLE_PARTS`` parts, which adaptive execution merges to its advisory size; callers give
+    the number that suits their input (a local run a handful).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.shuffle.partitions": str(SHUFFLE_PARTS),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -54,11 +61,3 @@ def pin(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores (a few unsplittable files) over all cores.
-
-    A large table has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

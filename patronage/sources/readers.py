@@ -45,12 +45,22 @@ def read_table(spark: SparkSession, path: str, required: Iterable[str] = ()) ->
     return require_columns(spark.read.parquet(path), required)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header and quoted multi-line text; types come from ``schema``, else everything is text."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header; types come from ``schema``, else everything is text.
+
+    Files are split over tasks. Quoted text with line breaks needs ``multi_line``, which reads each file in one task.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader).csv(paths)
 
 
+def read_json(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """One record per line, so that files are split over tasks."""
+    return spark.read.schema(schema).json(paths)
+
+
 def read_raw_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
     """All parts of the raw transactions under one another."""
     if fmt == "csv":
@@ -75,6 +85,6 @@ def parse_hits(df: DataFrame, json_column: str, fields: str = HIT_FIELDS) -> Dat
 
 
 def read_hits(spark: SparkSession, paths: str | list[str], fields: str = HIT_FIELDS) -> DataFrame:
-    """Envelope files, one JSON document per file."""
+    """Envelope files, one JSON document per file: replies of a search, small by nature (a row holds at most 2 GB)."""
     texts = spark.read.text(paths, wholetext=True)
     return parse_hits(texts, "value", fields)

@@ -7,21 +7,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronage.functions.rules import first_match
-from patronage.session import spread
 
 ORDER_COLUMNS = {"customer_id", "invoice_date", "invoice_year", "invoice_month", "invoice_yearmonth", "invoice_date_only"}
 
 
-_scans: dict[tuple[str, str, bool], DataFrame] = {}
+_scans: dict[tuple[str, str], DataFrame] = {}
 
 
-def table(spark: SparkSession, folder: str, name: str, large: bool = False) -> DataFrame:
-    """A scan, its schema read once per application; ``large`` tables are spread over the cores."""
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A scan, its schema read once per application."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path, large)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _scans:
-        scan = spark.read.parquet(path)
-        _scans[key] = spread(scan) if large else scan
+        _scans[key] = spark.read.parquet(path)
     return _scans[key]
 
 
@@ -34,6 +32,18 @@ def date_parts(date: str) -> dict[str, Column]:
     }
 
 
+def places(spark: SparkSession, folder: str) -> DataFrame:
+    """(supplier_id, country)."""
+    nations = table(spark, folder, "nation")
+    found = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return found.select(F.col("s_suppkey").alias("supplier_id"), F.col("n_name").alias("country"))
+
+
+def products(spark: SparkSession, folder: str) -> DataFrame:
+    """(stock_code, description)."""
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("stock_code"), F.col("p_name").alias("description"))
+
+
 def _lines(spark: SparkSession, folder: str, wanted: set[str], condition: Column) -> DataFrame:
     """Order lines that meet ``condition`` with only the joins the wanted columns need.
 
@@ -41,13 +51,11 @@ def _lines(spark: SparkSession, folder: str, wanted: set[str], condition: Column
     order, so an invoice roll-up needs no further shuffle. No side is hinted; small ones are broadcast
     by their size, large ones are sorted and merged.
     """
-    out = table(spark, folder, "lineitem", large=True).where(condition)
+    out = table(spark, folder, "lineitem").where(condition)
     if "description" in wanted:
         out = out.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "country" in wanted:
-        nations = table(spark, folder, "nation")
-        places = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        out = out.join(places.select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        out = out.join(places(spark, folder), F.col("l_suppkey") == F.col("supplier_id"))
     if wanted & ORDER_COLUMNS:
         out = out.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return out
@@ -61,7 +69,8 @@ def _project(lines: DataFrame, wanted: Iterable[str]) -> DataFrame:
         "quantity": F.col("l_quantity").cast("long"),
         "revenue": F.col("l_extendedprice"),
         "unit_price": F.col("l_extendedprice") / F.col("l_quantity"),
-        "country": F.col("n_name") if "n_name" in lines.columns else None,
+        "country": F.col("country") if "country" in lines.columns else None,
+        "supplier_id": F.col("l_suppkey"),
     }
     if "o_orderdate" in lines.columns:
         expressions |= {"customer_id": F.col("o_custkey"), "invoice_date": F.col("o_orderdate")}
@@ -102,7 +111,7 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("InvoiceDate"),
         F.when(giveaway, 0.0).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("Price"),
         F.when(~guest, F.col("o_custkey")).cast("double").alias("Customer ID"),
-        F.col("n_name").alias("Country"),
+        F.col("country").alias("Country"),
         F.explode(F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
     )
     return shown.drop("_copy")
@@ -129,7 +138,7 @@ def with_responses(complaints: DataFrame, spark: SparkSession, folder: str) -> D
 
 def complaints(spark: SparkSession, folder: str, responses: bool = True) -> DataFrame:
     """Documents as complaints: language is the product, source the issue, labels the response."""
-    docs = table(spark, folder, "documents", large=True).select(
+    docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("complaint_id"),
         F.col("lang").alias("product"),
         F.col("source").alias("issue"),

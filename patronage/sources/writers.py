@@ -14,7 +14,7 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as one CSV part with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_export(df: DataFrame, path: str) -> None:
@@ -23,7 +23,7 @@ def write_export(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_reports(reports: Mapping[str, DataFrame], folder: str) -> list[str]:

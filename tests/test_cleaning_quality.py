@@ -106,7 +106,7 @@ def test_json_report_and_export(spark, raw, tmp_path):
 def test_csv_text_with_quotes_and_newlines(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('id,text\n1,"two\nlines, ""quoted"""\n2,plain\n', encoding="utf-8")
-    got = readers.read_csv(spark, str(path), "id long, text string").orderBy("id").collect()
+    got = readers.read_csv(spark, str(path), "id long, text string", multi_line=True).orderBy("id").collect()
     assert got[0]["text"] == 'two\nlines, "quoted"' and got[1]["text"] == "plain"
 
 

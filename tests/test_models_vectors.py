@@ -132,6 +132,27 @@ def test_pipeline_round_trip(fitted, base, tmp_path):
     assert a == b
 
 
+def test_null_category_scores_as_the_most_frequent_one(fitted, base):
+    model = fitted[0]["Logistic Regression"]
+    rows = base.orderBy("customer_id").limit(20)
+    mode = modelling.most_frequent_value(fitted[1].where("is_train = 1"), "obs_country_mode")
+    a, b = (
+        modelling.score(model, rows.withColumn("obs_country_mode", F.lit(v).cast("string"))).orderBy("customer_id").select("probability_of_churn").collect()
+        for v in (None, mode)
+    )
+    assert a == b
+
+
+def test_correlated_topics_get_exact_weights():
+    rng = np.random.default_rng(0)
+    h = rng.uniform(0, 1, (8, 300))
+    h = 0.7 * h.mean(0) + 0.3 * h
+    a = rng.uniform(0, 1, (50, 300)) * (rng.uniform(0, 1, (50, 300)) < 0.05)
+    w, unsettled = topics.solve_rows(a @ h.T, h @ h.T, np.zeros((50, 8)))
+    gradient = w @ (h @ h.T) - a @ h.T
+    assert unsettled == 0 and np.abs(gradient[w > 0]).max() < 1e-6 and gradient[w == 0].min() > -1e-6
+
+
 def test_unknown_category_is_ignored(fitted, base):
     odd = base.limit(3).withColumn("obs_country_mode", F.lit("NOWHERE"))
     assert modelling.churn_predictions(fitted[0]["Logistic Regression"], odd).count() == 3

@@ -38,7 +38,7 @@ def test_hot_and_cold_values_meet_the_same_ranks(spark, monkeypatch, share):
 
 def test_first_rows_of_a_hot_group(spark):
     df = spark.createDataFrame([("hot" if i % 5 else "cold", (i * 37) % 500, i) for i in range(500)], "g string, o int, i int")
-    got = ranking.first_per_group(df, ["g"], ["o", "i"], 45, parts=8).toPandas()
+    got = ranking.first_per_group(df, ["g"], ["o", "i"], 45).toPandas()
     want = df.toPandas().sort_values(["g", "o", "i"]).groupby("g").head(45)
     assert sorted(got["i"]) == sorted(want["i"])
 

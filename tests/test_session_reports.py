@@ -39,10 +39,9 @@ def test_pin_keeps_rows_and_types(spark):
     assert sorted(stored.collect()) == sorted(df.collect())
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 50)
-    assert session.spread(wide) is wide
-    assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_scans_are_not_shuffled(spark):
+    plan = tables.table(spark, SMALL, "lineitem")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_numeric_helpers(spark):
