@@ -100,7 +100,8 @@ def _round_sums(docs: DataFrame, h: np.ndarray):
         for pdf in batches:
             for part, s in zip(pdf["part"], pdf["s"]):
                 totals[part] = totals[part] + s if part in totals else np.asarray(s)
-        yield pd.DataFrame({"part": list(totals), "s": list(totals.values())}, columns=["part", "s"])
+        if totals:
+            yield pd.DataFrame({"part": list(totals), "s": list(totals.values())})
 
     # a task sends k + 1 arrays, which are summed in two levels
     kind = "part int, s array<double>"
