@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, bucket_members, in_bitmap, linked_components, parity_marks, share, text_key
+from patronage.llm.linking import bitmap, bucket_members, free_shuffles, in_bitmap, linked_components, parity_marks, share, text_key
 from patronage.llm.textops import U, as_long, mix, mix_one, small_batches
 from patronage.session import pin
 
@@ -25,14 +25,15 @@ _EMPTY = np.iinfo(np.uint64).max
 class Fuzzy:
     """Jaccard similarity ``num / den`` of ``size``-character shingles; ``bands`` of ``rows`` bins each.
 
-    Lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 6) ** 14 = 0.986, of 0.85 with 0.999.
+    Lines with many more shingles than bins share a band at similarity 0.8 with probability
+    1 - (1 - 0.8 ** 4) ** 20 = 0.99997, at 0.85 with 0.9999996.
     """
 
     size: int = 5
     num: int = 80
     den: int = 100
-    bands: int = 14
-    rows: int = 6
+    bands: int = 20
+    rows: int = 4
 
 
 def lines_of(text) -> list[bytes]:
@@ -152,8 +153,10 @@ def _shingle_set(line: str, size: int) -> set[str]:
 def line_components(rows: DataFrame, rule: Fuzzy) -> DataFrame:
     """(id, root) of the lines that are linked to another one."""
     members = pin(bucket_members(band_keys(rows.select("text"), rule)))
+    free_shuffles(rows.sparkSession)
     near = pin(members.select(F.explode(F.array("id", "centre")).alias("id")).distinct())
     lines = pin(_near_lines(rows, bitmap(near), rule).join(near, "id", "left_semi"))
+    free_shuffles(rows.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,17 @@ def line_components(rows: DataFrame, rule: Fuzzy) -> DataFrame:
                     keep.append(n * rule.den >= rule.num * (len(own) + len(other) - n))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        a, b = (lines.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        # only texts of lines in a pair are shuffled
+        pairs = pin(pairs)
+        shared = share(rows.sparkSession, bitmap(pairs.select(F.explode(F.array("a", "b")))))
+
+        def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("id").to_numpy())))
+
+        texts = lines.select("id", "text").mapInArrow(in_pairs, "id long, text string")
+        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        free_shuffles(rows.sparkSession)
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
     return linked_components(members, lines.select("id", "n", "marks"), verify, rule.num, rule.den)

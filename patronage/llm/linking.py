@@ -191,13 +191,14 @@ def linked_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
 
     First each member is compared with the centre with which it shares most keys. Then all pairs of a key that are still in
     different components, and that their sizes and marks (id, n, marks) do not rule out, are compared; pairs inside a
-    component cannot change the result and are not made.
+    component cannot change the result and are not made. A pair that meets under several keys is made at the smallest.
     """
     counted = members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
     nearest = counted.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select("id", "best.centre")
     x, y = marks.alias("x"), marks.alias("y")
+    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
     stars = (
-        nearest.join(x, F.col("x.id") == nearest["id"]).join(y, F.col("y.id") == nearest["centre"]).where(few_odd("x", "y", num, den))
+        nearest.join(x, F.col("x.id") == nearest["id"]).join(y, F.col("y.id") == nearest["centre"]).where(sizes & few_odd("x", "y", num, den))
         .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     )
     links = pin(verify(stars))
@@ -205,12 +206,14 @@ def linked_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
     all_rows = members.select("key", "id").unionByName(members.select("key", F.col("centre").alias("id")).distinct())
     named = _with_root(all_rows, roots)
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(marks, "id"))
-    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    open_rows = named.join(mixed.select("key"), "key", "left_semi")
+    own_keys = open_rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rest = pin(open_rows.join(own_keys, "id").join(marks, "id"))
+    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     crossing = (
         rest.alias("x")
-        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & sizes & few_odd("x", "y", num, den))
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & sizes & few_odd("x", "y", num, den) & here)
+        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
     )
     new = pin(verify(crossing))
     return roots if new.isEmpty() else components(links.unionByName(new))

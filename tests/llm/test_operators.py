@@ -298,6 +298,27 @@ def test_line_recall_against_brute_force(spark):
     assert not removed & {i for i in range(180) if i % 3 == 0}
 
 
+def test_long_line_recall_near_the_bound(spark):
+    rng = np.random.default_rng(11)
+    lines = []
+    for _ in range(400):
+        base = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1200)
+        copy = base.copy()
+        copy[rng.choice(1200, int(rng.integers(19, 28)), replace=False)] = "0"
+        lines += ["".join(base), "".join(copy)]
+    sets = [{t[i:i + 5] for i in range(len(t) - 4)} for t in lines]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    shared = collections.Counter((a, b) for h in holders.values() for a in h for b in h if a < b)
+    linked = {b: n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)}
+    assert sum(j < 0.85 for j in linked.values()) > 250
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    removed = {r["doc_id"] for r in dedup_lines(docs).where("n_removed > 0").collect()}
+    assert removed == set(linked)
+
+
 def test_quality_ranks_the_grades(spark):
     rng = np.random.default_rng(4)
     good, rude = [f"g{i}" for i in range(300)], ["idiot", "trash", "moron"]
