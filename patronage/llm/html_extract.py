@@ -25,10 +25,11 @@ from patronage.session import pin
 
 # Element names by their part in a page, and words in class and id names of parts that are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas".split())
-CLUTTER = frozenset("nav header footer aside form button select dialog menu head script style noscript template iframe svg math textarea title object canvas".split())
+RAW = frozenset("script style noscript template iframe svg textarea title".split())
+CLUTTER = frozenset("nav header footer aside form button select dialog menu head script style noscript template iframe svg textarea title".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " canvas object math annotation mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 MAIN = frozenset(("article", "main"))
 CLOSED_BY = {
@@ -36,26 +37,35 @@ CLOSED_BY = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)),
     "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")),
 }
-CLUTTER_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer"
-    r"|sidebar|aside|widget|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended"
-    r"|comment|comments|disqus|replies|respond|pagination|pager)(?:$|[-_ ])"
+CLUTTER_NAME = frozenset(
+    "ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer"
+    " sidebar aside widget cookie cookies consent notice notices popup modal newsletter subscribe signup login share sharing social related recommended"
+    " comment comments disqus replies respond pagination pager".split()
 )
 CLUTTER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for name in RAW}
 
 
 @dataclass
 class Node:
-    """An open element: its path, whether it or an enclosing one is clutter, whether it is a link."""
+    """An open element: its path, whether it or an enclosing one is clutter, whether it is a link.
+
+    ``named`` elements are clutter by a word only, unless they hold most of the page's text; ``text`` and ``main`` count
+    the characters below an element, and those also below an article or main element.
+    """
 
     name: str
     path: str
     clutter: bool
     link: bool
+    above: Node | None = None
+    named: bool = False
+    text: int = 0
+    main: int = 0
 
 
 @dataclass
@@ -74,14 +84,14 @@ BREAK = "\x00"
 def _named_clutter(attributes: str) -> tuple[str, bool]:
     found = {m[0].lower(): next(g for g in m[1:] if g or g == m[-1]).lower() for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     label = " ".join(found.get(k, "") for k in ("class", "id")).strip()
-    return label, bool(CLUTTER_NAME.search(label)) or found.get("role", "") in CLUTTER_ROLE or "hidden" in attributes.split() or found.get("aria-hidden") == "true"
+    return label, not CLUTTER_NAME.isdisjoint(label.split()) or found.get("role", "") in CLUTTER_ROLE or "hidden" in attributes.split() or found.get("aria-hidden") == "true"
 
 
 def read_page(source: str) -> Page:
     """Tags in order on a stack: what a tag closes by itself is closed, an end tag without its start is passed over."""
     page = Page()
     root = Node("", "", False, False)
-    stack, at, low = [root], 0, None
+    stack, at, nodes = [root], 0, []
     while match := _TOKEN.match(source, at):
         at, token, name = match.end(), match[0], match[2]
         if name is None:
@@ -109,20 +119,38 @@ def read_page(source: str) -> Page:
         label, odd = _named_clutter(match[3])
         above = stack[-1]
         path = f"{above.path}>{name}" + (f".{label}" if label else "")
-        node = Node(name, path, above.clutter or odd or name in CLUTTER, above.link or name == "a")
+        node = Node(name, path, above.clutter or name in CLUTTER, above.link or name == "a", above, odd and name not in ("html", "body"))
+        nodes.append(node)
         page.counts[path] = page.counts.get(path, 0) + 1
-        if node.clutter:
-            page.clutter.add(path)
         if name in RAW:
-            if low is None:
-                low = source.lower()
-            end = low.find(f"</{name}", at)
-            at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
+            end = _RAW_END[name].search(source, at)
+            at = len(source) if end is None else (source.find(">", end.end()) + 1 or len(source))
         elif name not in VOID and not match[3].endswith("/"):
             stack.append(node)
+    _mark_clutter(page, root, nodes)
     return page
 
 
+def _mark_clutter(page: Page, root: Node, nodes: list[Node]) -> None:
+    """Named elements become clutter with all below them, but not one with most text outside links of the page or its article."""
+    if any(node.named for node in nodes):
+        for node, text in page.pieces:
+            if text != BREAK and not node.clutter and not node.link and (n := len(text.strip())):
+                below, main, at = [], False, node
+                while at is not None:
+                    below.append(at)
+                    main = main or at.name in MAIN
+                    at = at.above
+                for at in below:
+                    at.text += n
+                    at.main += n * main
+    for node in nodes:
+        most = node.main * 2 > root.main if root.main else node.text * 2 > root.text
+        node.clutter = node.clutter or node.above.clutter or (node.named and not most)
+        if node.clutter:
+            page.clutter.add(node.path)
+
+
 def _inside(path: str, slot: str) -> bool:
     return not slot or path == slot or path.startswith(slot + ">")
 

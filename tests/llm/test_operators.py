@@ -266,6 +266,15 @@ def test_page_text_without_article_element():
     assert blocks(page, own_slot(page)) == "Head & line\nFirst para graph bold\nSecond\nthird <x>"
 
 
+@pytest.mark.parametrize("opening", ["<body class='no-sidebar'>", "<body class='sidebar comments'>", "<body><div class='layout has-sidebar'>", "<body><div class='widget'>"])
+def test_words_on_enclosing_elements_drop_no_article(opening):
+    text = "\u0130" * 12 + " text of the article that goes on for a while"
+    source = f"""{opening}<div class="sidebar">Side</div><div><h2 class='section-header'>Heading</h2><p>{text}<script>if (a > b) c</SCRIPT >
+<p>Sum <math><mi>x</mi></math> and <object>fallback</object> and <canvas>drawn</canvas></div>"""
+    page = read_page(source)
+    assert blocks(page, "") == f"Heading\n{text}\nSum x and fallback and drawn"
+
+
 def test_main_text(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format(c="wrap")) for i in range(8)]
     rows += [(8, None, None), (9, "http://h0.org/", ""), (10, "x", "plain <b>text"), (10, "x", "plain <b>text"), (11, "http://h0.org/", "<p>other page</p>")]
