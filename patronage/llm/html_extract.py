@@ -1,9 +1,9 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-A token is a tag together with its path of enclosing tags. Tokens of a host's pages with the same occurrence vector
-(how often each occurs on each page) form an equivalence class; the classes that occur once on a page and whose
-members nest are the template, and the tokens' inner parts are its slots. The slot that holds the text and not the
-links, menus or notices is the host's main slot, and each page's text is read from it.
+A token is a tag together with its path of enclosing tags, or a word together with the path of its element. Tokens that
+occur on the same pages of a host form an equivalence class. Words of large, frequent classes that occur equally often on
+each of their pages are the template's; a block made of such words only is dropped. What remains are the slots, and all
+are kept: those inside the host's article or main elements if its template has any, else those of the whole page.
 
 Occurrence vectors are never gathered: a vector's fingerprint is a sum over pages, so a host of any size is an aggregation
 with one row per token and task.
@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.textops import small_batches
+from patronage.llm.linking import bitmap, in_bitmap, share
+from patronage.llm.textops import U, as_long, mix, small_batches
 from patronage.llm.url_filter import host_and_path
 from patronage.session import pin
 
@@ -155,17 +159,26 @@ def _inside(path: str, slot: str) -> bool:
     return not slot or path == slot or path.startswith(slot + ">")
 
 
-def blocks(page: Page, slot: str) -> str:
-    """The text below ``slot`` without clutter: one line per block, white space as single spaces, no empty lines."""
+def token(path: str, word: str = "") -> int:
+    """The key of a tag's path, or of a word in the element of that path."""
+    return xxhash.xxh3_64_intdigest(f"{path}\x00{word}")
+
+
+def blocks(page: Page, slots: str | list[str], template: frozenset[int] = frozenset()) -> str:
+    """The text below any of ``slots`` without clutter and blocks of ``template`` words only.
+
+    One line per block, white space as single spaces, no empty lines.
+    """
+    slots = [slots] if isinstance(slots, str) else slots
     out, current = [], []
     for node, text in [*page.pieces, (None, BREAK)]:
         if text == BREAK:
-            line = _SPACE.sub(" ", html.unescape("".join(current))).strip()
-            if line:
+            line = _SPACE.sub(" ", html.unescape("".join(t for _, t in current))).strip()
+            if line and not (template and all(token(path, word) in template for path, t in current for word in t.split())):
                 out.append(line)
             current = []
-        elif not node.clutter and _inside(node.path, slot):
-            current.append(text)
+        elif not node.clutter and any(_inside(node.path, slot) for slot in slots):
+            current.append((node.path, text))
     return "\n".join(out)
 
 
@@ -201,78 +214,104 @@ def own_slot(page: Page) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, count, text, links, page): the tokens of every page."""
+    """(host, token, path, copied, n, v1, v2, least, most, text, links): the tokens of the pages, words without a path.
+
+    Pages of a batch are folded; ``copied`` is the page's key, which is not folded away, if the host may have the page several times.
+    """
+    copies = pages.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shared = share(pages.sparkSession, bitmap(copies.select("page")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
-            out = []
-            for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+            keys = batch.column("page")
+            copied = in_bitmap(shared.value, keys.to_numpy())
+            rows, tokens, paths, counts, sizes = [], [], [], [], []
+            for row, source in enumerate(batch.column("html").to_pylist()):
                 page = read_page(source)
-                sizes = slot_sizes(page)
-                out += [(host, path, n, *sizes.get(path, (0, 0)), key) for path, n in page.counts.items() if path not in page.clutter]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "path", "count", "text", "links", "page"])
-
-    return pages.mapInArrow(read, "host string, path string, count long, text long, links long, page long")
-
+                own = slot_sizes(page)
+                words = Counter((node.path, w) for node, text in page.pieces if text != BREAK and not node.clutter for w in text.split())
+                tags = [(path, n) for path, n in page.counts.items() if path not in page.clutter]
+                tokens += [token(path) for path, _ in tags] + [token(*w) for w in words]
+                paths += [path for path, _ in tags] + [None] * len(words)
+                counts += [n for _, n in tags] + list(words.values())
+                sizes += [own.get(path, (0, 0)) for path, _ in tags] + [(0, 0)] * len(words)
+                rows += [row] * (len(tags) + len(words))
+            at = pa.array(rows, pa.int64())
+            text, links = zip(*sizes, strict=True) if sizes else ((), ())
+            page_of = keys.take(at).to_numpy()
+            mark, count = mix(page_of.view(U)), pa.array(counts, pa.int64())
+            found = pa.table({
+                "host": batch.column("host").take(at), "token": as_long(np.array(tokens, dtype=U)), "path": pa.array(paths, pa.string()),
+                "copied": pa.array(page_of, mask=~copied[np.array(rows, dtype=np.int64)]),
+                "n": pa.array(np.ones(len(rows), dtype=np.int64)), "v1": as_long(mark & U(0xFFFFFFFF)), "v2": as_long(mark >> U(32)),
+                "least": count, "most": count, "text": pa.array(text, pa.int64()), "links": pa.array(links, pa.int64()),
+            })
+            folds = [("n", "sum"), ("v1", "sum"), ("v2", "sum"), ("least", "min"), ("most", "max"), ("text", "sum"), ("links", "sum")]
+            folded = found.group_by(["host", "token", "path", "copied"], use_threads=False).aggregate(folds)
+            names = ["host", "token", "path", "copied", *(f"{c}_{f}" for c, f in folds)]
+            yield from folded.select(names).rename_columns(["host", "token", "path", "copied", *(c for c, _ in folds)]).to_batches()
+
+    longs = ", ".join(f"{c} long" for c in ("copied", "n", "v1", "v2", "least", "most", "text", "links"))
+    return pages.mapInArrow(read, f"host string, token long, path string, {longs}")
+
+
+def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
+    """(host, slots, words): the article and main elements and the words of each host's template, from (host, html, page).
+
+    Tokens that occur on the same pages are a class. A class is valid if it has ``least_tokens`` and at least ``support`` of the
+    host's pages and ``least_pages``. Words belong to the template if their class is valid and their number is the same on
+    each page of it; a main slot needs no class of that size, but occurs once a page. Equal pages count as one.
+    """
+    # dealt out once for both steps; tasks fold their pages before
+    by_copy = page_tokens(pages).repartition("host", "token").groupBy("host", "token", "path", "copied").agg(
+        *(F.sum(c).alias(c) for c in ("n", "v1", "v2", "text", "links")), F.min("least").alias("least"), F.max("most").alias("most")
+    )
 
-def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """(host, slots): the host's main slots, best first.
+    def once(column: str) -> Column:
+        return F.sum(F.when(F.col("copied").isNull(), F.col(column)).otherwise(F.expr(f"{column} div n"))).alias(column)
 
-    Tokens with equal occurrence vectors are a class. A class is valid if its tokens occur once on each of at least ``support``
-    of the host's pages and at least ``least_pages``; its tokens nest by their paths. Slots lie below the tokens of
-    valid classes. A host with fewer pages has no template.
-    """
-    tokens = page_tokens(pages)
-    low = F.lit(0xFFFFFFFF)
-    mark = F.xxhash64("page", "count")
-    vectors = tokens.groupBy("host", "path").agg(
-        F.sum(mark.bitwiseAND(low)).alias("v1"), F.sum(F.shiftrightunsigned(mark, 32)).alias("v2"),
-        F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.sum("text").alias("text"), F.sum("links").alias("links"),
+    vectors = by_copy.groupBy("host", "token", "path").agg(
+        once("v1"), once("v2"), F.min("least").alias("least"), F.max("most").alias("most"), once("text"), once("links"), once("n")
     )
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    members = F.collect_list(F.struct("token", "path", "least", "most", "text", "links"))
     classes = (
-        vectors.groupBy("host", "v1", "v2").agg(
-            F.max("n").alias("n"), F.max("most").alias("most"), F.collect_list(F.struct("path", "text", "links")).alias("members")
-        )
-        .where("most = 1")
-        .join(hosts, "host")
-        .where((F.col("n") >= F.col("pages") * support) & (F.col("n") >= least_pages))
-        .select("host", "n", F.explode("members").alias("m"))
+        vectors.join(hosts, "host").where((F.col("n") >= F.col("pages") * support) & (F.col("n") >= least_pages))
+        .groupBy("host", "v1", "v2").agg(members.alias("members"))
+        .select("host", (F.size("members") >= least_tokens).alias("valid"), F.explode("members").alias("m"))
+        .select("host", "valid", "m.*")
     )
-    last = F.regexp_extract("m.path", r"([^>.]*)(?:\.[^>]*)?$", 1)
-    rank = F.struct(
-        last.isin(*sorted(MAIN)).alias("main"), (F.col("m.text") - 2 * F.col("m.links")).alias("body"),
-        F.size(F.split("m.path", ">")).alias("depth"), F.col("m.path").alias("path"),
+    main = F.regexp_extract("path", r"([^>.]*)(?:\.[^>]*)?$", 1).isin(*sorted(MAIN))
+    return classes.groupBy("host").agg(
+        F.collect_list(F.when(main & (F.col("most") == 1) & (F.col("text") > 2 * F.col("links")), F.col("path"))).alias("slots"),
+        F.collect_list(F.when(F.col("path").isNull() & F.col("valid") & (F.col("least") == F.col("most")), F.col("token"))).alias("words"),
     )
-    # a template has as many tokens as a page has distinct tag paths that occur once
-    ranked = classes.where("m.text > 2 * m.links").groupBy("host").agg(F.sort_array(F.collect_set(rank), asc=False).alias("ranked"))
-    return ranked.select("host", F.transform("ranked", lambda r: r["path"]).alias("slots"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of (page_id, url, html, ...).
 
-    The text is read from the first of the host's slots that the page has. A page that has none, or whose host has no
-    template, is judged alone. A null or empty page, or one with no text outside clutter, has an empty text. Urls without a
+    The text is all that the host's template leaves, inside its main slots if the page has one. A page whose host has no
+    template is judged alone. A null or empty page, or one with no text outside clutter, has an empty text. Urls without a
     host form one host; repeated rows give repeated rows.
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = pin(templates(rows.select("host", "html", F.xxhash64("page_id", "html").alias("page"))))
+    found = pin(templates(rows.select("host", "html", F.xxhash64("html").alias("page"))))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
             texts = []
-            for source, slots in zip(batch.column("html").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+            for source, slots, words in zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "words")), strict=True):
                 page = read_page(source)
-                slot = next((s for s in slots or () if s in page.counts), None)
-                texts.append(blocks(page, own_slot(page) if slot is None else slot))
+                if slots is None:
+                    texts.append(blocks(page, own_slot(page)))
+                else:
+                    texts.append(blocks(page, [s for s in slots if s in page.counts] or "", frozenset(w & (1 << 64) - 1 for w in words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = rows.join(found, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots")
+    joined = rows.join(found, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots", "words")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -286,6 +286,21 @@ def test_main_text(spark):
     assert got[8] == got[9] == [""] and got[10] == ["plain text"] * 2 and got[11] == ["other page"]
 
 
+def test_template_words_leave_and_all_slots_stay(spark):
+    def page(i):
+        paragraphs = "".join(f"<p>the story {i} has part {k} <i>and</i> the end{i * k}" for k in range(1 + i % 3))
+        return f"""<body><div class=x1>Our site is the best of the <b>whole</b> web</div><div class=x2>{paragraphs}</div>
+<div class=x3>Written by author{i} for the site</div><div class=x4><p>All rights reserved by the owner<p>Call us any day</div></body>"""
+
+    rows = [(i, "http://a.org/", page(i)) for i in range(8)] + [(8 + i, "http://b.org/", page(i // 9)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        story = [f"the story {i} has part {k} and the end{i * k}" for k in range(1 + i % 3)]
+        assert got[i] == "\n".join([*story, f"Written by author{i} for the site"])
+    # two different pages, one of them nine times, are no template
+    assert "the story 0 has part 0 and the end0" in got[8] and "Written by author0 for the site" in got[8]
+
+
 def test_lines(spark):
     long_line = "the quick brown fox jumps over the lazy dog and runs away from the farm before dawn"
     rows = [(2, f"{long_line}\nown line of two\nLes."), (1, f"A\n\n{long_line}!\nles. "), (3, None), (4, ""), (5, f"{long_line} x\nother"), (None, "other")]
