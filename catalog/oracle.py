@@ -694,13 +694,14 @@ def t_tail(t: str, dof: str) -> str:
     angle = f"atan(ABS({t}) / sqrt({dof}))"
     weights = f"CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
     area = f"list_sum(list_transform(range(0, {STEPS + 1}), lambda i: ({weights}) * pow(cos({angle} * i / {STEPS}.0), {dof} - 1.0))) * {angle} / {3 * STEPS}.0"
-    return f"GREATEST(0.0, 1.0 - 2.0 * exp(lgamma(({dof} + 1.0) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi()) * {area})"
+    tail = f"GREATEST(0.0, 1.0 - 2.0 * exp(lgamma(({dof} + 1.0) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi()) * {area})"
+    return f"CASE WHEN ({t}) IS NOT NULL AND ({dof}) IS NOT NULL THEN {tail} END"
 
 
 def chi_tail(x: str, dof: str) -> str:
     """Upper tail of chi-square from the series of the lower one, its terms summed as exponentials of logarithms."""
     terms = f"list_transform(range(0, {STEPS}), lambda i: exp(({dof} / 2.0 + i) * ln(({x}) / 2.0) - ({x}) / 2.0 - lgamma({dof} / 2.0 + i + 1.0)))"
-    return f"CASE WHEN ({x}) <= 0 OR {dof} = 0 THEN 1.0 ELSE GREATEST(0.0, 1.0 - list_sum({terms})) END"
+    return f"CASE WHEN ({x}) <= 0 OR {dof} = 0 THEN 1.0 WHEN ({x}) IS NOT NULL THEN GREATEST(0.0, 1.0 - list_sum({terms})) END"
 
 
 def chi_test_sql(name: str, source: str, a: str, b: str, number: int) -> str:

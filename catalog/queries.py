@@ -257,7 +257,7 @@ def domain_values(spark, folder):
 
 @query()
 def dedup_key(spark, folder):
-    docs = tables.table(spark, folder, "documents", large=True)
+    docs = tables.table(spark, folder, "documents")
     keyed = docs.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_key"))
     return cleaning.dedup_keep_first(keyed, ["text_key"], ["doc_id"]).drop("text_key")
 
