@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.llm.decontaminate import contained_items
@@ -13,7 +15,10 @@ from patronage.llm.mixing import mix_documents
 from patronage.llm.ngram_join import Similarity, ngram_components
 from patronage.llm.quality import grade_documents
 from patronage.llm.sharding import shard_rows
+from patronage.llm.token_counts import count_documents
+from patronage.llm.tokens import Vocabulary
 from patronage.llm.url_filter import Rule, judge_urls
+from patronage.session import ensure_checkpoint_dir
 
 #: Rules of the url query: verdict, host, path.
 URL_RULES = (
@@ -72,11 +77,21 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with a cache of the query's own, so that a run encodes every distinct text of the table."""
+    from public_tokenizers import path
+
+    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    counted = count_documents(read(spark, sf_dir, "documents"), Vocabulary.read(path("byte_bpe_50k.json")), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_extendible_hash_dedup, op2_template_extraction, op3_ordinal_quality, op4_backoff_score, op5_ngram_jaccard_join,
         op6_url_filter, op7_containment_search, op8_subset_sum_mix, op9_feistel_shards, op10_fuzzy_line_dedup,
+        op13_token_counts,
     )
 }
 

@@ -41,18 +41,20 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``BATCH_BYTES`` of text, or one row if it is longer; null texts become empty."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text, or one row if it is longer; null texts become empty.
+
+    A batch is cut before its texts are touched, so only one small part at a time has a second copy.
+    """
     for batch in batches:
         place = batch.schema.get_field_index(column)
-        texts = pc.fill_null(batch.column(place), "").cast(pa.large_string())
-        batch = batch.set_column(place, column, texts)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.array([])
-        start = 0
-        while start < len(texts):
+        lengths = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths, dtype=np.int64), 0
+        while start < len(ends):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
-            yield batch.slice(start, stop - start)
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part.set_column(place, column, pc.fill_null(part.column(place), "").cast(pa.large_string()))
             start = stop
 
 
