@@ -15,6 +15,7 @@ from patronage.llm.mixing import mix_documents
 from patronage.llm.ngram_join import Similarity, ngram_components
 from patronage.llm.quality import grade_documents
 from patronage.llm.sharding import shard_rows
+from patronage.llm.token_align import align_documents
 from patronage.llm.token_counts import count_documents
 from patronage.llm.tokens import Vocabulary
 from patronage.llm.url_filter import Rule, judge_urls
@@ -77,6 +78,13 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    a, b = (Vocabulary.read(path(name), plain=True) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_documents(read(spark, sf_dir, "documents"), a, b)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with a cache of the query's own, so that a run encodes every distinct text of the table."""
     from public_tokenizers import path
@@ -91,7 +99,7 @@ LLM_QUERIES = {
     for f in (
         op1_extendible_hash_dedup, op2_template_extraction, op3_ordinal_quality, op4_backoff_score, op5_ngram_jaccard_join,
         op6_url_filter, op7_containment_search, op8_subset_sum_mix, op9_feistel_shards, op10_fuzzy_line_dedup,
-        op13_token_counts,
+        op12_token_alignment, op13_token_counts,
     )
 }
 

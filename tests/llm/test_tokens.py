@@ -143,3 +143,87 @@ def test_hot_digest_and_empty_table(spark, tmp_path):
     assert count_documents(nothing, voc, str(tmp_path / "b")).count() == 0
     append_missing(nothing, stored_counts(spark, str(tmp_path / "b"), voc), voc, str(tmp_path / "b"))
     assert not (tmp_path / "b").exists()
+
+
+A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def token_bytes(name):
+    encoder = Encoder(vocabulary(name, True))
+    if name.endswith(".json"):
+        # byte-level entries: what the library's own decoder makes of the characters is not bytes, so the map is spelled out
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+        return lambda i: bytes(byte[c] for c in encoder.model.id_to_token(i))
+    return lambda i: bytes([int(encoder.model.id_to_piece(i)[3:5], 16)]) if encoder.model.is_byte(i) else encoder.model.id_to_piece(i).replace("▁", " ").encode()
+
+
+def brute_alignment(rows):
+    """Contract columns by comparing every token of A with every token of B."""
+    import hashlib
+
+    ids, spelled, found = {n: library(n, True) for n in (A, B)}, {n: token_bytes(n) for n in (A, B)}, []
+    for ident, text in rows:
+        a, b = ids[A](" " + (text or "")), ids[B](text or "")
+        parts = [[spelled[n](i) for i in x] for n, x in ((A, a), (B, b))]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            found.append((ident, [], [], [], []))
+            continue
+        spans = []
+        for p in parts:
+            ends = [sum(map(len, p[:k + 1])) for k in range(len(p))]
+            spans.append([(e - len(t), e) for e, t in zip(ends, p, strict=True)])
+        common = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups = [[[i for i, (_, e) in zip(x, s, strict=True) if lo < e <= hi] for x, s in ((a, spans[0]), (b, spans[1]))] for lo, hi in zip([0, *common], common, strict=False)]
+        links = [(i, j) for i, (s, e) in zip(a, spans[0], strict=True) for j, (t, f) in zip(b, spans[1], strict=True) if s < f and t < e]
+        found.append((ident, a, b, groups, links))
+    counts = collections.Counter(link for f in found for link in f[4])
+    best = collections.defaultdict(int)
+    for (_, j), n in counts.items():
+        best[j] = max(best[j], n)
+    for ident, a, b, groups, links in found:
+        written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        yield (
+            ident, len(a), len(b), len(groups), len(links), sum(counts[p] == best[p[1]] for p in links), sum(counts[p] for p in links),
+            hashlib.sha256(written.encode()).hexdigest() if a else "",
+        )
+
+
+ALIGNED = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+@pytest.mark.parametrize("size", [1, 300, 16 << 20])
+def test_alignment_against_brute_force(spark, monkeypatch, size):
+    from patronage.llm import token_align
+
+    monkeypatch.setattr(token_align, "BLOCK_BYTES", size)
+    monkeypatch.setattr(token_align, "ALIGNED_BYTES", max(1, size // 4))
+    rows = [(r[0], r[1][:600] if r[1] else r[1]) for r in ROWS] + [(100 + i, "antidisestablishmentarianism " * i + "größenwahn, naïveté \n\n\tx") for i in range(9)]
+    docs = spark.createDataFrame([(i, t, "clash", 7, "clash") for i, t in rows], "doc_id long, text string, n_a string, block int, step string")
+    found = token_align.align_documents(docs.repartition(3), vocabulary(A, True), vocabulary(B, True))
+    assert found.columns == ALIGNED
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(brute_alignment(rows))
+
+
+def test_alignment_of_nothing(spark):
+    from patronage.llm.token_align import align_documents
+
+    voc = vocabulary(A, True), vocabulary(B, True)
+    assert align_documents(spark.createDataFrame([], "doc_id long, text string"), *voc).count() == 0
+    empty = align_documents(spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string"), *voc).collect()
+    assert sorted(map(tuple, empty)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(1, 400), max_size=300), st.sets(st.integers(1, 400), max_size=300)), min_size=1, max_size=4))
+def test_galloping_ranks(lists):
+    import numpy as np
+
+    from patronage.llm.token_align import ranks
+
+    needles = np.array([x for s, _ in lists for x in sorted(s)], dtype=np.int64)
+    hay = np.array([x for _, s in lists for x in sorted(s)], dtype=np.int64)
+    bounds, places = (np.cumsum([0, *[len(p[k]) for p in lists]]) for k in (0, 1))
+    expected = [places[k] + sum(y < x for y in s[1]) for k, s in enumerate(lists) for x in sorted(s[0])]
+    assert ranks(needles, bounds, hay, places[:-1], places[1:]).tolist() == expected
