@@ -19,6 +19,7 @@ from patronage.llm.token_align import align_documents
 from patronage.llm.token_counts import count_documents
 from patronage.llm.tokens import Vocabulary
 from patronage.llm.url_filter import Rule, judge_urls
+from patronage.llm.whitening import whiten
 from patronage.session import ensure_checkpoint_dir
 
 #: Rules of the url query: verdict, host, path.
@@ -78,6 +79,10 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -99,7 +104,7 @@ LLM_QUERIES = {
     for f in (
         op1_extendible_hash_dedup, op2_template_extraction, op3_ordinal_quality, op4_backoff_score, op5_ngram_jaccard_join,
         op6_url_filter, op7_containment_search, op8_subset_sum_mix, op9_feistel_shards, op10_fuzzy_line_dedup,
-        op12_token_alignment, op13_token_counts,
+        op11_embedding_whitening, op12_token_alignment, op13_token_counts,
     )
 }
 
