@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from patronage.functions.fixed_values import CHURN_BASE_COLUMNS
 from patronage.functions.numeric import ratio, round_half_up
 from patronage.functions.rules import flag
+from patronage.operators.boosting import Boosting, TreeBooster
 from patronage.operators.churn import predictions
 from patronage.operators.ranking import global_position, running_totals
 from patronage.session import pin
@@ -97,11 +98,9 @@ def forest(trees: int = 200, leaf: int = 5, depth: int = 30, seed: int = 42) ->
     return RandomForestClassifier(labelCol=LABEL, numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=seed)
 
 
-def boosting(rounds: int = 200, depth: int = 6, rate: float = 0.1, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed, checkpointInterval=10,
-    )
+def boosting(rounds: int = 200, seed: int = 42) -> TreeBooster:
+    """Second-order boosting with rows and columns drawn once for each tree."""
+    return TreeBooster(Boosting(rounds=rounds, seed=seed), KEY, LABEL)
 
 
 def fit_models(
