@@ -8,6 +8,7 @@ a lost executor only costs its tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,35 +66,18 @@ def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled:
 
 
 def _batch_weights(pdf: pd.DataFrame, h: np.ndarray):
-    sizes = pdf["idx"].map(len).to_numpy()
-    cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"]])
-    vals = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["val"]])
-    doc = np.repeat(np.arange(len(pdf)), sizes)
-    k = h.shape[0]
-    target = np.zeros((len(pdf), k))
-    for j in range(k):
-        target[:, j] = np.bincount(doc, weights=vals * h[j, cols], minlength=len(pdf))
-    w, unsettled = solve_rows(target, h @ h.T, np.zeros((len(pdf), k)))
+    target, doc, cols, vals = _products(pdf, h.T)
+    w, unsettled = solve_rows(target, h @ h.T, np.zeros_like(target))
     return w, doc, cols, vals, unsettled
 
 
-def _round_sums(docs: DataFrame, h: np.ndarray):
-    """Sums over all documents for one round: W'A, W'W, the squared norm of A and the number of unsettled rows."""
-    k, v = h.shape
-    shared = docs.sparkSession.sparkContext.broadcast(h)
+def _sums(docs: DataFrame, matrix: np.ndarray, add: Callable[[Iterator[pd.DataFrame], np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Arrays that each task makes of its documents and the shared ``matrix``, added by their numbers in two levels."""
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches):
-        matrix = shared.value
-        wta, wtw, squares, moving = np.zeros((k, v)), np.zeros((k, k)), 0.0, 0
-        for pdf in batches:
-            if len(pdf):
-                w, doc, cols, vals, unsettled = _batch_weights(pdf, matrix)
-                moving += unsettled
-                for j in range(k):
-                    wta[j] += np.bincount(cols, weights=vals * w[doc, j], minlength=v)
-                wtw += w.T @ w
-                squares += float(vals @ vals)
-        yield pd.DataFrame({"part": range(k + 1), "s": [*wta, np.concatenate([wtw.ravel(), [squares, moving]])]})
+        made = add((pdf for pdf in batches if len(pdf)), shared.value)
+        yield pd.DataFrame({"part": list(made), "s": list(made.values())})
 
     def fold(batches):
         totals: dict[int, np.ndarray] = {}
@@ -103,26 +87,133 @@ def _round_sums(docs: DataFrame, h: np.ndarray):
         if totals:
             yield pd.DataFrame({"part": list(totals), "s": list(totals.values())})
 
-    # a task sends k + 1 arrays, which are summed in two levels
     kind = "part int, s array<double>"
     sums = docs.select("idx", "val").mapInPandas(run, kind).repartition(FOLDS).mapInPandas(fold, kind)
-    rows = {r["part"]: np.asarray(r["s"]) for r in sums.repartition(1).mapInPandas(fold, kind).collect()}  # k + 1 rows
+    rows = {r["part"]: np.asarray(r["s"]) for r in sums.repartition(1).mapInPandas(fold, kind).collect()}
     shared.unpersist()
+    return rows
+
+
+def _entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, column and value of all entries of a batch."""
+    sizes = pdf["idx"].map(len).to_numpy()
+    cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"]])
+    vals = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["val"]])
+    return np.repeat(np.arange(len(pdf)), sizes), cols, vals
+
+
+def _products(pdf: pd.DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The batch's rows of A times the columns of ``matrix``, and its entries."""
+    doc, cols, vals = _entries(pdf)
+    out = np.empty((len(pdf), matrix.shape[1]))
+    for j in range(matrix.shape[1]):
+        out[:, j] = np.bincount(doc, weights=vals * matrix[cols, j], minlength=len(pdf))
+    return out, doc, cols, vals
+
+
+def _round_sums(docs: DataFrame, h: np.ndarray):
+    """Sums over all documents for one round: W'A, W'W, the squared norm of A and the number of unsettled rows."""
+    k, v = h.shape
+
+    def add(batches, matrix):
+        wta, wtw, squares, moving = np.zeros((k, v)), np.zeros((k, k)), 0.0, 0
+        for pdf in batches:
+            w, doc, cols, vals, unsettled = _batch_weights(pdf, matrix)
+            moving += unsettled
+            for j in range(k):
+                wta[j] += np.bincount(cols, weights=vals * w[doc, j], minlength=v)
+            wtw += w.T @ w
+            squares += float(vals @ vals)
+        return dict(enumerate([*wta, np.concatenate([wtw.ravel(), [squares, moving]])]))
+
+    rows = _sums(docs, h, add)
     wta, rest = np.stack([rows.get(j, np.zeros(v)) for j in range(k)]), rows.get(k, np.zeros(k * k + 2))
     return wta, rest[: k * k].reshape(k, k), float(rest[-2]), float(rest[-1])
 
 
+def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
+    """A'A q in one pass over the documents."""
+    v, width = q.shape
+
+    def add(batches, matrix):
+        total = np.zeros((width, v))
+        for pdf in batches:
+            product, doc, cols, vals = _products(pdf, matrix)
+            for j in range(width):
+                total[j] += np.bincount(cols, weights=vals * product[doc, j], minlength=v)
+        return dict(enumerate(total))
+
+    rows = _sums(docs, q, add)
+    return np.stack([rows.get(j, np.zeros(v)) for j in range(width)], axis=1)
+
+
+def leading_vectors(docs: DataFrame, v: int, k: int, passes: int = 2, spare: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest singular values of the documents' matrix and its right singular vectors as columns.
+
+    A random subspace of k + ``spare`` columns is multiplied by A'A and made orthonormal ``passes`` times; the small matrix
+    of A in that subspace is solved on the driver. Each pass reads the documents once, and tasks return v x (k + spare) sums.
+    """
+    width = min(v, k + spare)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(_gram_times(docs, q))[0]
+    small = q.T @ _gram_times(docs, q)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values, kind="stable")[: min(k, width)]
+    return np.sqrt(np.maximum(values[order], 0.0)), q @ vectors[:, order]
+
+
+def _side_sums(docs: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Squared norms of the positive and negative parts of A times each vector, the sum of A and the number of documents."""
+    width = vectors.shape[1]
+
+    def add(batches, matrix):
+        total = np.zeros(2 * width + 2)
+        for pdf in batches:
+            product, _, _, vals = _products(pdf, matrix)
+            total[:width] += (np.maximum(product, 0.0) ** 2).sum(axis=0)
+            total[width:-2] += (np.maximum(-product, 0.0) ** 2).sum(axis=0)
+            total[-2:] += vals.sum(), len(pdf)
+        return {0: total}
+
+    total = _sums(docs, vectors, add).get(0, np.zeros(2 * width + 2))
+    return total[:width], total[width:-2], float(total[-2]), int(total[-1])
+
+
+def decomposed_start(docs: DataFrame, v: int, k: int, seed: int = 42, passes: int = 2) -> np.ndarray:
+    """Topic-term weights from the leading singular vectors: of each, the side (all positive or all negative parts of both
+    vectors) that holds more of it; zeros take the mean entry of the matrix, so that no weight starts locked."""
+    values, vectors = leading_vectors(docs, v, k, passes, seed=seed)
+    plus, minus, total, rows = _side_sums(docs, vectors)
+    h = np.zeros((k, v))
+    for j, value in enumerate(values):
+        y = vectors[:, j]
+        if j == 0 or value <= 0:
+            h[j] = np.sqrt(value) * np.abs(y)
+            continue
+        sides = [(np.sqrt(n) / value, np.maximum(side * y, 0.0)) for side, n in ((1, plus[j]), (-1, minus[j]))]
+        weight, part = max(((x * np.linalg.norm(z), z) for x, z in sides), key=lambda side: side[0])
+        if weight > 0:
+            h[j] = np.sqrt(value * weight) * part / np.linalg.norm(part)
+    h[h < 1e-6] = 0.0
+    return np.where(h == 0.0, total / max(rows * v, 1), h)
+
+
 def fit_topics(
-    weights: DataFrame, key: str, k: int = 8, max_iter: int = 400, tolerance: float = 1e-4, seed: int = 42
+    weights: DataFrame, key: str, k: int = 8, max_iter: int = 400, tolerance: float = 1e-4, seed: int = 42, start: str = "decomposed"
 ) -> tuple[TopicModel, DataFrame]:
     """Fit k topics; returns the model and the stored document vectors.
 
-    Alternates exact document weights (in the tasks) with an update of H; the squared error never rises.
+    Starts from the matrix's leading singular vectors, or with ``start="random"`` from a seeded random matrix, and alternates
+    exact document weights (in the tasks) with an update of H; the squared error never rises.
     Stops when a round improves the error by less than ``tolerance`` of the first error; ``converged`` tells whether that
     came within ``max_iter`` rounds, ``unsettled`` how many weight rows of the last round were still moving.
     """
     docs, terms = document_vectors(weights, key)
-    h = np.random.default_rng(seed).uniform(0.0, 1.0, (k, len(terms)))
+    if start == "random" or not terms:
+        h = np.random.default_rng(seed).uniform(0.0, 1.0, (k, len(terms)))
+    else:
+        h = decomposed_start(docs, len(terms), k, seed)
     errors: list[float] = []
     converged, unsettled = False, 0
     for _ in range(max_iter):

@@ -224,3 +224,64 @@ def test_word_vectors_train_and_persist(spark, tmp_path):
     again = vectors.word_vectors(Word2VecModel.load(str(tmp_path / "w2v")))
     assert sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
     assert vectors.sentences(spark.createDataFrame([(1, "too few words")], "id long, t string"), "id", "t").count() == 0
+
+
+def planted_corpus(spark, seed=0, n=240, topics_=6):
+    rng = np.random.default_rng(seed)
+    data = []
+    for d in range(n):
+        own = d % topics_
+        for j in range(12):
+            if rng.random() < 0.6:
+                data.append((d, f"t{own}_{j}", float(rng.uniform(0.2, 1.0))))
+        for j in range(30):
+            if rng.random() < 0.15:
+                data.append((d, f"noise{j:02d}", float(rng.uniform(0.0, 0.4))))
+    return data, spark.createDataFrame(data, "id long, term string, weight double").repartition(5)
+
+
+def test_leading_vectors_against_numpy(spark):
+    data, weights = planted_corpus(spark)
+    docs, terms = topics.document_vectors(weights, "id")
+    a = np.zeros((240, len(terms)))
+    for d, t, w in data:
+        a[d, terms.index(t)] = w
+    _, s, vt = np.linalg.svd(a)
+    values, found = topics.leading_vectors(docs, len(terms), 6, passes=4)
+    assert np.allclose(values, s[:6], rtol=1e-3)
+    assert np.allclose(np.abs((found * vt[:6].T).sum(axis=0)), 1.0, atol=1e-2)
+
+
+def plain_decomposed_start(a, k):
+    """Topic-term side of the published start: leading singular pairs split by sign, zeros filled with the mean."""
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    h = np.zeros((k, a.shape[1]))
+    h[0] = np.sqrt(s[0]) * np.abs(vt[0])
+    for j in range(1, k):
+        sides = []
+        for sign in (1, -1):
+            x, y = np.maximum(sign * u[:, j], 0), np.maximum(sign * vt[j], 0)
+            sides.append((np.linalg.norm(x) * np.linalg.norm(y), y / max(np.linalg.norm(y), 1e-300)))
+        weight, y = max(sides, key=lambda p: p[0])
+        h[j] = np.sqrt(s[j] * weight) * y
+    h[h < 1e-6] = 0
+    return np.where(h == 0, a.mean(), h)
+
+
+def test_decomposed_start(spark):
+    data, weights = planted_corpus(spark)
+    docs, terms = topics.document_vectors(weights, "id")
+    a = np.zeros((240, len(terms)))
+    for d, t, w in data:
+        a[d, terms.index(t)] = w
+    assert np.allclose(topics.decomposed_start(docs, len(terms), 6, passes=10), plain_decomposed_start(a, 6), atol=1e-3)
+    near, far = (topics.fit_topics(weights, "id", k=6, max_iter=4, tolerance=0, start=start)[0] for start in ("decomposed", "random"))
+    # its first error, and the error after the same few rounds, are below those of a random start
+    assert near.errors[0] < far.errors[0] and near.errors[-1] < far.errors[-1]
+    found = {frozenset(r["term"].split("_")[0] for r in topics.topic_terms(near, docs, 8).where(f"topic_id = {t}").collect()) for t in range(1, 7)}
+    assert found == {frozenset([f"t{j}"]) for j in range(6)}
+
+
+def test_topics_of_empty_weights(spark):
+    model, docs = topics.fit_topics(spark.createDataFrame([], "id long, term string, weight double"), "id", k=3)
+    assert model.terms == [] and docs.count() == 0
