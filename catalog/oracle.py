@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.queries import CHANNEL_ROWS, CONTRIBUTION_WEIGHTS, LOOKED_UP, NEGATIVE, POSITIVE, STOP_WORDS
+from catalog.queries import CHANNEL_ROWS, CONTRIBUTION_WEIGHTS, HABITS, LOOKED_UP, NEGATIVE, POSITIVE, STOP_WORDS
 from patronage.functions import fixed_values as fv
 from patronage.plans.customer360 import CUTOFF
 
@@ -576,6 +576,16 @@ sql("text_clean", SCORED[:2], "SELECT complaint_id, clean_text FROM cleaned")
 sql("text_clean_redacted", [COMPLAINTS], f"SELECT * FROM (SELECT complaint_id, {CLEAN2} AS clean_text FROM cc) WHERE length(clean_text) >= 20")
 sql("token_lists", [COMPLAINTS, f"tk AS (SELECT complaint_id, list_filter(string_split({CLEAN2}, ' '), lambda w: length(w) >= 3) AS t FROM cc)"],
     f"SELECT complaint_id, {big('len(t)')} AS n_tokens, array_to_string(t, ' ') AS tokens FROM tk WHERE len(t) >= 5")
+SENTENCES = [
+    COMPLAINTS, f"tk AS (SELECT complaint_id, list_filter(string_split({CLEAN2}, ' '), lambda w: length(w) >= 3) AS t FROM cc)",
+    "st AS (SELECT complaint_id, t FROM tk WHERE len(t) >= 5)",
+    "wd AS (SELECT complaint_id, generate_subscripts(t, 1) AS i, unnest(t) AS word FROM st)",
+    "voc AS (SELECT word FROM wd GROUP BY 1 HAVING COUNT(*) >= 5)",
+    "kw AS (SELECT * FROM wd WHERE word IN (SELECT word FROM voc))",
+    """pr AS (SELECT a.word, b.word AS context, SUM(6 - ABS(a.i - b.i)) AS weight FROM kw a JOIN kw b
+ ON a.complaint_id = b.complaint_id AND b.i BETWEEN a.i - 5 AND a.i + 5 AND a.i <> b.i GROUP BY 1, 2)""",
+]
+sql("word_context_totals", SENTENCES, f"SELECT word, COUNT(*) AS contexts, {big('SUM(weight)')} AS weight FROM pr GROUP BY 1")
 MEASURED = f"measured AS (SELECT complaint_id, {big('length(text)')} AS text_length, {big('len(' + split_words('clean_text') + ')')} AS word_count FROM cleaned)"
 sql("text_measures", [*SCORED[:2], MEASURED], "SELECT * FROM measured")
 sql("text_statistics", [*SCORED[:2], MEASURED], " UNION ALL ".join(
@@ -802,6 +812,85 @@ sql("risk_group_moments", [*C360, GROUPED, moment_cte("(churn_risk_tier IN ('Hig
 sql("spearman_matrix", C360, " UNION ALL ".join(
     f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, {rnd('corr(ra, rb)', 9)} AS correlation FROM (SELECT {average_rank(a)} AS ra, {average_rank(b)} AS rb
  FROM c360 WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a in fv.CORRELATED_METRICS for b in fv.CORRELATED_METRICS))
+
+def solved(name: str, start: str, n: int, carried: str) -> list[str]:
+    """CTEs ``name``0 to ``name``n: ``start`` selects rows m (a list of n rows) whose first n columns become the identity, one after another."""
+    ctes = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(1, n + 1):
+        row = f"list_transform(range(1, len(m[{k}]) + 1), lambda j: m[{k}][j] / m[{k}][{k}])"
+        other = f"list_transform(range(1, len(m[{k}]) + 1), lambda j: m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}])"
+        ctes.append(f"{name}{k} AS MATERIALIZED (SELECT list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = {k} THEN {row} ELSE {other} END) AS m{carried} FROM {name}{k - 1})")
+    return ctes
+
+
+def complete(columns: list[str]) -> str:
+    return " AND ".join(f"isfinite(CAST({c} AS DOUBLE))" for c in columns)
+
+
+def matrix(rows: list[list[str]]) -> str:
+    return "[" + ", ".join("[" + ", ".join(r) + "]" for r in rows) + "]"
+
+
+def ols_sql(target: str, features: list[str]) -> tuple[list[str], str]:
+    """Normal equations of the scaled columns, solved column by column beside the identity."""
+    p = len(features)
+    x = [f"CAST({f} AS DOUBLE)" for f in features]
+    stats = ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(1, p + 1))
+    ctes = [
+        f"oraw AS (SELECT {', '.join(f'{c} AS x{i}' for i, c in enumerate(x, 1))}, CAST({target} AS DOUBLE) AS y FROM c360 WHERE {complete([*features, target])})",
+        f"ost AS MATERIALIZED (SELECT {stats}, avg(y) AS my, COUNT(*) AS n FROM oraw)",
+        f"oz AS (SELECT [{', '.join(f'(x{i} - m{i}) / s{i}' for i in range(1, p + 1))}] AS z, y - my AS y FROM oraw, ost)",
+    ]
+    grams = [[f"SUM(z[{i}] * z[{j}])" for j in range(1, p + 1)] + [f"{float(i == j)}" for j in range(1, p + 1)] + [f"SUM(z[{i}] * y)"] for i in range(1, p + 1)]
+    xy = ", ".join(f"SUM(z[{i}] * y)" for i in range(1, p + 1))
+    ctes += solved("og", f"SELECT {matrix(grams)} AS m, SUM(y * y) AS yy, [{xy}] AS xy FROM oz", p, ", yy, xy")
+    slope = lambda i: f"m[{i}][{2 * p + 1}]"
+    rss = f"(yy - ({' + '.join(f'{slope(i)} * xy[{i}]' for i in range(1, p + 1))}))"
+    quad = " + ".join(f"(m{i} / s{i}) * (m{j} / s{j}) * m[{i}][{p + j}]" for i in range(1, p + 1) for j in range(1, p + 1))
+    parts = [f"SELECT 'const' AS feature, my - ({' + '.join(f'{slope(i)} * m{i} / s{i}' for i in range(1, p + 1))}) AS b, sqrt({rss} / (n - {p + 1}) * (1.0 / n + {quad})) AS se, n, 1 - {rss} / yy AS r2 FROM og{p}, ost"]
+    parts += [f"SELECT '{f}', {slope(i)} / s{i}, sqrt({rss} / (n - {p + 1}) * m[{i}][{p + i}]) / s{i}, n, 1 - {rss} / yy FROM og{p}, ost" for i, f in enumerate(features, 1)]
+    ctes.append("orows AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")")
+    tested = f"SELECT *, {t_tail('b / se', f'(n - {p + 1})')} AS p FROM orows"
+    return ctes, f"""SELECT feature, {rnd('b', 9)} AS coefficient, {rnd('se', 9)} AS std_error, {rnd('p', 6)} AS p_value, p < 0.05 AS significant_at_5pct, {rnd('r2', 6)} AS r_squared FROM ({tested})"""
+
+
+def logit_sql(target: str, features: list[str], rounds: int = 12) -> tuple[list[str], str]:
+    """Newton rounds written out one after another, each with its own sums over the rows."""
+    p, size = len(features), len(features) + 1
+    ctes = [
+        f"lraw AS (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS x{i}' for i, f in enumerate(features, 1))}, CAST({target} AS DOUBLE) AS y FROM c360 WHERE {complete([*features, target])} AND {target} IN (0, 1))",
+        f"lst AS MATERIALIZED (SELECT {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}' for i in range(1, p + 1))} FROM lraw)",
+        f"lx AS MATERIALIZED (SELECT [1.0, {', '.join(f'(x{i} - m{i}) / s{i}' for i in range(1, p + 1))}]::DOUBLE[] AS x, y FROM lraw, lst)",
+        f"b0 AS (SELECT [{', '.join(['0.0'] * size)}]::DOUBLE[] AS b, CAST(NULL AS DOUBLE[][]) AS inv)",
+    ]
+    for k in range(1, rounds + 1):
+        sums = [
+            [f"SUM(w * x[{i}] * x[{j}])" for j in range(1, size + 1)] + [f"{float(i == j)}" for j in range(1, size + 1)] + [f"SUM(x[{i}] * (y - q))"]
+            for i in range(1, size + 1)
+        ]
+        rows = f"SELECT x, y, b, q, q * (1 - q) AS w FROM (SELECT x, y, b, 1.0 / (1.0 + exp(-list_dot_product(x, b))) AS q FROM lx, b{k - 1})"
+        ctes += solved(f"h{k}_", f"SELECT {matrix(sums)} AS m, ANY_VALUE(b) AS b FROM ({rows})", size, ", b")
+        ctes.append(
+            f"b{k} AS MATERIALIZED (SELECT list_transform(range(1, {size + 1}), lambda i: b[i] + m[i][{2 * size + 1}]) AS b,"
+            f" list_transform(range(1, {size + 1}), lambda i: m[i][{size + 1}:{2 * size}]) AS inv,"
+            f" list_max(list_transform(range(1, {size + 1}), lambda i: abs(m[i][{2 * size + 1}]))) AS step FROM h{k}_{size})"
+        )
+    turn = ["1.0", *[f"(-m{i} / s{i})" for i in range(1, p + 1)]]
+    quad = " + ".join(f"{turn[i]} * {turn[j]} * inv[{i + 1}][{j + 1}]" for i in range(size) for j in range(size))
+    parts = [f"SELECT 'const' AS feature, b[1] - ({' + '.join(f'b[{i + 1}] * m{i} / s{i}' for i in range(1, p + 1))}) AS w, sqrt(abs({quad})) AS se, coalesce(step < 1e-9, FALSE) AS settled FROM b{rounds}, lst"]
+    parts += [f"SELECT '{f}', b[{i + 1}] / s{i}, sqrt(abs(inv[{i + 1}][{i + 1}])) / s{i}, coalesce(step < 1e-9, FALSE) FROM b{rounds}, lst" for i, f in enumerate(features, 1)]
+    ctes.append("lrows AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")")
+    tested = f"SELECT *, {chi_tail('(w / se) * (w / se)', '1')} AS p FROM (SELECT feature, CASE WHEN settled THEN w END AS w, CASE WHEN settled THEN se END AS se, settled FROM lrows)"
+    z = "1.959963984540054"
+    return ctes, f"""SELECT feature, {rnd('w', 8)} AS coefficient, {rnd('se', 8)} AS std_error, {rnd('p', 6)} AS p_value, {rnd('exp(w)', 6)} AS odds_ratio,
+ {rnd(f'exp(w - {z} * se)', 6)} AS ci_lower, {rnd(f'exp(w + {z} * se)', 6)} AS ci_upper, p < 0.05 AS significant_at_5pct, settled FROM ({tested})"""
+
+
+_ols = ols_sql("customer_health_score", fv.HEALTH_REGRESSORS)
+sql("ols_health", [*C360, *_ols[0]], _ols[1])
+for _name, _features in (("logit_odds_ratios", fv.CHURN_REGRESSORS), ("logit_odds_of_habits", HABITS)):
+    _logit = logit_sql("actual_churned", _features)
+    sql(_name, [*C360, *_logit[0]], _logit[1])
 sql("dq_checks", C360, "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT 'Missing values' AS \"check\", '{c}' AS \"column\", COUNT(*) FILTER ({c} IS NULL) AS count, 'Review' AS status FROM c360" for c in C360_COLUMNS
 ) + """) WHERE count > 0 UNION ALL SELECT 'Return rate above 100%', 'return_rate', COUNT(*) FILTER (return_rate > 1), 'Review metric definition' FROM c360

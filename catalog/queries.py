@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from patronage.functions.numeric import round_half_up
 from patronage.operators import (
     churn, cleaning, complaints as cx, contingency, features, health, modelling, quality, ranking, reports, rfm, sales,
-    statistics, tfidf, topics, vectors,
+    statistics, tfidf, topics, vectors, word_factors,
 )
 from patronage.plans import complaint_text, customer360 as chain, report_suite
 from patronage.plans.stages import stage
@@ -28,6 +28,7 @@ STOP_WORDS = [
 ]
 TFIDF_OPTIONS = {"stop_words": STOP_WORDS, "min_df": 10, "max_df": 0.90, "max_features": 5000}
 NEGATIVE_OPTIONS = {"stop_words": STOP_WORDS}
+HABITS = ["total_invoices", "total_revenue", "unique_products", "return_rate"]
 CHANNEL_ROWS = 25
 LOOKED_UP = 7
 CONTRIBUTION_WEIGHTS = {"obs_recency_days": 0.004, "obs_total_invoices": -0.11, "obs_unique_products": -0.02}
@@ -876,12 +877,23 @@ def dq_checks(spark, folder):
 
 @query()
 def ols_health(spark, folder):
-    return statistics.health_regression(c360(spark, folder))
+    found = rounded(statistics.health_regression(c360(spark, folder)), 9, "coefficient", "std_error")
+    return rounded(found, 6, "p_value", "r_squared")
+
+
+def odds_view(found):
+    return rounded(rounded(found, 8, "coefficient", "std_error"), 6, "p_value", "odds_ratio", "ci_lower", "ci_upper")
 
 
 @query()
 def logit_odds_ratios(spark, folder):
-    return statistics.churn_regression(c360(spark, folder))
+    return odds_view(statistics.churn_regression(c360(spark, folder)))
+
+
+@query()
+def logit_odds_of_habits(spark, folder):
+    """Odds without the days since the last order, which tell churned customers apart on most data."""
+    return odds_view(statistics.churn_regression(c360(spark, folder), features=HABITS))
 
 
 # ---- churn models -------------------------------------------------------------------------------
@@ -1026,14 +1038,15 @@ def similar_vectors(spark, folder):
     return rounded(near, 6, "similarity")
 
 
-_word_models: dict = {}
+def corpus_vectors(spark, folder):
+    return stage(spark, folder, "word vectors", lambda: word_factors.co_occurrence_vectors(complaint_text.build_sentences(spark, folder)))
 
 
-def corpus_vectors(spark, folder):
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _word_models:
-        _word_models[key] = vectors.word_vectors(vectors.fit_word_vectors(complaint_text.build_sentences(spark, folder)))
-    return _word_models[key]
+@query()
+def word_context_totals(spark, folder):
+    """Contexts and weight of every frequent word: what the word vectors are made of."""
+    found = complaint_text.build_sentences(spark, folder)
+    return word_factors.context_totals(word_factors.known_pairs(word_factors.co_occurrences(found), word_factors.vocabulary(found)))
 
 
 CORPUS_CONCEPTS = {"articles": ["the", "les", "der"], "joining": ["and", "und", "avec"], "missing": ["unseen"]}
@@ -1059,6 +1072,16 @@ def topic_model(spark, folder):
     return _topic_models[key]
 
 
+@query()
+def nmf_fit(spark, folder):
+    """How the topics were found: rounds, first and last error, whether they settled and how many weight rows did not."""
+    fitted, docs = topic_model(spark, folder)
+    return docs.sparkSession.createDataFrame(
+        [(len(fitted.components), len(fitted.terms), len(fitted.errors), fitted.errors[0], fitted.errors[-1], fitted.converged, fitted.unsettled)],
+        "topics int, terms int, rounds int, first_error double, last_error double, converged boolean, unsettled int",
+    )
+
+
 @query()
 def nmf_topic_terms(spark, folder):
     return topics.topic_terms(*topic_model(spark, folder))
@@ -1183,8 +1206,39 @@ def customer_lookup(spark, folder):
     return rounded(found, 6, "health", "churn_safety")
 
 
+def fitted_themes(spark, folder):
+    """Themes from the fitted topics instead of the length of the text."""
+    return stage(
+        spark, folder, "themed by topics",
+        lambda: complaint_text.build_themed(spark, folder, POSITIVE, NEGATIVE, nmf_dominant_topic(spark, folder)),
+    )
+
+
 @query()
 def fitted_theme_metrics(spark, folder):
-    """Themes from the fitted topics instead of the length of the text."""
-    found = complaint_text.build_themed(spark, folder, POSITIVE, NEGATIVE, nmf_dominant_topic(spark, folder))
-    return rounded(cx.theme_metrics(found), 6, *RATES)
+    return rounded(cx.theme_metrics(fitted_themes(spark, folder)), 6, *RATES)
+
+
+@query()
+def fitted_cx_priority(spark, folder):
+    found = cx.theme_priority(cx.theme_metrics(fitted_themes(spark, folder)))
+    return rounded(found, 6, *RATES, "volume_score", "negative_score", "response_gap_score", "cx_priority_score")
+
+
+@query()
+def fitted_theme_tables(spark, folder):
+    """Complaints and negative rate of each theme by product and by issue."""
+    found = [
+        cx.theme_by(fitted_themes(spark, folder), dim).select(F.lit(dim).alias("dimension"), F.col(dim).alias("value"), "theme", "complaints", "negative_complaints", "negative_rate")
+        for dim in ("product", "issue")
+    ]
+    return rounded(found[0].unionByName(found[1]), 6, "negative_rate")
+
+
+@query()
+def fitted_topic_shares(spark, folder):
+    """Shares of the fitted topics: of all complaints, and of each product's."""
+    found = fitted_themes(spark, folder)
+    overall = cx.topic_distribution(found).select(F.lit(None).cast("string").alias("product"), F.col("topic_id").alias("dominant_topic"), "complaints", F.col("percentage").alias("share_pct"))
+    within = cx.share_within(found, "product", "dominant_topic", "share_pct").select("product", "dominant_topic", "complaints", "share_pct")
+    return rounded(overall.unionByName(within), 6, "share_pct")

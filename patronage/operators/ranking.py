@@ -75,18 +75,23 @@ class Histogram:
     known: dict[tuple[float, ...], dict[str, dict]] = field(default_factory=dict, compare=False)
 
 
-def histogram(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> Histogram:
-    """Running counts of the finite values of each column, all columns in one pass."""
+def value_counts(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
+    """(metric, value, cnt) of the finite values of each column, all columns in one pass."""
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
     entries = [F.struct(F.lit(m).alias("metric"), finite(c).alias("value")) for m, c in columns.items()]
-    counts = (
+    return (
         df.select(F.explode(F.array(*entries)).alias("e"))
         .select("e.metric", (F.col("e.value") + F.lit(0.0)).alias("value"))
         .where(F.col("value").isNotNull())
         .groupBy("metric", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+
+
+def histogram(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> Histogram:
+    """Running counts of the finite values of each column."""
+    counts = value_counts(df, columns)
     return Histogram(running_totals(counts, ["metric"], [F.col("value")], ["cnt"], ["value"]), tuple(columns))
 
 

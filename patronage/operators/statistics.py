@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.functions.distributions import t_critical, t_p_value
+from patronage.functions.distributions import chi_square_p_value, t_critical, t_p_value
 from patronage.functions.fixed_values import (
     CHURN_REGRESSORS, CORRELATED_METRICS, DESCRIBED_METRICS, EFFECT_SIZES, HEALTH_DIFFERS, HEALTH_REGRESSORS, HEALTH_SAME, LARGEST_EFFECT,
     RISK_GROUP_METRICS,
 )
 from patronage.functions.numeric import finite
 from patronage.functions.rules import under
-from patronage.operators.ranking import attach_average_ranks, histogram, quantiles
+from patronage.operators.moments import least_squares, logistic, rank_correlations
+from patronage.operators.ranking import attach_average_ranks, histogram, quantiles, value_counts
+from patronage.session import pin
+
+#: Distinct values of all ranked columns that are sent to the tasks (16 bytes each).
+RANKED_VALUES = 1_000_000
 
 
 def long_metrics(df: DataFrame, metrics: Sequence[str], *keep: Column) -> DataFrame:
@@ -116,11 +120,26 @@ def risk_group_tests(c360: DataFrame) -> DataFrame:
     return with_p_value(risk_group_moments(c360))
 
 
+def rank_tables(counts: DataFrame, names: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each column its values in order and their average ranks less the mean rank, from (metric, value, cnt) rows."""
+    found = counts.orderBy("metric", "value").toArrow()
+    metric, value, cnt = (found.column(c).to_numpy() for c in ("metric", "value", "cnt"))
+    tables = []
+    for name in names:
+        own = metric == name
+        n = cnt[own]
+        upto = np.cumsum(n)
+        tables.append((value[own], upto - n + (n + 1) / 2.0 - (n.sum() + 1) / 2.0))
+    return tables
+
+
 def spearman(df: DataFrame, key: str, metrics: Sequence[str] = CORRELATED_METRICS) -> DataFrame:
     """Pairwise-complete rank correlations as (metric_a, metric_b, correlation).
 
     Columns without nulls are ranked once over all rows. A column with nulls also needs every other
-    column ranked over its own non-null rows. All rankings share one pass over one long histogram.
+    column ranked over its own non-null rows. All rankings share one pass over one long table of counts. Up to
+    ``RANKED_VALUES`` distinct values, the ranks go to the tasks, which multiply them in one pass over the rows; beyond,
+    ranks come from range partitions and join the rows.
     """
     metrics = [m for m in metrics if m in df.columns]
     values = {m: finite(m) for m in metrics}
@@ -138,6 +157,17 @@ def spearman(df: DataFrame, key: str, metrics: Sequence[str] = CORRELATED_METRIC
         both = values[a].isNotNull() & values[b].isNotNull()
         for m, other in ((a, b), (b, a)):
             needed[ranked_name(m, other)] = F.when(both, values[m]) if {a, b} & set(holed) else values[m]
+    names = sorted(needed)
+    masked = df.select(key, *[(finite(needed[c]) + F.lit(0.0)).alias(c) for c in names])
+    counts = pin(value_counts(masked, names))
+    if counts.limit(RANKED_VALUES + 1).count() <= RANKED_VALUES:
+        found = rank_correlations(masked, rank_tables(counts, names), names)
+        place = {c: i for i, c in enumerate(names)}
+        entries = [
+            (x, y, float(v) if (v := found[place[ranked_name(x, y)], place[ranked_name(y, x)]]) == v else None)
+            for a, b in pairs for x, y in {(a, b), (b, a)}
+        ]
+        return df.sparkSession.createDataFrame(entries, "metric_a string, metric_b string, correlation double")
     ranks = attach_average_ranks(df.select(key, *metrics), key, histogram(df, needed), needed, percent=False)
     row = ranks.agg(
         *[
@@ -154,49 +184,40 @@ def spearman(df: DataFrame, key: str, metrics: Sequence[str] = CORRELATED_METRIC
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def _assembled(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    numeric = df.select(*[finite(c).alias(c) for c in [target, *features]]).dropna()
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(numeric)
-
-
 def _coefficient_rows(df: DataFrame, names: Sequence[str], columns: Mapping[str, Sequence[float]]) -> DataFrame:
-    rows = [tuple([name, *[float(v[i]) for v in columns.values()]]) for i, name in enumerate(names)]
+    rows = [tuple([name, *[None if np.isnan(v[i]) else float(v[i]) for v in columns.values()]]) for i, name in enumerate(names)]
     schema = ", ".join(["feature string", *[f"{c} double" for c in columns]])
     return df.sparkSession.createDataFrame(rows, schema)
 
 
 def health_regression(c360: DataFrame, target: str = "customer_health_score", features: Sequence[str] = HEALTH_REGRESSORS) -> DataFrame:
-    """Least squares with p-values and R squared; the intercept is named const."""
-    model = LinearRegression(labelCol=target, solver="normal").fit(_assembled(c360, target, features))
-    summary = model.summary
-    columns = {
-        "coefficient": [model.intercept, *model.coefficients],
-        "p_value": [summary.pValues[-1], *summary.pValues[:-1]],
-    }
-    rows = _coefficient_rows(c360, ["const", *features], columns)
-    return rows.withColumn("significant_at_5pct", F.col("p_value") < 0.05).withColumn("r_squared", F.lit(float(summary.r2)))
+    """Least squares with p-values and R squared; the intercept is named const. Empty without more rows than weights."""
+    fit = least_squares(c360, target, features)
+    names = ["const", *features] if fit else []
+    columns = {"coefficient": fit.weights, "std_error": fit.errors} if fit else {"coefficient": [], "std_error": []}
+    rows = _coefficient_rows(c360, names, columns)
+    t = F.col("coefficient") / F.nullif(F.col("std_error"), F.lit(0.0))
+    tested = rows.withColumn("p_value", t_p_value(t, F.lit(float(fit.dof if fit else 1))))
+    return tested.withColumn("significant_at_5pct", F.col("p_value") < 0.05).withColumn("r_squared", F.lit(fit.r_squared if fit else None).cast("double"))
 
 
 def churn_regression(c360: DataFrame, target: str = "actual_churned", features: Sequence[str] = CHURN_REGRESSORS) -> DataFrame:
-    """Logistic regression on the actual outcome: odds ratios with 95 % interval and p-values."""
-    rows = _assembled(c360, target, features).where(F.col(target).isin(0.0, 1.0))
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=target, maxIter=100)
-    model = glm.fit(rows)
-    summary = model.summary
-    errors = [summary.coefficientStandardErrors[-1], *summary.coefficientStandardErrors[:-1]]
-    columns = {
-        "coefficient": [model.intercept, *model.coefficients],
-        "std_error": errors,
-        "p_value": [summary.pValues[-1], *summary.pValues[:-1]],
-    }
-    out = _coefficient_rows(c360, ["const", *features], columns)
+    """Logistic regression on the actual outcome: odds ratios with 95 % interval and p-values.
+
+    Where the features separate the classes there are no finite odds: ``settled`` is false and the numbers are null.
+    """
+    fit = logistic(c360, target, features)
+    names = ["const", *features] if fit else []
+    columns = {"coefficient": fit.weights, "std_error": fit.errors} if fit else {"coefficient": [], "std_error": []}
+    out = _coefficient_rows(c360, names, columns)
     b, se = F.col("coefficient"), F.col("std_error")
     z = F.lit(1.959963984540054)
+    ratio = b / F.nullif(se, F.lit(0.0))
     return out.withColumns(
         {
+            "p_value": chi_square_p_value(ratio * ratio, F.lit(1)),
             "odds_ratio": F.exp(b),
             "ci_lower": F.exp(b - z * se),
             "ci_upper": F.exp(b + z * se),
-            "significant_at_5pct": F.col("p_value") < 0.05,
         }
-    )
+    ).withColumn("significant_at_5pct", F.col("p_value") < 0.05).withColumn("settled", F.lit(bool(fit and fit.settled)))
