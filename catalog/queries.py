@@ -482,9 +482,8 @@ def monthly_report(spark, folder):
 
 @query()
 def product_report(spark, folder):
-    return sales.product_report(
-        lines(spark, folder, "stock_code", "description", "revenue", "quantity", "invoice_id", "customer_id", "unit_price")
-    )
+    sold = lines(spark, folder, "stock_code", "revenue", "quantity", "invoice_id", "customer_id", "unit_price")
+    return sales.product_report(sold, names=tables.products(spark, folder))
 
 
 @query()

@@ -105,20 +105,20 @@ def return_features(returns: DataFrame, customers: DataFrame | None = None) -> D
 
 
 def customer_base(sales: DataFrame, windows: Mapping[str, Column] | None = None) -> DataFrame:
-    """All sales-based measures per customer from one pass over the lines.
+    """All sales-based measures per customer.
 
-    The lines are grouped once by the sets (customer, invoice), (customer, product),
-    (customer, country) and (customer, day); the small results are then folded per customer and
-    invoice day, and per customer. Every grouping combines before its shuffle, so a customer with a
+    The lines are folded twice: to invoices (with their country and day), and to customer and product. Invoices are then
+    grouped by the sets (customer, invoice), (customer, country) and (customer, day), and the small results are folded
+    per customer and invoice day, and per customer. Every grouping combines before its shuffle, so a customer with a
     third of all lines is no bottleneck.
 
     ``windows`` maps a column prefix to a condition on the lines: the measures are computed once more
-    over the lines that meet it, in the same pass (a customer without such lines has 0 invoices there).
+    over the lines that meet it, in the same passes (a customer without such lines has 0 invoices there).
     """
     windows = {"": F.lit(True), **(windows or {})}
     lines = sales.withColumn("_day", F.to_date("invoice_date"))
-    sets = ["invoice_id", "stock_code", "country", "_day"]
-    sums = [F.max("invoice_date").alias("_last_line")]
+    sets = ["invoice_id", "country", "_day"]
+    sums, again = [F.max("invoice_date").alias("_last_line")], [F.max("_last_line").alias("_last_line")]
     for p, inside in windows.items():
         sums += [
             F.min(F.when(inside, F.col("invoice_date"))).alias(f"_{p}date"),
@@ -126,8 +126,14 @@ def customer_base(sales: DataFrame, windows: Mapping[str, Column] | None = None)
             F.sum(F.when(inside, F.col("quantity"))).alias(f"_{p}quantity"),
             F.count(F.when(inside, 1)).alias(f"_{p}lines"),
         ]
-    grouped = lines.groupingSets([["customer_id", s] for s in sets], "customer_id", *sets).agg(
-        *[F.grouping(s).alias(f"_not_{s}") for s in sets], *sums
+        again += [F.min(f"_{p}date").alias(f"_{p}date"), *[F.sum(f"_{p}{c}").alias(f"_{p}{c}") for c in ("revenue", "quantity", "lines")]]
+    invoices = lines.groupBy("customer_id", *sets).agg(*sums)
+    grouped = invoices.groupingSets([["customer_id", s] for s in sets], "customer_id", *sets).agg(
+        *[F.grouping(s).alias(f"_not_{s}") for s in sets], *again
+    )
+    pairs = lines.groupBy("customer_id", "stock_code").agg(*[F.max(F.when(inside, 1)).alias(f"_{p}seen") for p, inside in windows.items()])
+    bought = pairs.where(F.col("stock_code").isNotNull()).groupBy(F.col("customer_id").alias("_buyer")).agg(
+        *[F.count(f"_{p}seen").alias(f"{p}unique_products") for p in windows]
     )
 
     def row_of(s: str) -> Column:
@@ -151,7 +157,6 @@ def customer_base(sales: DataFrame, windows: Mapping[str, Column] | None = None)
             f"{p}total_revenue": (of("invoice_id", F.col(f"_{p}revenue")), F.sum),
             f"{p}max_invoice_value": (of("invoice_id", F.col(f"_{p}revenue")), F.max),
             f"{p}min_invoice_value": (of("invoice_id", F.col(f"_{p}revenue")), F.min),
-            f"{p}unique_products": (of("stock_code", F.lit(1)), F.sum),
             f"_{p}first_day": (of("_day", F.col("_day")), F.min),
             f"_{p}last_day": (of("_day", F.col("_day")), F.max),
             f"_{p}days": (of("_day", F.lit(1)), F.sum),
@@ -167,6 +172,7 @@ def customer_base(sales: DataFrame, windows: Mapping[str, Column] | None = None)
         for p in windows
     ]
     folded = per_day.groupBy("customer_id").agg(*[fold(n).alias(n) for n, (_, fold) in measures.items()], *days)
+    folded = folded.join(bought, F.col("customer_id").eqNullSafe(F.col("_buyer")), "left")
     out = [F.col("customer_id"), F.col("last_line_date")]
     for p in windows:
         counts = ["total_invoices", "total_line_items", "total_quantity", "unique_products", "unique_purchase_days"]

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.fixed_values import CLEAN_COLUMNS, RAW_COLUMN_NAMES
-from patronage.functions.numeric import exact_avg, money_sum
+from patronage.functions.numeric import money_sum, ratio
 from patronage.operators.cleaning import is_cancellation
+from patronage.operators.sales import line_sizes
 
 
 def as_rows(one_row: DataFrame, name: str, value: str, columns: Sequence[str]) -> DataFrame:
@@ -43,34 +44,30 @@ def sample_rows(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
 def raw_audit(raw: DataFrame) -> DataFrame:
     """Faults and sizes of the raw lines as (check, value) text rows.
 
-    Equal rows are folded first; every later count then runs over distinct rows with their copies.
+    Equal rows are found by folding all columns; every other count comes from lines folded to invoices.
     """
     names = list(RAW_COLUMN_NAMES)
-    folded = raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-
-    def count_if(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("string")
-
-    checks = {f"null_{c}": count_if(F.col(f"`{c}`").isNull()) for c in names}
-    checks |= {
-        "duplicate_rows": F.sum(n - 1).cast("string"),
-        "quantity_negative": count_if(F.col("Quantity") < 0),
-        "quantity_zero": count_if(F.col("Quantity") == 0),
-        "price_negative": count_if(F.col("Price") < 0),
-        "price_zero": count_if(F.col("Price") == 0),
-        "missing_customer_id": count_if(F.col("Customer ID").isNull()),
-        "cancelled_invoices": count_if(is_cancellation("Invoice")),
-        "unique_customers": F.count_distinct("Customer ID").cast("string"),
-        "unique_invoices": F.count_distinct("Invoice").cast("string"),
-        "unique_products": F.count_distinct("StockCode").cast("string"),
-        "unique_countries": F.count_distinct("Country").cast("string"),
-        "total_rows": F.sum(n).cast("string"),
-        "date_min": F.date_format(F.min("InvoiceDate"), "yyyy-MM-dd HH:mm:ss"),
-        "date_max": F.date_format(F.max("InvoiceDate"), "yyyy-MM-dd HH:mm:ss"),
+    rows = [F.col(f"`{c}`") for c in names]
+    conditions = {f"null_{c}": F.col(f"`{c}`").isNull() for c in names}
+    conditions |= {
+        "quantity_negative": F.col("Quantity") < 0,
+        "quantity_zero": F.col("Quantity") == 0,
+        "price_negative": F.col("Price") < 0,
+        "price_zero": F.col("Price") == 0,
+        "missing_customer_id": F.col("Customer ID").isNull(),
+        "cancelled_invoices": is_cancellation("Invoice"),
     }
-    row = folded.agg(*[c.alias(name) for name, c in checks.items()])
-    found = as_rows(row, "check", "value", list(checks))
+    measures = {name: ("count", F.count(F.when(condition, 1))) for name, condition in conditions.items()}
+    measures |= {
+        "total_rows": ("count", F.count(F.lit(1))), "date_min": ("min", F.min("InvoiceDate")), "date_max": ("max", F.max("InvoiceDate")),
+    }
+    found = line_sizes(raw, "Invoice", "Customer ID", "StockCode", "Country", measures)
+    different = raw.groupBy(*rows).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1))).scalar()
+    sized = found.withColumn("duplicate_rows", F.coalesce("total_rows", F.lit(0)) - different)
+    dates = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("date_min", "date_max")}
+    order = [*conditions, "duplicate_rows", "unique_customers", "unique_invoices", "unique_products", "unique_countries", "total_rows"]
+    text = sized.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("string").alias(c) for c in order], *[d.alias(c) for c, d in dates.items()])
+    found = as_rows(text, "check", "value", [*order, *dates])
     return found.where(~(F.col("check").startswith("null_") & (F.col("value") == "0")))
 
 
@@ -172,18 +169,15 @@ def report_shapes(reports: dict[str, DataFrame], limits: dict[str, tuple[int, in
 
 def key_metrics(clean: DataFrame) -> DataFrame:
     """Sizes, revenue and mean order value of the clean table in one row."""
-    per_invoice = clean.groupBy("invoice_id").agg(F.sum(F.col("revenue").cast("decimal(20,4)")).alias("_value"))
-    mean_order = per_invoice.agg(exact_avg("_value", "decimal(30,4)")).scalar()
-    return clean.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("invoice_id").alias("unique_invoices"),
-        F.count_distinct("stock_code").alias("unique_products"),
-        F.count_distinct("country").alias("unique_countries"),
-        F.min("invoice_date").alias("date_min"),
-        F.max("invoice_date").alias("date_max"),
-        money_sum("revenue").alias("total_revenue"),
-    ).withColumn("avg_order_value", mean_order)
+    found = line_sizes(clean, "invoice_id", "customer_id", "stock_code", "country", {
+        "total_rows": ("count", F.count(F.lit(1))), "date_min": ("min", F.min("invoice_date")), "date_max": ("max", F.max("invoice_date")),
+        "_revenue": ("sum", F.sum(F.col("revenue").cast("decimal(20,4)"))),
+    })
+    return found.select(
+        F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "unique_customers", "unique_invoices", "unique_products", "unique_countries",
+        "date_min", "date_max", F.col("_revenue").cast("double").alias("total_revenue"),
+        ratio(F.col("_revenue"), F.col("unique_invoices")).alias("avg_order_value"),
+    )
 
 
 def domain_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

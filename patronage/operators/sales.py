@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,16 +11,33 @@ from patronage.operators.ranking import histogram, quantiles
 from patronage.session import pin
 
 
+def line_sizes(lines: DataFrame, invoice: str, customer: str, product: str, country: str, sums: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """One row with the distinct invoices, customers, products and countries of the lines, and other ``sums`` over them.
+
+    Lines are folded to (invoice, customer, country) before three of the distinct counts, and to products for the fourth,
+    so that no line is sent once for each count. ``sums`` gives each measure its kind (count, sum, min or max) and its aggregate of the lines.
+    """
+    folds = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    folded = lines.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in ((invoice, "_invoice"), (customer, "_customer"), (country, "_country"))]).agg(
+        *[measure.alias(name) for name, (_, measure) in sums.items()]
+    )
+    products = lines.groupBy(F.col(f"`{product}`").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).agg(F.count("_p"))
+    row = folded.agg(
+        *[folds[kind](name).alias(name) for name, (kind, _) in sums.items()],
+        F.count_distinct("_customer").alias("unique_customers"), F.count_distinct("_invoice").alias("unique_invoices"),
+        F.count_distinct("_country").alias("unique_countries"),
+    )
+    return row.withColumn("unique_products", products.scalar())
+
+
 def dataset_overview(sales: DataFrame) -> DataFrame:
     """Rows, distinct keys and date range."""
-    return sales.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("invoice_id").alias("unique_invoices"),
-        F.count_distinct("stock_code").alias("unique_products"),
-        F.count_distinct("country").alias("unique_countries"),
-        F.min("invoice_date").alias("date_min"),
-        F.max("invoice_date").alias("date_max"),
+    found = line_sizes(sales, "invoice_id", "customer_id", "stock_code", "country", {
+        "total_rows": ("count", F.count(F.lit(1))), "date_min": ("min", F.min("invoice_date")), "date_max": ("max", F.max("invoice_date")),
+    })
+    return found.select(
+        F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "unique_customers", "unique_invoices", "unique_products", "unique_countries",
+        "date_min", "date_max",
     )
 
 
@@ -94,16 +111,30 @@ def monthly_report(sales: DataFrame) -> DataFrame:
     ).orderBy("invoice_month")
 
 
-def product_report(sales: DataFrame, k: int = 50) -> DataFrame:
-    """The k products with the most revenue; lines without a description are left out."""
-    products = sales.where(non_blank("description")).groupBy("stock_code", "description").agg(
+def product_report(sales: DataFrame, k: int = 50, names: DataFrame | None = None) -> DataFrame:
+    """The k products with the most revenue; lines without a description are left out.
+
+    Descriptions are a column of the lines, or come from ``names`` (stock_code, description), which then meets one row per
+    product. Invoices and customers are counted over the lines of the k products only.
+    """
+    keys = ["stock_code"] if names is not None else ["stock_code", "description"]
+    totals = sales.groupBy(*keys).agg(
         round_half_up(money_sum("revenue"), 2).alias("total_revenue"),
         F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("invoice_id").alias("total_invoices"),
-        F.count_distinct("customer_id").alias("unique_customers"),
         round_half_up(exact_avg("unit_price", "decimal(24,8)"), 4).alias("avg_unit_price"),
     )
-    return top_by(products, "total_revenue", k, "stock_code", "description")
+    if names is not None:
+        totals = totals.join(names, "stock_code")
+    top = pin(top_by(totals.where(non_blank("description")), "total_revenue", k, "stock_code", "description"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
+    few = sales.alias("l").join(F.broadcast(top.select(*keys).alias("t")), same, "left_semi")  # k rows
+    counts = few.groupBy(*keys).agg(
+        F.count_distinct("invoice_id").alias("total_invoices"), F.count_distinct("customer_id").alias("unique_customers")
+    )
+    joined = top.alias("t").join(counts.alias("l"), same)
+    return joined.select(
+        "t.stock_code", "t.description", "total_revenue", "total_quantity", "total_invoices", "unique_customers", "avg_unit_price"
+    ).orderBy(F.desc("total_revenue"), "stock_code", "description")
 
 
 def order_value_trend(sales: DataFrame) -> DataFrame:
