@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.distributions import chi_square_p_value
 from patronage.functions.fixed_values import WILSON_Z
 from patronage.functions.numeric import pct, round_half_up
 from patronage.functions.rules import first_match
+from patronage.session import pin
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Zero-filled counts (a, b, observed) over the observed values of both columns.
+def cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, observed) of the pairs that occur; rows with a null in either column are left out."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("observed"))
 
-    Rows with a null in either column are left out. The pivot makes one column per value of ``b``
-    (Spark refuses more than spark.sql.pivotMaxValues) and is folded back into rows, so the zero
-    cells need no product of the two value lists.
-    """
-    counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).pivot(b).agg(F.count(F.lit(1)))
-    values = [c for c in counts.columns if c != a]
-    kind = df.schema[b].dataType
-    cells = F.array(
-        *[
-            F.struct(F.lit(v).cast(kind).alias(b), F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias("observed"))
-            for v in values
-        ]
-    )
-    return counts.select(a, F.explode(cells).alias("c")).select(a, f"c.{b}", "c.observed")
 
+def margin(found: DataFrame, side: str, total: str) -> DataFrame:
+    """(side, total) summed over the cells."""
+    return found.groupBy(side).agg(F.sum("observed").alias(total))
 
-def with_expected(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """Margins and expected counts beside each cell. ``cells`` is one row per pair of values."""
-    n = F.sum("observed")
-    margins = cells.withColumns(
-        {
-            "row_total": n.over(Window.partitionBy(a)),
-            "col_total": n.over(Window.partitionBy(b)),
-            "total": n.over(Window.partitionBy()),
-        }
-    )
-    expected = F.col("row_total").cast("double") * F.col("col_total") / F.col("total")
-    return margins.withColumn("expected", expected)
+
+def with_zero_cells(found: DataFrame, a: str, b: str) -> DataFrame:
+    """All pairs of the values of both columns, those that do not occur with 0: a table as long as its result must be."""
+    values = found.select(b).distinct().agg(F.collect_list(b)).scalar()
+    full = found.select(a).distinct().select(a, F.explode(values).alias(b))
+    return full.join(found, [a, b], "left").select(a, b, F.coalesce("observed", F.lit(0)).alias("observed"))
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Zero-filled counts (a, b, observed) over the observed values of both columns."""
+    return with_zero_cells(pin(cells(df, a, b)), a, b)
+
+
+def with_expected(observed: DataFrame, a: str, b: str) -> DataFrame:
+    """Margins and expected counts beside each cell. ``observed`` is one row per pair of values; zero cells may be missing."""
+    whole = observed.agg(F.sum("observed")).scalar()
+    joined = observed.join(margin(observed, a, "row_total"), a).join(margin(observed, b, "col_total"), b).withColumn("total", whole)
+    return joined.withColumn("expected", F.col("row_total").cast("double") * F.col("col_total") / F.col("total"))
 
 
 def _phi_correction(chi2: Column) -> Column:
@@ -51,19 +48,27 @@ def _phi_correction(chi2: Column) -> Column:
 def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     """One row: table size, chi-square, degrees of freedom and Cramer's V.
 
-    The continuity correction applies at one degree of freedom only, and never inside V.
+    Only cells that occur are read: with R and C the margins, chi-square is n (sum of O^2 / (R C) - 1). The continuity
+    correction applies at one degree of freedom only, and never inside V; there all four cells miss their expectation by
+    the same number, which follows from chi-square and the margins.
     """
-    cells = with_expected(crosstab(df, a, b), a, b)
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    corrected = gap - F.least(gap, F.lit(0.5))
-    sums = cells.agg(
-        F.max("total").alias("n"),
-        F.count_distinct(a).alias("n_rows"),
-        F.count_distinct(b).alias("n_cols"),
-        F.sum(gap * gap / F.col("expected")).alias("_plain"),
-        F.sum(corrected * corrected / F.col("expected")).alias("_corrected"),
-    ).withColumn("degrees_of_freedom", (F.col("n_rows") - 1) * (F.col("n_cols") - 1))
-    statistic = F.when((F.col("degrees_of_freedom") == 1) & F.lit(yates), F.col("_corrected")).otherwise(F.col("_plain"))
+    found = pin(cells(df, a, b))
+    sides = [
+        margin(found, side, "t").agg(F.count(F.lit(1)).alias("k"), F.sum(F.lit(1.0) / F.col("t")).alias("inverse")) for side in (a, b)
+    ]
+    share = F.sum(F.col("observed").cast("double") * F.col("observed") / (F.col("row_total").cast("double") * F.col("col_total")))
+    sums = with_expected(found, a, b).agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), share.alias("_share")).withColumns({
+        "n_rows": sides[0].select("k").scalar(), "n_cols": sides[1].select("k").scalar(),
+        "_inverse": sides[0].select("inverse").scalar() * sides[1].select("inverse").scalar(),
+    })
+    sums = sums.withColumns({
+        "_plain": F.greatest(F.col("n") * (F.col("_share") - 1), F.lit(0.0)),
+        "degrees_of_freedom": (F.col("n_rows") - 1) * (F.col("n_cols") - 1),
+    })
+    spread = F.col("n") * F.col("_inverse")  # sum of 1 / expected over all cells
+    gap = F.sqrt(F.col("_plain") / spread)
+    corrected = (gap - F.least(gap, F.lit(0.5))) * (gap - F.least(gap, F.lit(0.5))) * spread
+    statistic = F.when((F.col("degrees_of_freedom") == 1) & F.lit(yates), corrected).otherwise(F.col("_plain"))
     least = F.least(F.col("n_cols") - 1, F.col("n_rows") - 1)
     v = F.when(least == 0, F.lit(0.0)).otherwise(F.sqrt(_phi_correction(F.col("_plain")) / F.nullif(least, F.lit(0))))
     return sums.select(
@@ -80,11 +85,15 @@ def chi_square_test(df: DataFrame, a: str, b: str, name: str, level: float = 0.0
     )
 
 
-def residuals(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson residual per cell with strength and direction; strength is judged on the rounded value."""
-    cells = with_expected(crosstab(df, a, b), a, b)
+def residuals(df: DataFrame, a: str, b: str, zero_cells: bool = True) -> DataFrame:
+    """Pearson residual per cell with strength and direction; strength is judged on the rounded value.
+
+    Without ``zero_cells`` only pairs that occur are listed: enough for points above their expectation.
+    """
+    found = pin(cells(df, a, b))
+    expected = with_expected(with_zero_cells(found, a, b) if zero_cells else found, a, b)
     exact = (F.col("observed") - F.col("expected")) / F.sqrt("expected")
-    rounded = cells.select(
+    rounded = expected.select(
         a, b, "observed",
         round_half_up(F.col("expected"), 2).alias("expected"),
         round_half_up(exact, 4).alias("residual"),

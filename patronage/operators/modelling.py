@@ -15,7 +15,7 @@ from patronage.functions.numeric import ratio, round_half_up
 from patronage.functions.rules import flag
 from patronage.operators.boosting import Boosting, TreeBooster
 from patronage.operators.churn import predictions
-from patronage.operators.ranking import global_position, running_totals
+from patronage.operators.ranking import running_totals, smallest_by_hash
 from patronage.session import pin
 
 LABEL, KEY = "churned", "customer_id"
@@ -35,14 +35,15 @@ def seeded_order(key: str, seed: int) -> Column:
 def stratified_split(df: DataFrame, label: str = LABEL, key: str = KEY, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``is_train``: exactly the same share of every class, drawn by seeded order."""
     ordered = df.withColumn("_order", seeded_order(key, seed))
-    placed = global_position(ordered, ["_order", key], "_pos", [label])
     cut = F.floor(F.col("all_rows") * F.lit(train_share) + F.lit(0.5))
-    return placed.withColumn("is_train", flag(F.col("_pos") <= cut)).drop("_order", "_pos", "all_rows")
+    placed = smallest_by_hash(ordered, ["_order", key], cut, [label], "_chosen")
+    return placed.withColumn("is_train", flag(F.col("_chosen"))).drop("_order", "_chosen")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = KEY, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement, the same ones every time."""
-    return df.orderBy(seeded_order(key, seed), key).limit(n)
+    """Exactly n rows without replacement (all if there are fewer), the same ones every time."""
+    ordered = df.withColumn("_order", seeded_order(key, seed))
+    return smallest_by_hash(ordered, ["_order", key], F.lit(n), out="_chosen").where("_chosen").drop("_order", "_chosen")
 
 
 def most_frequent_value(df: DataFrame, column: str) -> str | None:

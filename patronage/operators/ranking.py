@@ -18,17 +18,22 @@ from patronage.session import pin
 
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
 
+#: Hexadecimal digits of a hash that name a cell: 65,536 cells.
+CELL_DIGITS = 4
+
 # A value held by at least 1/HOT_SHARE of the rows is "hot"; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
 SPREAD = 4096
 
 
 def running_totals(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], measures: Sequence[str], order_cols: Sequence[str]
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], measures: Sequence[str], order_cols: Sequence[str],
+    few_groups: bool = True,
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum within group) and ``all_<m>`` (group total) per measure.
 
-    ``order_cols`` names the columns behind ``order``; rows must be unique on group + order columns.
+    ``order_cols`` names the columns behind ``order``; rows must be unique on group + order columns. With ``few_groups``
+    the groups are a fixed list (columns of a table, labels), so the offsets are broadcast; else Spark joins them by size.
     """
     placed = pin(
         df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
@@ -45,7 +50,9 @@ def running_totals(
     )
     local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.select("*", *[F.sum(m).over(local).alias(f"_local_{m}") for m in measures])
-    joined = summed.join(F.broadcast(offsets), [*group, "_part"])
+    offsets = offsets.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate([*group, "_part"])})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate([*group, "_part"])]  # null is a group, too
+    joined = summed.join(F.broadcast(offsets) if few_groups else offsets, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{m}") + F.col(f"_local_{m}")).alias(f"cum_{m}") for m in measures],
@@ -53,7 +60,9 @@ def running_totals(
     )
 
 
-def global_position(df: DataFrame, order: Sequence[str], out: str = "position", group: Sequence[str] = ()) -> DataFrame:
+def global_position(
+    df: DataFrame, order: Sequence[str], out: str = "position", group: Sequence[str] = (), few_groups: bool = True
+) -> DataFrame:
     """1-based position of each row in the order (within ``group``) plus the row count ``all_rows``.
 
     The order must end in a unique key: it both fixes ties and lets a hot value span partitions.
@@ -62,7 +71,7 @@ def global_position(df: DataFrame, order: Sequence[str], out: str = "position",
     if not group:
         keyed = keyed.withColumn("_all", F.lit(1))
         group = ["_all"]
-    ranked = running_totals(keyed, group, [F.col(c) for c in order], ["_rows"], order)
+    ranked = running_totals(keyed, group, [F.col(c) for c in order], ["_rows"], order, few_groups)
     return ranked.select(*df.columns, F.col("cum__rows").alias(out), F.col("all__rows").alias("all_rows"))
 
 
@@ -121,6 +130,53 @@ def quantiles(hist: Histogram, probs: Sequence[float]) -> DataFrame:
     )
 
 
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], probs: Sequence[float], accuracy: int = 2000) -> DataFrame:
+    """``quantiles`` of continuous columns without sorting them: (metric, n, min, max, q array).
+
+    A mergeable sketch brackets each quantile; one pass counts the values below the bracket and keeps those inside, some
+    4 / ``accuracy`` of the rows, of which the exact value is picked. A bracket that the sketch missed is widened until it
+    holds its quantile. The driver sees brackets and results only, a few numbers for each column and quantile.
+    """
+    if not isinstance(columns, Mapping):
+        columns = {c: F.col(c) for c in columns}
+    names, spark = list(columns), df.sparkSession
+    values = df.select(*[(finite(c) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns.values())])
+    sizes = values.agg(*[x for i in range(len(names)) for x in (F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}"))]).first()
+    n, low, high = ([sizes[3 * i + k] for i in range(len(names))] for k in range(3))
+    places = {(i, j): (n[i] - 1) * p for i in range(len(names)) if n[i] for j, p in enumerate(probs)}
+    found: dict[tuple[int, int], float] = {}
+    width = 2.0 / accuracy
+    while open_ := [k for k in places if k not in found]:
+        shares = {i: sorted({min(max(probs[j] + side * width, 0.0), 1.0) for k, j in open_ if k == i for side in (-1, 1)}) for i in {k for k, _ in open_}}
+        sketch = values.agg(*[F.percentile_approx(f"v{i}", shares[i], accuracy).alias(f"s{i}") for i in shares]).first()
+        brackets = {}
+        for i, j in open_:
+            at = dict(zip(shares[i], sketch[f"s{i}"], strict=True))
+            ends = [min(max(probs[j] + side * width, 0.0), 1.0) for side in (-1, 1)]
+            brackets[i, j] = (low[i] if ends[0] == 0.0 else at[ends[0]], high[i] if ends[1] == 1.0 else at[ends[1]])
+        below = values.agg(*[F.count(F.when(F.col(f"v{i}") < F.lit(brackets[i, j][0]), 1)) for i, j in open_]).first()
+        entries = F.array(*[
+            F.when(F.col(f"v{i}").between(*brackets[i, j]), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("value"))) for i, j in open_
+        ])
+        inside = values.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).groupBy("e.i", "e.j", "e.value").agg(F.count(F.lit(1)).alias("cnt"))
+        upto = F.sum("cnt").over(Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        wanted = spark.createDataFrame(
+            [(i, j, float(places[i, j] // 1) - below[x], float(-(-places[i, j] // 1)) - below[x]) for x, (i, j) in enumerate(open_)], "i int, j int, lo double, hi double"
+        )
+        kept = inside.withColumn("upto", upto).join(F.broadcast(wanted), ["i", "j"])  # one row per column and quantile
+
+        def value_at(place: str) -> Column:
+            return F.max(F.when((F.col("upto") - F.col("cnt") <= F.col(place)) & (F.col(place) < F.col("upto")), F.col("value")))
+
+        for r in kept.groupBy("i", "j").agg(value_at("lo").alias("a"), value_at("hi").alias("b")).collect():
+            if r["a"] is not None and r["b"] is not None:
+                place = places[r["i"], r["j"]]
+                found[r["i"], r["j"]] = r["a"] + (r["b"] - r["a"]) * (place - place // 1)
+        width *= 8
+    rows = [(m, n[i], low[i], high[i], [found[i, j] for j in range(len(probs))]) for i, m in enumerate(names) if n[i]]
+    return spark.createDataFrame(rows, "metric string, n long, min double, max double, q array<double>")
+
+
 def quantile_values(hist: Histogram, probs: Sequence[float]) -> dict[str, dict]:
     """The quantiles as driver values: one small row per metric, whatever the data size."""
     probs = tuple(probs)
@@ -173,15 +229,51 @@ def attach_average_ranks(
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """The first k rows of every group, for any k.
 
-    ``order`` must end in a unique key. Only group and order columns are ranked, by range partitions, so a hot group is
-    spread like any other rows; the other columns (texts) join the at most k keys per group afterwards.
+    ``order`` must end in a unique key. Up to Spark's threshold for it, each task keeps its own first k rows of a group and
+    only those meet; larger k are ranked by range partitions. Either way only group and order columns move, and the other
+    columns (texts) join the at most k keys per group afterwards.
     """
     keys = [*group, *order]
-    placed = global_position(df.select(*keys), order, "_rank", group)
+    few = df.select(*keys)
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        placed = few.withColumn("_rank", rank)
+    else:
+        placed = global_position(few, order, "_rank", group, few_groups=False)
     same = [F.col(f"_all.{c}").eqNullSafe(F.col(f"_few.{c}")) for c in keys]
     return df.alias("_all").join(placed.where(F.col("_rank") <= k).select(*keys).alias("_few"), same, "left_semi")
 
 
+def smallest_by_hash(df: DataFrame, order: Sequence[str], wanted: Column, group: Sequence[str] = (), out: str = "chosen") -> DataFrame:
+    """Add ``out``: whether a row is among the first ``wanted`` of its group in the order, without ordering the rows.
+
+    ``order`` starts with a hash in hexadecimal digits and ends in a unique key; ``wanted`` is an expression of ``all_rows``,
+    the size of the group. Rows are counted by the first digits of the hash; cells before the one that decides are taken
+    whole, and only the rows of that cell are ranked. Rows with a null in a group column are a group like any other.
+    """
+    if not group:
+        return smallest_by_hash(df.withColumn("_all", F.lit(1)), order, wanted, ["_all"], out).drop("_all")
+    named = {c: f"_g{i}" for i, c in enumerate(group)}
+    digits = F.substring(order[0], 1, CELL_DIGITS)
+    counted = df.groupBy(*[F.col(c).alias(g) for c, g in named.items()], digits.alias("_cell")).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*named.values())
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = counted.withColumns({"all_rows": F.sum("_rows").over(whole), "_before": before}).withColumn("_wanted", wanted)
+    deciding = sized.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_rows") > F.col("_wanted")))
+    # of each group the cell in which the last wanted row lies, and the cells before it
+    last = sized.groupBy(*named.values()).agg(F.max(F.when(F.col("_before") + F.col("_rows") <= F.col("_wanted"), F.col("_cell"))).alias("_whole"))
+    part = deciding.select(*[F.col(g).alias(f"_d{g}") for g in named.values()], F.col("_cell").alias("_part"), (F.col("_wanted") - F.col("_before")).alias("_rest"))
+    both = last.join(part, [F.col(g).eqNullSafe(F.col(f"_d{g}")) for g in named.values()], "left")
+    same = [F.col(c).eqNullSafe(F.col(g)) for c, g in named.items()]
+    # one row a group, stored, so that its size decides how it is joined
+    placed = df.join(pin(both.drop(*[f"_d{g}" for g in named.values()])), same).withColumn("_cell", digits)
+    open_cell = F.col("_cell").eqNullSafe(F.col("_part"))
+    settled = placed.where(~open_cell).withColumn(out, F.coalesce(F.col("_cell") <= F.col("_whole"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(*named.values()).orderBy(*order))
+    ranked = placed.where(open_cell).withColumn(out, rank <= F.col("_rest"))
+    return settled.unionByName(ranked).select(*df.columns, out)
+
+
 def equal_width_score(position: Column, n: Column, bins: int = 5, higher_is_better: bool = True) -> Column:
     """Score of a rank percentile cut into equal-width bins over [1/n, 1]."""
     n = n.cast("double")

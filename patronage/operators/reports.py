@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patronage.functions.fixed_values import HEALTH_ORDER, PRIORITY_ORDER, RISK_ORDER, VALUE_ORDER
 from patronage.functions.numeric import exact_avg, money_sum, money_total, pct, ratio, round_half_up
 from patronage.functions.rules import order_of
-from patronage.operators.ranking import histogram, quantiles
+from patronage.operators.ranking import exact_quantiles
 
 PCT = "decimal(12,4)"
 
@@ -87,7 +87,7 @@ def value_tier_summary(c360: DataFrame) -> DataFrame:
 
 
 def executive_kpis(c360: DataFrame) -> DataFrame:
-    """Fifteen headline figures in one row; the median comes from the distributed histogram."""
+    """Fifteen headline figures in one row; the median is exact."""
     good = F.col("health_tier").isin("Excellent", "Healthy")
     risky = F.col("churn_risk_tier").isin("Critical Risk", "High Risk")
 
@@ -97,7 +97,7 @@ def executive_kpis(c360: DataFrame) -> DataFrame:
     def revenue_if(condition: Column) -> Column:
         return F.coalesce(money_sum(F.when(condition, F.col("total_revenue"))), F.lit(0.0))
 
-    median = quantiles(histogram(c360, ["total_revenue"]), [0.5]).select(F.col("q")[0]).scalar()
+    median = exact_quantiles(c360, ["total_revenue"], [0.5]).select(F.col("q")[0]).scalar()
     return c360.agg(
         F.count(F.lit(1)).alias("total_customers"),
         round_half_up(money_sum("total_revenue"), 2).alias("total_revenue"),

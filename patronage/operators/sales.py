@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.functions.numeric import MONEY, exact_avg, money_sum, non_blank, pct, ratio, round_half_up
-from patronage.operators.ranking import histogram, quantiles
+from patronage.functions.numeric import MONEY, exact_avg, finite, money_sum, non_blank, pct, ratio, round_half_up
+from patronage.operators.ranking import exact_quantiles
 from patronage.session import pin
 
 
@@ -42,18 +42,18 @@ def dataset_overview(sales: DataFrame) -> DataFrame:
 
 
 def distribution_summary(df: DataFrame, *columns: str) -> DataFrame:
-    """n, min, max, exact median and mean per measure, all from one stored histogram."""
-    hist = histogram(df, columns)
-    total = F.sum(F.col("value").cast("decimal(24,4)") * F.col("cnt"))
-    means = hist.rows.groupBy("metric").agg(ratio(total, F.sum("cnt")).alias("mean"))
-    medians = quantiles(hist, [0.5])
+    """n, min, max, exact median and mean per measure."""
+    entries = F.array(*[F.struct(F.lit(c).alias("metric"), finite(c).alias("value")) for c in columns])
+    long = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
+    means = long.groupBy("metric").agg(ratio(F.sum(F.col("value").cast("decimal(24,4)")), F.count("value")).alias("mean"))
+    medians = exact_quantiles(df, columns, [0.5])
     return medians.join(means, "metric").select("metric", "n", "min", "max", F.col("q")[0].alias("median"), "mean")
 
 
 def revenue_metrics(sales: DataFrame) -> DataFrame:
     """Totals, mean and median over the invoices; the lines are read once, to roll them up."""
     invoices = pin(sales.groupBy("invoice_id").agg(F.sum(F.col("revenue").cast(MONEY)).alias("_revenue"), F.sum("quantity").alias("_quantity")))
-    orders = quantiles(histogram(invoices, {"order_value": F.col("_revenue").cast("double")}), [0.5])
+    orders = exact_quantiles(invoices, {"order_value": F.col("_revenue").cast("double")}, [0.5])
     totals = invoices.agg(F.sum("_revenue").cast("double").alias("total_revenue"), F.sum("_quantity").alias("total_quantity"))
     return (
         totals.withColumn("total_invoices", orders.select("n").scalar())

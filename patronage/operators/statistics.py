@@ -16,7 +16,7 @@ from patronage.functions.fixed_values import (
 from patronage.functions.numeric import finite
 from patronage.functions.rules import under
 from patronage.operators.moments import least_squares, logistic, rank_correlations
-from patronage.operators.ranking import attach_average_ranks, histogram, quantiles, value_counts
+from patronage.operators.ranking import attach_average_ranks, exact_quantiles, histogram, value_counts
 from patronage.session import pin
 
 #: Distinct values of all ranked columns that are sent to the tasks (16 bytes each).
@@ -38,7 +38,7 @@ def describe_metrics(df: DataFrame, metrics: Sequence[str] = DESCRIBED_METRICS)
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
     present = [m for m in metrics if m in df.columns]
-    medians = quantiles(histogram(df, present), [0.5]).select("metric", F.col("q")[0].alias("median"))
+    medians = exact_quantiles(df, present, [0.5]).select("metric", F.col("q")[0].alias("median"))
     return moments.join(medians, "metric").where(F.col("n") >= 2)
 
 
