@@ -1024,15 +1024,14 @@ def model_risk_explanations(spark, folder):
 def concept_vectors(spark, folder):
     found = tables.table(spark, folder, "embeddings")
     centroids = vectors.group_centroids(found, "label", "embedding")
-    near = vectors.nearest(found, "vec_id", "embedding", centroids, 15, "concept", False)
+    near = vectors.nearest(found, "vec_id", "embedding", centroids.withColumnRenamed("label", "concept"), 15, "concept", False)
     return rounded(near, 6, "similarity")
 
 
 @query()
 def similar_vectors(spark, folder):
     found = tables.table(spark, folder, "embeddings")
-    targets = found.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"), F.min("vec_id").alias("i")).collect()
-    queries = {r["i"]: r["v"] for r in targets}  # one target per label
+    queries = found.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query"), F.min("vec_id").alias("target")).drop("label")
     near = vectors.nearest(found, "vec_id", "embedding", queries, 10, "target", True)
     return rounded(near, 6, "similarity")
 
@@ -1093,18 +1092,23 @@ def nmf_dominant_topic(spark, folder):
     return topics.assign_topics(complaint_text.build_redacted(spark, folder).select("complaint_id"), "complaint_id", weighed)
 
 
-def lexicon_predictor(batch: list[str]) -> list[tuple[str, float]]:
+def load_lexicon():
     """A stand-in for a pre-trained classifier: the larger lexicon count decides."""
-    out = []
-    for t in batch:
-        found = t.lower().split()
-        p, n = sum(w in POSITIVE for w in found), sum(w in NEGATIVE for w in found)
-        out.append(("POSITIVE" if p > n else "NEGATIVE", max(p, n) / (p + n) if p + n else 0.5))
-    return out
+    positive, negative = frozenset(POSITIVE), frozenset(NEGATIVE)
+
+    def predict(batch: list[str]) -> list[tuple[str, float]]:
+        out = []
+        for t in batch:
+            found = t.lower().split()
+            p, n = sum(w in positive for w in found), sum(w in negative for w in found)
+            out.append(("POSITIVE" if p > n else "NEGATIVE", max(p, n) / (p + n) if p + n else 0.5))
+        return out
+
+    return predict
 
 
 def classified(spark, folder):
-    return cx.classify_texts(tables.complaints(spark, folder, False), lexicon_predictor, ["complaint_id", "product", "issue"])
+    return cx.classify_texts(tables.complaints(spark, folder, False), cx.Predictor("lexicon", load_lexicon), ["complaint_id", "product", "issue"])
 
 
 @query()

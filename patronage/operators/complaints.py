@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.fixed_values import (
@@ -199,35 +201,57 @@ def topic_distribution(df: DataFrame, topic: str = "dominant_topic") -> DataFram
     return counts.withColumn("percentage", pct(F.col("complaints"), total)).orderBy("topic_id")
 
 
+Predict = Callable[[list[str]], list[tuple[str, float]]]
+
+
+@dataclass(frozen=True)
+class Predictor:
+    """A classifier that tasks load themselves: ``load`` returns the function from texts to (label, confidence).
+
+    A Python worker loads it once and keeps it under ``name``, whatever the number of its tasks and batches. The model
+    itself is not part of a task: ``load`` should read it from where all executors can.
+    """
+
+    name: str
+    load: Callable[[], Predict]
+
+
+_loaded: dict[str, Predict] = {}
+
+
+def loaded(predictor: Predictor) -> Predict:
+    """The predictor of this Python worker."""
+    if predictor.name not in _loaded:
+        _loaded[predictor.name] = predictor.load()
+    return _loaded[predictor.name]
+
+
 def classify_texts(
-    complaints: DataFrame, predict, keep: Sequence[str], batch_size: int = 8, limit: int | None = None,
+    complaints: DataFrame, predictor: Predictor, keep: Sequence[str], batch_size: int = 8, limit: int | None = None,
     order: Sequence[str] = (), max_chars: int | None = None,
 ) -> DataFrame:
-    """Run ``predict(list of texts) -> list of (label, confidence)`` over batches of non-blank texts.
+    """Label and confidence of every non-blank text, ``batch_size`` texts to a call of the predictor.
 
-    The predictor is handed in by the caller and runs inside the tasks, on Arrow batches. By default
-    every row and the whole text are classified; ``limit`` and ``max_chars`` are there for slow models.
+    By default every row and the whole text are classified; ``limit`` and ``max_chars`` are there for slow models.
     """
-    import pandas as pd
-
     rows = complaints.where(non_blank(TEXT))
     if limit is not None:
         rows = rows.orderBy(*order).limit(limit)
     text = F.trim(TEXT) if max_chars is None else F.substring(F.trim(TEXT), 1, max_chars)
     rows = keep_available(rows.withColumn("_text", text), [*keep, "_text"])
-    kept = [f for f in rows.schema.fields if f.name != "_text"]
-
-    def run(batches):
-        for pdf in batches:
-            texts = pdf["_text"].tolist()
-            found = [p for i in range(0, len(texts), batch_size) for p in predict(texts[i : i + batch_size])]
-            out = pdf.drop(columns="_text")
-            out["predicted_label"] = pd.Series([label for label, _ in found], index=out.index, dtype="object")
-            out["confidence"] = pd.Series([float(score) for _, score in found], index=out.index, dtype="float64")
-            yield out
-
-    schema = rows.select(*[f.name for f in kept]).schema.add("predicted_label", "string").add("confidence", "double")
-    labelled = rows.mapInPandas(run, schema)
+    kept = [f.name for f in rows.schema.fields if f.name != "_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = loaded(predictor)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("_text"))
+            found = [p for i in range(0, len(texts), batch_size) for p in predict(texts[i : i + batch_size].to_pylist())]
+            labels = [pa.array([p[0] for p in found], pa.string()), pa.array([float(p[1]) for p in found], pa.float64())]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *labels], [*kept, "predicted_label", "confidence"])
+
+    schema = rows.select(*kept).schema.add("predicted_label", "string").add("confidence", "double")
+    labelled = rows.mapInArrow(run, schema)
     names = {"POSITIVE": "Positive", "NEGATIVE": "Negative"}
     return labelled.withColumn("sentiment", label_map("predicted_label", names, "Neutral"))
 

@@ -213,6 +213,27 @@ def test_nearest_against_numpy(spark):
     assert vectors.similar_words(df, ["none"]).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(16_384, 4096, 1024), (7, 3, 2)])
+def test_nearest_in_blocks(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK_ROWS", "BLOCK_QUERIES", "SLICE"), sizes, strict=True):
+        monkeypatch.setattr(vectors, name, size)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(50, 6))
+    m[10:25] = m[9]  # a hot vector: ties in key order
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(50, [0.0] * 6), (51, None)]
+    df = spark.createDataFrame(data, "id long, v array<double>").repartition(4)
+    queries = spark.createDataFrame([data[i] for i in (3, 9, 12, 30, 50, 51)], "q long, query array<double>")
+    found = vectors.nearest(df, "id", "v", queries, 5, "q", True).collect()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in (3, 9, 12, 30):
+        order = [i for i in sorted(range(50), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i)) if i != q][:5]
+        mine = sorted((r["rank"], r["id"], r["similarity"]) for r in found if r["q"] == q)
+        assert [i for _, i, _ in mine] == order and np.allclose([s for *_, s in mine], [unit[i] @ unit[q] for i in order])
+    assert all(r["similarity"] is None for r in found if r["q"] in (50, 51)) and len(found) == 30
+    everything = vectors.nearest(df, "id", "v", queries.where("q = 3"), 100, "q", False)
+    assert everything.count() == 52 and everything.where("similarity IS NULL").count() == 2
+
+
 def test_word_vectors_train_and_persist(spark, tmp_path):
     docs = spark.createDataFrame(
         [(i, "loan rate bank loan rate bank" if i % 2 else "card fee limit card fee limit") for i in range(60)], "id long, t string"

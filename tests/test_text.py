@@ -139,14 +139,50 @@ def test_channel_sample_is_exact_per_channel(spark, rows):
 def test_classifier_runs_on_whole_texts_and_keeps_every_row(spark, rows):
     seen_sizes = spark.sparkContext.accumulator(0)
 
-    def predict(batch):
-        assert len(batch) <= 3
-        seen_sizes.add(len(batch))
-        return [("POSITIVE" if "good" in t else "NEGATIVE" if "bad" in t else "MIXED", 0.5 + len(t) / 10_000) for t in batch]
+    def load():
+        def predict(batch):
+            assert len(batch) <= 3
+            seen_sizes.add(len(batch))
+            return [("POSITIVE" if "good" in t else "NEGATIVE" if "bad" in t else "MIXED", 0.5 + len(t) / 10_000) for t in batch]
+
+        return predict
 
     df = complaints(spark, "x" * 2000 + " good", "bad", "so so", "  ")
-    got = rows(cx.classify_texts(df, predict, ["complaint_id", "product", "absent"], batch_size=3), "complaint_id")
+    found = cx.classify_texts(df, cx.Predictor("words 1", load), ["complaint_id", "product", "absent"], batch_size=3)
+    got = rows(found, "complaint_id")
     assert [(r["sentiment"], r["predicted_label"]) for r in got] == [("Positive", "POSITIVE"), ("Negative", "NEGATIVE"), ("Neutral", "MIXED")]
     assert seen_sizes.value == 3
-    limited = cx.classify_texts(df, predict, ["complaint_id"], 3, limit=2, order=["complaint_id"], max_chars=800)
+    limited = cx.classify_texts(df, cx.Predictor("words 2", load), ["complaint_id"], 3, limit=2, order=["complaint_id"], max_chars=800)
     assert sorted(r["sentiment"] for r in limited.collect()) == ["Negative", "Neutral"]
+    assert cx.classify_texts(df.limit(0), cx.Predictor("words 1", load), ["complaint_id"]).count() == 0
+
+
+def test_classifier_is_loaded_once_for_each_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    from pyspark import cloudpickle
+
+    weights = tmp_path / "weights.bin"
+    weights.write_bytes(os.urandom(5_000_000))
+    loads, uses, model = str(tmp_path / "loads"), str(tmp_path / "uses"), str(weights)
+    for folder in (loads, uses):
+        os.mkdir(folder)
+
+    def load():
+        content = open(model, "rb").read()
+        open(f"{loads}/{uuid.uuid4().hex}-{os.getpid()}", "w").close()
+
+        def predict(batch):
+            open(f"{uses}/{os.getpid()}", "w").close()
+            return [("POSITIVE", content[0] / 255.0)] * len(batch)
+
+        return predict
+
+    predictor = cx.Predictor("weights", load)
+    assert len(cloudpickle.dumps(predictor)) < 5_000  # the model stays out of the tasks
+    df = spark.range(400).selectExpr("id AS complaint_id", "'some text' AS complaint_what_happened").repartition(40)
+    for _ in range(2):
+        assert cx.classify_texts(df, predictor, ["complaint_id"]).where("sentiment = 'Positive'").count() == 400
+    loaded = [f.split("-")[1] for f in os.listdir(loads)]
+    assert len(loaded) == len(set(loaded)) and set(loaded) == set(os.listdir(uses)) and len(loaded) <= 8
