@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, in_bitmap, share, text_key
+from patronage.llm.linking import bitmap, free_names, in_bitmap, share, text_key
 from patronage.llm.textops import PUNCTUATION, as_long, shingles, small_batches, words
 from patronage.session import pin
 
@@ -135,5 +135,6 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, rule: Containment = C
 
 def without_items(docs: DataFrame, benchmark: DataFrame, rule: Containment = Containment()) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with all their columns."""
-    leaks = pin(contained_items(docs, benchmark, rule).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    ident, key = free_names(docs, "_id", "_key")
+    leaks = pin(contained_items(docs, benchmark, rule).select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct())
+    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (text_key() == F.col(key)), "left_anti")

@@ -36,6 +36,7 @@ INLINE = frozenset(
     " canvas object math annotation mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 MAIN = frozenset(("article", "main"))
+HEADLINE = frozenset(("header",))
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)),
@@ -58,7 +59,8 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII
 class Node:
     """An open element: its path, whether it or an enclosing one is clutter, whether it is a link.
 
-    ``named`` elements are clutter by a word only, unless they hold most of the page's text; ``text`` and ``main`` count
+    ``named`` elements are clutter by a word only, unless they hold most of the page's text; ``inside`` ones are below an
+    article or main element, where a header is the article's own headline; ``text`` and ``main`` count
     the characters below an element, and those also below an article or main element.
     """
 
@@ -68,6 +70,7 @@ class Node:
     link: bool
     above: Node | None = None
     named: bool = False
+    inside: bool = False
     text: int = 0
     main: int = 0
 
@@ -85,10 +88,12 @@ class Page:
 BREAK = "\x00"
 
 
-def _named_clutter(attributes: str) -> tuple[str, bool]:
-    found = {m[0].lower(): next(g for g in m[1:] if g or g == m[-1]).lower() for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+def _named_clutter(attributes: str, inside: bool) -> tuple[str, bool]:
+    # a value stands in double quotes, single quotes or none
+    found = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     label = " ".join(found.get(k, "") for k in ("class", "id")).strip()
-    return label, not CLUTTER_NAME.isdisjoint(label.split()) or found.get("role", "") in CLUTTER_ROLE or "hidden" in attributes.split() or found.get("aria-hidden") == "true"
+    words = set(label.split()) - (HEADLINE if inside else set())
+    return label, not CLUTTER_NAME.isdisjoint(words) or found.get("role", "") in CLUTTER_ROLE or "hidden" in attributes.split() or found.get("aria-hidden") == "true"
 
 
 def read_page(source: str) -> Page:
@@ -120,10 +125,12 @@ def read_page(source: str) -> Page:
                 break
             if stack[depth].name not in INLINE:
                 break
-        label, odd = _named_clutter(match[3])
         above = stack[-1]
+        inside = above.inside or above.name in MAIN
+        label, odd = _named_clutter(match[3], inside)
         path = f"{above.path}>{name}" + (f".{label}" if label else "")
-        node = Node(name, path, above.clutter or name in CLUTTER, above.link or name == "a", above, odd and name not in ("html", "body"))
+        clutter = name in CLUTTER and not (inside and name in HEADLINE)
+        node = Node(name, path, above.clutter or clutter, above.link or name == "a", above, odd and name not in ("html", "body"), inside)
         nodes.append(node)
         page.counts[path] = page.counts.get(path, 0) + 1
         if name in RAW:

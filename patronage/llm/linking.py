@@ -254,6 +254,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until the table has no such column (in upper or lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(column: str = "text") -> Column:
     """A hash that, with the id, names a row where ids repeat or are null."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

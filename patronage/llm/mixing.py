@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patronage.llm.linking import text_key
+from patronage.llm.linking import free_names, text_key
+from patronage.operators.ranking import global_position, running_totals
 from patronage.session import pin
 
 
@@ -23,8 +24,8 @@ from patronage.session import pin
 class Mix:
     """Weights in the order of the sources, repeating; the most often a source may be taken; the seed of the choice.
 
-    ``max_sources`` bounds the table of sources that the driver weighs; more raise an error. ``slots`` bounds the
-    remainder that the knapsack fills, in words.
+    The driver weighs up to ``max_sources`` sources; more are weighed by Spark. ``slots`` bounds the remainder that the
+    knapsack solves exactly, in words: more than that is first filled with whole documents, from the largest size down.
     """
 
     weights: Sequence[int] = (5, 2, 1)
@@ -52,12 +53,13 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: int) -> list[f
         for i in full:
             out[i] = float(most * sizes[i])
             rest -= out[i]
-        free = [i for i in free if i not in set(full)]
+        gone = set(full)
+        free = [i for i in free if i not in gone]
     return out
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, slots: int) -> np.ndarray:
-    """How many documents of each distinct size to take so that their words come as near to ``budget`` as they can.
+    """How many documents of each distinct size to take so that their words come near to ``budget``; exact for the last ``slots`` words.
 
     Takes the same share of each size and fills the rest. If that misses the budget, half that share and none are tried too.
     """
@@ -109,6 +111,41 @@ def _fill(sizes: np.ndarray, counts: np.ndarray, budget: int, slots: int, share:
     return taken
 
 
+def _weighed(sources: DataFrame, mix: Mix) -> DataFrame:
+    """(source, source_size, target) of the few sources, weighed by the driver."""
+    rows = sorted(sources.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    weights = [mix.weights[i % len(mix.weights)] for i in range(len(rows))]
+    goal = targets([r["source_size"] for r in rows], weights, mix.most)
+    return sources.sparkSession.createDataFrame(
+        [(r["source"], r["source_size"], t) for r, t in zip(rows, goal, strict=True)], "source string, source_size long, target double"
+    )
+
+
+def _weighed_by_spark(sources: DataFrame, mix: Mix) -> DataFrame:
+    """The same for any number of sources.
+
+    A source is full if the words per weight, shared among those not full, exceed its own bound per weight. In the order of
+    these bounds the full ones come first, so running sums of bounds and weights tell each source by itself.
+    """
+    # null last: no string comes before an empty one
+    named = sources.select(
+        "source", "source_size", F.col("source").isNull().cast("int").alias("null_last"), F.coalesce("source", F.lit("")).alias("name"),
+    )
+    placed = global_position(named, ["null_last", "name"], "place")
+    at = F.pmod(F.col("place") - 1, F.lit(len(mix.weights))).cast("int")
+    weighed = placed.withColumn("weight", F.element_at(F.lit([float(w) for w in mix.weights]), at + 1)).withColumn("most", (F.col("source_size") * mix.most).cast("double"))
+    live = weighed.where("source_size > 0").withColumn("bound", F.col("most") / F.col("weight")).withColumn("all", F.lit(0))
+    summed = running_totals(live, ["all"], [F.col("bound"), F.col("place")], ["source_size", "most", "weight"], ["bound", "place"])
+    unit = (F.col("all_source_size") - (F.col("cum_most") - F.col("most"))) / (F.col("all_weight") - (F.col("cum_weight") - F.col("weight")))
+    judged = pin(summed.withColumn("full", unit > F.col("bound")))
+    rest = judged.where(~F.col("full")).agg(F.sum("weight")).scalar()
+    left = judged.agg(F.max("all_source_size") - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0.0))).scalar()
+    goal = F.when(F.col("full"), F.col("most")).otherwise(left / rest * F.col("weight"))
+    return judged.select("source", "source_size", goal.alias("target")).unionByName(
+        weighed.where("source_size = 0").select("source", "source_size", F.lit(0.0).alias("target"))
+    )
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, taken) for every row of (doc_id, text, source, ...).
 
@@ -123,15 +160,8 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         word_count(F.col("text")).alias("size"),
     ))
     by_size = pin(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    sources = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(mix.max_sources + 1).collect()
-    if len(sources) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    weights = [mix.weights[i % len(mix.weights)] for i in range(len(sources))]
-    goal = targets([r["source_size"] for r in sources], weights, mix.most)
-    plan = spark.createDataFrame(
-        [(r["source"], r["source_size"], t) for r, t in zip(sources, goal, strict=True)], "source string, source_size long, target double"
-    )
+    sources = pin(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    plan = _weighed(sources, mix) if sources.limit(mix.max_sources + 1).count() <= mix.max_sources else _weighed_by_spark(sources, mix)
 
     def choose(group: pa.Table) -> pa.Table:
         sizes, counts = group.column("size").to_numpy(), group.column("n").to_numpy()
@@ -184,20 +214,21 @@ def repeat_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows equal in id, text and source are one document, whose repeats are added.
     """
-    key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source")]
-    taken = mix_documents(docs, mix).where("taken > 0").select(*key, F.expr("taken DIV size").alias("_times"))
-    times = pin(taken.groupBy("_id", "_key", "_source").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_copies")))
+    ident, key, source, times, copies, number = free_names(docs, "_id", "_key", "_source", "_times", "_copies", "_n")
+    names = [F.col("doc_id").alias(ident), F.col("text_key").alias(key), F.col("source").alias(source)]
+    taken = mix_documents(docs, mix).where("taken > 0").select(*names, F.expr("taken DIV size").alias(times))
+    counted = pin(taken.groupBy(ident, key, source).agg(F.sum(times).alias(times), F.count(F.lit(1)).alias(copies)))
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & (text_key() == F.col("_key"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+        F.col("doc_id").cast("long").eqNullSafe(F.col(ident))
+        & (text_key() == F.col(key))
+        & F.col("source").cast("string").eqNullSafe(F.col(source))
     )
 
     def spread(rows: DataFrame) -> DataFrame:
-        return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_n")).drop("_n")
+        return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(number)).drop(number)
 
-    once = spread(docs.join(times.where("_copies = 1"), same))
-    repeated = times.where("_copies > 1")
+    once = spread(docs.join(counted.where(F.col(copies) == 1), same))
+    repeated = counted.where(F.col(copies) > 1)
     if repeated.isEmpty():
         return once
-    return once.unionByName(spread(docs.join(repeated, same).dropDuplicates(["_id", "_key", "_source"])))
+    return once.unionByName(spread(docs.join(repeated, same).dropDuplicates([ident, key, source])))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import Fronts, bitmap, front_components, free_shuffles, in_bitmap, parity_marks, share, text_key
+from patronage.llm.linking import Fronts, bitmap, free_names, free_shuffles, front_components, in_bitmap, parity_marks, share, text_key
 from patronage.llm.textops import U, as_long, mix, mix_one, per_text, shingles, small_batches, words
 from patronage.session import pin
 
@@ -212,15 +212,16 @@ def keep_one_per_component(docs: DataFrame, similarity: Similarity = Similarity(
     found = pin(_components(docs, similarity).where("root IS NOT NULL"))
     rank = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_key")
     first = found.groupBy("root").agg(F.min(rank).alias("first"))
-    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("_copies"))
+    ident, key, copies, lost = free_names(docs, "_id", "_key", "_copies", "_lost")
+    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias(copies))
     decided = pin(
         rows.join(first, "root")
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copies", (rank != F.col("first")).alias("_lost"))
-        .where("_lost OR _copies > 1")
+        .select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), copies, (rank != F.col("first")).alias(lost))
+        .where(F.col(lost) | (F.col(copies) > 1))
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (text_key() == F.col(key))
     kept = docs.join(decided, same, "left_anti")
-    repeated = decided.where("NOT _lost")
+    repeated = decided.where(~F.col(lost))
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, same).dropDuplicates(["_id", "_key"]).select(kept.columns))
+    return kept.unionByName(docs.join(repeated, same).dropDuplicates([ident, key]).select([f"`{c}`" for c in kept.columns]))

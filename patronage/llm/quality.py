@@ -6,14 +6,14 @@ document on a line, ordered thresholds cut the line into grades, and P(grade >=
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, in_bitmap, share
+from patronage.llm.linking import bitmap, free_names, in_bitmap, share, text_key
 from patronage.llm.textops import BLANK, PUNCTUATION, U, folded_bytes, mix, mix_one, small_batches, words
 from patronage.session import pin
 
@@ -130,16 +130,18 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     order = F.xxhash64(F.lit(training.seed), "doc_id")
     sample = pin(grades(labels).orderBy(order, "doc_id").limit(training.sample))
     slots = share(docs.sparkSession, bitmap(sample.select(F.xxhash64("doc_id"))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("slot"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("slot"), text_key().alias("text_key"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(iter([batch.filter(pa.array(in_bitmap(slots.value, batch.column("slot").to_numpy())))])):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(features(part.column("text"), training.bits), pa.list_(pa.int32()))], ["doc_id", "features"]
+                    [part.column("doc_id"), part.column("text_key"), pa.array(features(part.column("text"), training.bits), pa.list_(pa.int32()))],
+                    ["doc_id", "text_key", "features"],
                 )
 
-    described = rows.mapInArrow(describe, "doc_id long, features array<int>").dropDuplicates(["doc_id"])
+    # of several texts with one id the one with the smallest key is learnt
+    described = rows.mapInArrow(describe, "doc_id long, text_key long, features array<int>").groupBy("doc_id").agg(F.min_by("features", "text_key").alias("features"))
 
     def learn(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
@@ -150,30 +152,34 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
     return (np.array(fitted[0]["weights"], dtype=np.float32), np.array(fitted[0]["cuts"])) if fitted else None
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, training: Training = Training(), least: float = 0.4) -> DataFrame:
+def grade_documents(
+    docs: DataFrame, labels: DataFrame, training: Training = Training(), least: float = 0.4,
+    names: Sequence[str] = ("expected_grade", "tail", "selected"),
+) -> DataFrame:
     """All columns of ``docs`` with expected_grade, tail (probability of the highest grade) and selected (tail >= ``least``).
 
-    A null text is graded as an empty one. Without labels nothing is known: grade and tail are null, all are selected.
-    Columns of the same names are replaced.
+    A null text is graded as an empty one, a very long one as a whole. Rows may repeat: each is graded, and of several texts
+    with one id one is learnt, the one with the smallest hash. Equal grades are not ranked. An empty table gives an empty
+    result. Without labels nothing is known: grade and tail are null, all are selected.
+    ``names`` are the added columns; columns of the same names are replaced.
     """
-    added = ("expected_grade", "tail", "selected")
-    docs = docs.drop(*added)
+    docs = docs.drop(*names)
     model = train(docs, labels, training)
     if model is None:
-        return docs.select("*", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail"), F.lit(True).alias("selected"))
+        return docs.select("*", F.lit(None).cast("double").alias(names[0]), F.lit(None).cast("double").alias(names[1]), F.lit(True).alias(names[2]))
     shared = share(docs.sparkSession, model)  # 2 ** bits weights
 
-    @F.pandas_udf("expected_grade double, tail double")
-    def grade(texts):
-        import pandas as pd
-
+    @F.arrow_udf("expected_grade double, tail double")
+    def grade(texts: pa.Array) -> pa.Array:
         weights, cuts = shared.value
-        batches = [pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])]
+        batches = [pa.RecordBatch.from_arrays([texts], ["text"])]
         scores = [weights[f].sum(dtype=np.float64) for b in small_batches(iter(batches)) for f in features(b.column("text"), training.bits)]
         tails = _sigmoid(np.array(scores).reshape(-1, 1) - cuts)
-        return pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail": tails[:, -1]})
+        return pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["expected_grade", "tail"])
 
-    graded = docs.withColumn("_grade", grade("text"))
+    (found,) = free_names(docs, "_grade")
+    graded = docs.withColumn(found, grade("text"))
     return graded.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_grade.expected_grade", "_grade.tail", (F.col("_grade.tail") >= least).alias("selected")
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(f"{found}.expected_grade").alias(names[0]), F.col(f"{found}.tail").alias(names[1]),
+        (F.col(f"{found}.tail") >= least).alias(names[2]),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from patronage.llm.linking import text_key
@@ -91,9 +91,9 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     ranked, before, n = parts(rows)
     feistel = Feistel(max(n, 1), seed)
 
-    @F.pandas_udf("long")
-    def place(part: pd.Series, rank: pd.Series) -> pd.Series:
-        return pd.Series(feistel.place(before[part.to_numpy()] + rank.to_numpy()))
+    @F.arrow_udf("long")
+    def place(part: pa.Array, rank: pa.Array) -> pa.Array:
+        return pa.array(feistel.place(before[part.to_numpy()] + rank.to_numpy()))
 
     placed = ranked.withColumn("_place", place("part", "rank"))
     return placed.select(

@@ -92,10 +92,11 @@ class Side:
 
 def _spelled(encoder: Encoder, words: Words, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Of each distinct word, whether the bytes of its tokens are its own."""
-    entries, at = encoder.entries, bounds.tolist()
+    entries, at, listed = encoder.entries, bounds.tolist(), ids.tolist()
     sizes = np.diff(np.concatenate(([0], np.cumsum(encoder.lengths[ids])))[bounds])
     right = sizes == np.array([len(w) for w in words.distinct], dtype=np.int64)
-    listed = ids.tolist()
+    if right.all() and b"".join([entries[t] for t in listed]) == b"".join(words.distinct):
+        return right
     for i in np.flatnonzero(right).tolist():
         right[i] = b"".join([entries[t] for t in listed[at[i]:at[i + 1]]]) == words.distinct[i]
     return right

@@ -266,15 +266,106 @@ def test_page_text_without_article_element():
     assert blocks(page, own_slot(page)) == "Head & line\nFirst para graph bold\nSecond\nthird <x>"
 
 
+@pytest.mark.parametrize("quote", ["'", '"', ""])
 @pytest.mark.parametrize("opening", ["<body class='no-sidebar'>", "<body class='sidebar comments'>", "<body><div class='layout has-sidebar'>", "<body><div class='widget'>"])
-def test_words_on_enclosing_elements_drop_no_article(opening):
+def test_words_on_enclosing_elements_drop_no_article(opening, quote):
     text = "\u0130" * 12 + " text of the article that goes on for a while"
     source = f"""{opening}<div class="sidebar">Side</div><div><h2 class='section-header'>Heading</h2><p>{text}<script>if (a > b) c</SCRIPT >
 <p>Sum <math><mi>x</mi></math> and <object>fallback</object> and <canvas>drawn</canvas></div>"""
-    page = read_page(source)
+    if not quote:  # a bare value has no blanks
+        source = source.replace("sidebar comments", "sidebar").replace("layout has-sidebar", "has-sidebar")
+    page = read_page(re.sub("['\"]", quote, source))
     assert blocks(page, "") == f"Heading\n{text}\nSum x and fallback and drawn"
 
 
+@pytest.mark.parametrize("attribute", ["class='notice'", 'class="notice"', "class=notice", "id='sidebar'", "class='big menu'", "role='dialog'", "aria-hidden='true'", "class = 'ads'"])
+def test_words_drop_clutter_in_any_quotes(attribute):
+    page = read_page(f"<body><div><p>The article has some words to keep.</p></div><div {attribute}><p>Not this</p></div>")
+    assert blocks(page, "") == "The article has some words to keep."
+
+
+@pytest.mark.parametrize("head", ["<header><h1>Title</h1></header>", "<div class='header'><h1>Title</h1></div>", '<div class="header top"><h1>Title</h1></div>'])
+def test_headline_of_an_article_stays(head):
+    page = read_page(f"<body><header>Site</header><div class='header'>Site</div><article>{head}<p>Text of the article.</p><footer>End</footer></article>")
+    assert blocks(page, own_slot(page)) == "Title\nText of the article."
+
+
+CLASHING = ["_id", "_key", "_source", "_times", "_copies", "_lost", "_n", "_grade", "selected", "tail", "expected_grade", "size", "taken", "part", "root", "text_key", "item_id"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with nulls, repeats and columns that have the operators' own names, each with a text of its own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    return spark.createDataFrame([(*r[:5], *[f"{c} of {r[0]}" for c in CLASHING]) for r in corpus()], schema).repartition(3)
+
+
+def kept_as_they_were(found, docs, times=False):
+    """Every row found is a row of the table, column by column, and as often at most."""
+    assert found.columns == docs.columns
+    have, got = (collections.Counter(tuple(r) for r in x.collect()) for x in (docs, found))
+    assert got and got.keys() <= have.keys() and (times or all(n <= have[r] for r, n in got.items()))
+    return got
+
+
+def test_clashing_columns(spark, clashing):
+    items = spark.createDataFrame([(1, corpus()[0][1])], "item_id long, text string")
+    kept_as_they_were(without_items(clashing, items), clashing)
+    kept_as_they_were(keep_one_per_component(clashing, Similarity(size=5, num=80, den=100)), clashing)
+    kept_as_they_were(repeat_documents(clashing), clashing, times=True)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    graded = grade_documents(clashing, labels)
+    assert set(graded.columns) == set(clashing.columns) and dict(graded.dtypes)["selected"] == "boolean" and dict(graded.dtypes)["_grade"] == "string"
+
+
+def test_repeated_ids_are_graded_alike_each_time(spark):
+    rows = [(i % 30, f"text {i} " + "word " * (i % 7), None, None, None) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, i % 5 == 0) for i in range(30)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "int(toxic) AS toxic")
+    runs = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if parts == 1 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        runs.append(as_bag(grade_documents(docs, labels), "doc_id", "text", "expected_grade", "tail"))
+    assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sources_weighed_by_spark_or_the_driver(spark, seed):
+    from patronage.llm.mixing import Mix, _weighed, _weighed_by_spark
+
+    rng = np.random.default_rng(seed)
+    names = [None, "", "é", "Z", "a", *[f"s{i}" for i in range(int(rng.integers(0, 40)))]]
+    rows = [(n, int(rng.integers(0, 4) and rng.lognormal(5, 2))) for n in names]
+    sources = spark.createDataFrame(rows, "source string, source_size long").repartition(3)
+    a, b = ({r["source"]: (r["source_size"], r["target"]) for r in f(sources, Mix()).collect()} for f in (_weighed, _weighed_by_spark))
+    assert a.keys() == b.keys() and all(a[s] == pytest.approx(b[s], rel=1e-12) for s in a)
+
+
+def test_more_sources_than_the_driver_weighs(docs):
+    from patronage.llm.mixing import Mix
+
+    few, many = (as_bag(mix_documents(docs, Mix(max_sources=n)), "doc_id", "size", "source_size", "taken") for n in (100, 1))
+    assert few == many
+
+
+def test_pipeline_keeps_foreign_columns_and_survives_odd_rows(spark, clashing, tmp_path):
+    nothing = clashing.limit(0)
+    for name, docs in (("full", clashing), ("empty", nothing)):
+        folder = tmp_path / name
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, corpus()[9][1]), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        current = spark.read.parquet(f"{folder}/documents.parquet")
+        for place, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, current, str(folder)).write.parquet(f"{folder}/{place}")
+            following = spark.read.parquet(f"{folder}/{place}")
+            if place < len(corpus_pipeline.STAGES) - 1:
+                if name == "full":
+                    kept_as_they_were(following, current, times=stage.startswith("mixing"))
+                assert following.columns == current.columns
+            current = following
+        assert (current.count() > 0) == (name == "full")
+
+
 def test_main_text(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format(c="wrap")) for i in range(8)]
     rows += [(8, None, None), (9, "http://h0.org/", ""), (10, "x", "plain <b>text"), (10, "x", "plain <b>text"), (11, "http://h0.org/", "<p>other page</p>")]
