@@ -1,12 +1,18 @@
-"""From documents to shards of training text in five stages, each a stored table that the next one reads."""
+"""From documents to the shards of the selected ones in five stages, each a stored table that the next one reads.
+
+Each stage reads all rows of the one before and, but for the last, returns the columns of documents as they were, foreign
+ones included; the last returns each row's place, not its text. Nulls, empty texts, repeated rows and empty tables pass
+through as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.llm.decontaminate import without_items
+from patronage.llm.linking import free_names
 from patronage.llm.mixing import repeat_documents
 from patronage.llm.ngram_join import Similarity, keep_one_per_component
 from patronage.llm.quality import grade_documents
@@ -17,7 +23,8 @@ from patronage.session import ensure_checkpoint_dir
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labels of the folder, finds good; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return grade_documents(docs, labels).where("selected").select(*[f"`{c}`" for c in docs.columns])
+    names = free_names(docs, "expected_grade", "tail", "selected")
+    return grade_documents(docs, labels, names=names).where(F.col(names[-1])).select(*[f"`{c}`" for c in docs.columns])
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
