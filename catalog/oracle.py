@@ -197,6 +197,16 @@ sql("clean_rules", [RAW, CLEAN], rule_rows("clean", {
     "no_cancellations": "COUNT(*) FILTER (starts_with(invoice_id, 'C'))",
     "no_duplicates": "COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM clean))",
 }))
+sql("stored_clean_rules", [RAW, CLEAN], "SELECT *, (SELECT COUNT(*) FROM clean) AS rows FROM (" + rule_rows("clean", {
+    "no_nulls": f"COUNT(*) FILTER (NOT ({NO_NULL}))",
+    "quantity_positive": "COUNT(*) FILTER (quantity <= 0)",
+    "unit_price_positive": "COUNT(*) FILTER (unit_price <= 0)",
+    "revenue_positive": "COUNT(*) FILTER (revenue <= 0)",
+    "no_cancellations": "COUNT(*) FILTER (starts_with(invoice_id, 'C'))",
+    "no_duplicates": "COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM clean))",
+}) + ")")
+sql("envelope_ranges", [], """SELECT event_type, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users, MAX(CAST(event_id AS VARCHAR)) AS last_id
+ FROM events GROUP BY 1""")
 sql("null_profile", [RAW], " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, COUNT(*) FILTER ({c} IS NULL) AS nulls FROM raw" for c in RAW_NAMES))
 sql("table_profile", [RAW], " UNION ALL ".join(

@@ -15,7 +15,7 @@ from patronage.operators import (
 from patronage.plans import complaint_text, customer360 as chain, report_suite
 from patronage.plans.stages import stage
 from patronage.session import ensure_checkpoint_dir, pin
-from patronage.sources import readers, tables, writers
+from patronage.sources import envelopes, readers, tables, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -234,6 +234,27 @@ def clean_rules(spark, folder):
     return quality.clean_rules(cleaning.clean_transactions(raw(spark, folder)))
 
 
+@query()
+def stored_clean_rules(spark, folder):
+    """The same rules, counted while the cleaned lines are stored, and the rows that were."""
+    stored, found = quality.store_clean(cleaning.clean_transactions(raw(spark, folder)))
+    return found.withColumn("rows", stored.agg(F.sum("_n")).scalar())
+
+
+@query()
+def envelope_ranges(spark, folder):
+    """Events written as search replies and read back, each reply by several tasks."""
+    events = tables.table(spark, folder, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("user_id"))
+    numbered = pin(events.select(F.to_json(F.struct("*")).alias("record"), F.monotonically_increasing_id().alias("n")).withColumn("reply", F.shiftright("n", 33)))
+    ends = numbered.groupBy("reply").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    text = F.concat(F.when(F.col("n") == F.col("first"), '{"took": 1, "hits": [').otherwise(""), "record", F.when(F.col("n") == F.col("last"), "]}").otherwise(","))
+    path = sink(spark, "replies")
+    numbered.join(ends, "reply").repartition("reply").sortWithinPartitions("reply", "n").select("reply", text.alias("value")).write.partitionBy("reply").text(path)
+    files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()]  # one a reply
+    read = envelopes.read_large_hits(spark, files, "event_id string, event_type string, user_id string", 1 << 18)
+    return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.max("event_id").alias("last_id"))
+
+
 @query()
 def null_profile(spark, folder):
     return quality.null_profile(cleaning.standardize(raw(spark, folder)))

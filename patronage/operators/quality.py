@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from patronage.functions.fixed_values import CLEAN_COLUMNS, RAW_COLUMN_NAMES
 from patronage.functions.numeric import money_sum, ratio
 from patronage.operators.cleaning import is_cancellation
 from patronage.operators.sales import line_sizes
+from patronage.session import pin
 
 
 def as_rows(one_row: DataFrame, name: str, value: str, columns: Sequence[str]) -> DataFrame:
@@ -78,13 +79,21 @@ def check_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return found.withColumn("passed", F.col("violations") == 0)
 
 
-def clean_rules(clean: DataFrame) -> DataFrame:
-    """The rules a cleaned table must meet, among them no nulls and no equal rows."""
+def store_checked(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The table, stored, and its (rule, violations, passed): the rules are counted in the pass that writes the rows."""
+    seen = Observation()
+    broken = [F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias(name) for name, good in rules.items()]
+    stored = pin(df.observe(seen, *broken))
+    counts = [(name, seen.get[name], seen.get[name] == 0) for name in rules]
+    return stored, df.sparkSession.createDataFrame(counts, "rule string, violations long, passed boolean")
+
+
+def _folded_with_rules(clean: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     no_null = F.lit(True)
     for c in CLEAN_COLUMNS:
         no_null = no_null & F.col(c).isNotNull()
     folded = clean.groupBy(*CLEAN_COLUMNS).agg(F.count(F.lit(1)).alias("_n"))
-    rules = {
+    return folded, {
         "no_nulls": no_null,
         "quantity_positive": F.col("quantity") > 0,
         "unit_price_positive": F.col("unit_price") > 0,
@@ -92,7 +101,19 @@ def clean_rules(clean: DataFrame) -> DataFrame:
         "no_cancellations": ~is_cancellation(),
         "no_duplicates": F.col("_n") == 1,
     }
-    return check_rules(folded, rules)
+
+
+def clean_rules(clean: DataFrame) -> DataFrame:
+    """The rules a cleaned table must meet, among them no nulls and no equal rows."""
+    return check_rules(*_folded_with_rules(clean))
+
+
+def store_clean(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cleaned lines, stored once with the copies of equal rows as ``_n``, and the rules as ``clean_rules`` has them.
+
+    The lines are read once for both.
+    """
+    return store_checked(*_folded_with_rules(clean))
 
 
 def feature_rules(features: DataFrame) -> DataFrame:
