@@ -236,7 +236,7 @@ def clean_rules(spark, folder):
 
 @query()
 def stored_clean_rules(spark, folder):
-    """The same rules, counted while the cleaned lines are stored, and the rows that were."""
+    """The same rules over the cleaned lines as they are stored, and their number."""
     stored, found = quality.store_clean(cleaning.clean_transactions(raw(spark, folder)))
     return found.withColumn("rows", stored.agg(F.sum("_n")).scalar())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.fixed_values import CLEAN_COLUMNS, RAW_COLUMN_NAMES
 from patronage.functions.numeric import money_sum, ratio
@@ -79,15 +79,6 @@ def check_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return found.withColumn("passed", F.col("violations") == 0)
 
 
-def store_checked(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """The table, stored, and its (rule, violations, passed): the rules are counted in the pass that writes the rows."""
-    seen = Observation()
-    broken = [F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias(name) for name, good in rules.items()]
-    stored = pin(df.observe(seen, *broken))
-    counts = [(name, seen.get[name], seen.get[name] == 0) for name in rules]
-    return stored, df.sparkSession.createDataFrame(counts, "rule string, violations long, passed boolean")
-
-
 def _folded_with_rules(clean: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     no_null = F.lit(True)
     for c in CLEAN_COLUMNS:
@@ -111,9 +102,12 @@ def clean_rules(clean: DataFrame) -> DataFrame:
 def store_clean(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The cleaned lines, stored once with the copies of equal rows as ``_n``, and the rules as ``clean_rules`` has them.
 
-    The lines are read once for both.
+    The raw lines are read once: the rules read the stored rows. (Spark's ``Observation`` would count them while they are
+    written, but a session that has used one can no longer send the closures of fitted ML models to its tasks.)
     """
-    return store_checked(*_folded_with_rules(clean))
+    folded, rules = _folded_with_rules(clean)
+    stored = pin(folded)
+    return stored, check_rules(stored, rules)
 
 
 def feature_rules(features: DataFrame) -> DataFrame:
