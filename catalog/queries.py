@@ -84,7 +84,7 @@ def monthly_customers(spark, folder):
 @query()
 def dataset_overview(spark, folder):
     return sales.dataset_overview(
-        lines(spark, folder, "customer_id", "invoice_id", "stock_code", "country", "invoice_date")
+        lines(spark, folder, "customer_id", "invoice_id", "stock_code", "country", "invoice_date"), lines(spark, folder, "stock_code")
     )
 
 
@@ -503,8 +503,9 @@ def monthly_report(spark, folder):
 
 @query()
 def product_report(spark, folder):
-    sold = lines(spark, folder, "stock_code", "revenue", "quantity", "invoice_id", "customer_id", "unit_price")
-    return sales.product_report(sold, names=tables.products(spark, folder))
+    measures = ["stock_code", "revenue", "quantity", "unit_price"]
+    with_customers = lines(spark, folder, *measures, "invoice_id", "customer_id")
+    return sales.product_report(with_customers, names=tables.products(spark, folder), sold=lines(spark, folder, *measures))
 
 
 @query()

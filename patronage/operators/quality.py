@@ -45,10 +45,11 @@ def sample_rows(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
 def raw_audit(raw: DataFrame) -> DataFrame:
     """Faults and sizes of the raw lines as (check, value) text rows.
 
-    Equal rows are found by folding all columns; every other count comes from lines folded to invoices.
+    Equal rows are folded and stored with their copies, so that the raw lines are read once; all counts read the columns
+    that they need from there, folded to invoices or products.
     """
     names = list(RAW_COLUMN_NAMES)
-    rows = [F.col(f"`{c}`") for c in names]
+    folded = pin(raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n")))
     conditions = {f"null_{c}": F.col(f"`{c}`").isNull() for c in names}
     conditions |= {
         "quantity_negative": F.col("Quantity") < 0,
@@ -58,13 +59,13 @@ def raw_audit(raw: DataFrame) -> DataFrame:
         "missing_customer_id": F.col("Customer ID").isNull(),
         "cancelled_invoices": is_cancellation("Invoice"),
     }
-    measures = {name: ("count", F.count(F.when(condition, 1))) for name, condition in conditions.items()}
+    measures = {name: ("sum", F.sum(F.when(condition, F.col("_n")))) for name, condition in conditions.items()}
     measures |= {
-        "total_rows": ("count", F.count(F.lit(1))), "date_min": ("min", F.min("InvoiceDate")), "date_max": ("max", F.max("InvoiceDate")),
+        "total_rows": ("sum", F.sum("_n")), "_different": ("count", F.count(F.lit(1))),
+        "date_min": ("min", F.min("InvoiceDate")), "date_max": ("max", F.max("InvoiceDate")),
     }
-    found = line_sizes(raw, "Invoice", "Customer ID", "StockCode", "Country", measures)
-    different = raw.groupBy(*rows).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1))).scalar()
-    sized = found.withColumn("duplicate_rows", F.coalesce("total_rows", F.lit(0)) - different)
+    found = line_sizes(folded, "Invoice", "Customer ID", "StockCode", "Country", measures)
+    sized = found.withColumn("duplicate_rows", F.coalesce(F.col("total_rows") - F.col("_different"), F.lit(0)))
     dates = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("date_min", "date_max")}
     order = [*conditions, "duplicate_rows", "unique_customers", "unique_invoices", "unique_products", "unique_countries", "total_rows"]
     text = sized.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("string").alias(c) for c in order], *[d.alias(c) for c, d in dates.items()])

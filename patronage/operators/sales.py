@@ -11,17 +11,21 @@ from patronage.operators.ranking import exact_quantiles
 from patronage.session import pin
 
 
-def line_sizes(lines: DataFrame, invoice: str, customer: str, product: str, country: str, sums: Mapping[str, tuple[str, Column]]) -> DataFrame:
+def line_sizes(
+    lines: DataFrame, invoice: str, customer: str, product: str, country: str, sums: Mapping[str, tuple[str, Column]],
+    products: DataFrame | None = None,
+) -> DataFrame:
     """One row with the distinct invoices, customers, products and countries of the lines, and other ``sums`` over them.
 
     Lines are folded to (invoice, customer, country) before three of the distinct counts, and to products for the fourth,
-    so that no line is sent once for each count. ``sums`` gives each measure its kind (count, sum, min or max) and its aggregate of the lines.
+    so that no line is sent once for each count. ``sums`` gives each measure its kind (count, sum, min or max) and its
+    aggregate of the lines. ``products`` may give the lines' products without the joins that the other columns need.
     """
     folds = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
     folded = lines.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in ((invoice, "_invoice"), (customer, "_customer"), (country, "_country"))]).agg(
         *[measure.alias(name) for name, (_, measure) in sums.items()]
     )
-    products = lines.groupBy(F.col(f"`{product}`").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).agg(F.count("_p"))
+    products = (lines if products is None else products).groupBy(F.col(f"`{product}`").alias("_p")).agg(F.count(F.lit(1)).alias("_k")).agg(F.count("_p"))
     row = folded.agg(
         *[folds[kind](name).alias(name) for name, (kind, _) in sums.items()],
         F.count_distinct("_customer").alias("unique_customers"), F.count_distinct("_invoice").alias("unique_invoices"),
@@ -30,11 +34,11 @@ def line_sizes(lines: DataFrame, invoice: str, customer: str, product: str, coun
     return row.withColumn("unique_products", products.scalar())
 
 
-def dataset_overview(sales: DataFrame) -> DataFrame:
-    """Rows, distinct keys and date range."""
+def dataset_overview(sales: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Rows, distinct keys and date range; ``products`` as in ``line_sizes``."""
     found = line_sizes(sales, "invoice_id", "customer_id", "stock_code", "country", {
         "total_rows": ("count", F.count(F.lit(1))), "date_min": ("min", F.min("invoice_date")), "date_max": ("max", F.max("invoice_date")),
-    })
+    }, products)
     return found.select(
         F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "unique_customers", "unique_invoices", "unique_products", "unique_countries",
         "date_min", "date_max",
@@ -111,14 +115,15 @@ def monthly_report(sales: DataFrame) -> DataFrame:
     ).orderBy("invoice_month")
 
 
-def product_report(sales: DataFrame, k: int = 50, names: DataFrame | None = None) -> DataFrame:
+def product_report(sales: DataFrame, k: int = 50, names: DataFrame | None = None, sold: DataFrame | None = None) -> DataFrame:
     """The k products with the most revenue; lines without a description are left out.
 
     Descriptions are a column of the lines, or come from ``names`` (stock_code, description), which then meets one row per
-    product. Invoices and customers are counted over the lines of the k products only.
+    product. Invoices and customers are counted over the lines of the k products only; ``sold`` may give all lines without
+    the joins that these need.
     """
     keys = ["stock_code"] if names is not None else ["stock_code", "description"]
-    totals = sales.groupBy(*keys).agg(
+    totals = (sales if sold is None else sold).groupBy(*keys).agg(
         round_half_up(money_sum("revenue"), 2).alias("total_revenue"),
         F.sum("quantity").alias("total_quantity"),
         round_half_up(exact_avg("unit_price", "decimal(24,8)"), 4).alias("avg_unit_price"),
