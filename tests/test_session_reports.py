@@ -67,3 +67,20 @@ def test_report_run_writes_every_report(spark, tmp_path):
     by_sql = spark.sql("select count(*) n from customer_360 where health_tier = 'Healthy'").first()["n"]
     tiers = {r["health_tier"]: r["customer_count"] for r in reports.health_tier_summary(spark.table("customer_360")).collect()}
     assert tiers.get("Healthy", 0) == by_sql
+
+
+def test_stored_tables_come_from_small_parts(spark):
+    """A shuffle larger than the parts allow is not merged into one part a core."""
+    asked, merged = "spark.sql.shuffle.partitions", session.MERGE_TO
+    before = spark.conf.get(asked), spark.conf.get(merged)
+    spark.conf.set(asked, "64")
+    try:
+        stored = session.pin(spark.range(6_000_000).select(F.xxhash64("id").alias("x"), F.xxhash64("id", F.lit(1)).alias("y")).repartition("x"))
+    finally:
+        spark.conf.set(asked, before[0])
+    parts = stored.groupBy(F.input_file_name()).count().count()
+    assert stored.count() == 6_000_000 and parts >= 10 and spark.conf.get(merged) == before[1]
+
+
+def test_sizes_as_settings_write_them():
+    assert [session._bytes(x) for x in ("64MB", "8m", "1048576b", "16384", "2g", " 3 kb")] == [64 << 20, 8 << 20, 1 << 20, 16384, 2 << 30, 3072]
