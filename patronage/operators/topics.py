@@ -19,8 +19,10 @@ from patronage.session import pin
 
 #: A row of weights is settled when a sweep moves none of them by more than this share of its largest one.
 SETTLED = 1e-10
-#: Tasks of the first level that sums the arrays of a round.
+#: Tasks of the first level that sums the arrays of a round; those of no more tasks are summed at once.
 FOLDS = 32
+#: Exchanges of the positive weights after which a row is left to the sweeps, and the condition of a matrix up to which they are made.
+MOST_EXCHANGES, CONDITION = 200, 1e10
 #: Sweeps after which a row still moving is counted as unsettled; the model reports how many there were.
 MOST_SWEEPS = 20_000
 
@@ -44,11 +46,8 @@ def document_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]
     return pin(entries.select(key, F.col("e.idx").alias("idx"), F.col("e.weight").alias("val"))), terms
 
 
-def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, int]:
-    """Non-negative least squares for many rows at once, and the number of rows that did not settle.
-
-    Cyclic updates of one column at a time; rows leave the sweeps as they settle.
-    """
+def _swept(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled: float) -> tuple[np.ndarray, int]:
+    """Cyclic updates of one column at a time; rows leave the sweeps as they settle."""
     rows = start.copy()
     moving = np.arange(len(rows))
     for _ in range(MOST_SWEEPS):
@@ -65,6 +64,67 @@ def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled:
     return rows, len(moving)
 
 
+def _exchanged(target: np.ndarray, gram: np.ndarray, slack: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares by block principal pivoting, and which rows have their solution.
+
+    Rows with the same set of positive weights are solved together; weights that came out negative leave the set, those with
+    a falling error enter it. A row whose number of wrong weights does not fall changes its last wrong one only.
+    """
+    n, k = target.shape
+    x, slope, positive = np.zeros((n, k)), -target, np.zeros((n, k), dtype=bool)
+    fewest, tries = np.full(n, k + 1), np.full(n, 3)
+    size = np.abs(target).max(axis=1, initial=0.0, keepdims=True)
+    rows = np.arange(n)
+    for _ in range(MOST_EXCHANGES):
+        at = x[rows]
+        wrong = np.where(positive[rows], at < -slack * np.abs(at).max(axis=1, keepdims=True), slope[rows] < -slack * size[rows])
+        count = wrong.sum(axis=1)
+        rows, wrong, count = rows[count > 0], wrong[count > 0], count[count > 0]
+        if not len(rows):
+            break
+        fewer = count < fewest[rows]
+        fewest[rows[fewer]] = count[fewer]
+        tries[rows] = np.where(fewer, 3, tries[rows] - 1)
+        single = tries[rows] < 0
+        last = k - 1 - np.argmax(wrong[:, ::-1], axis=1)
+        wrong[single] = np.arange(k) == last[single, None]
+        positive[rows] ^= wrong
+        sets, members = np.unique(np.packbits(positive[rows], axis=1), axis=0, return_inverse=True)
+        order = np.argsort(members.ravel(), kind="stable")
+        bounds = np.searchsorted(members.ravel()[order], np.arange(len(sets) + 1))
+        for i in range(len(sets)):
+            own = rows[order[bounds[i]:bounds[i + 1]]]
+            inside = np.flatnonzero(positive[own[0]])
+            x[own] = 0.0
+            if len(inside):
+                x[np.ix_(own, inside)] = np.linalg.solve(gram[np.ix_(inside, inside)], target[np.ix_(own, inside)].T).T
+        slope[rows] = x[rows] @ gram - target[rows]
+    solved = np.ones(n, dtype=bool)
+    solved[rows] = False
+    return np.maximum(x, 0.0), solved
+
+
+def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, int]:
+    """Non-negative least squares for many rows at once, and the number of rows that did not settle.
+
+    The solution of a well-conditioned ``gram`` is one of a few linear systems, found by exchanges; rows without one, and all
+    rows of another ``gram``, are swept from ``start``. Columns of zeros keep their start.
+    """
+    live = np.flatnonzero(np.diag(gram) > 0)
+    if not len(target) or not len(live):
+        return start.copy(), 0
+    inner = gram[np.ix_(live, live)]
+    scale = np.sqrt(np.diag(inner))
+    if not np.isfinite(inner).all() or np.linalg.cond(inner / np.outer(scale, scale)) > CONDITION:
+        return _swept(target, gram, start, settled)
+    rows = start.copy()
+    found, solved = _exchanged(target[:, live] / scale, inner / np.outer(scale, scale))
+    rows[np.ix_(solved, live)] = found[solved] / scale
+    rest, unsettled = _swept(target[~solved], gram, start[~solved], settled)
+    rows[~solved] = rest
+    return rows, unsettled
+
+
 def _batch_weights(pdf: pd.DataFrame, h: np.ndarray):
     target, doc, cols, vals = _products(pdf, h.T)
     w, unsettled = solve_rows(target, h @ h.T, np.zeros_like(target))
@@ -88,7 +148,9 @@ def _sums(docs: DataFrame, matrix: np.ndarray, add: Callable[[Iterator[pd.DataFr
             yield pd.DataFrame({"part": list(totals), "s": list(totals.values())})
 
     kind = "part int, s array<double>"
-    sums = docs.select("idx", "val").mapInPandas(run, kind).repartition(FOLDS).mapInPandas(fold, kind)
+    sums = docs.select("idx", "val").mapInPandas(run, kind)
+    if docs.rdd.getNumPartitions() > FOLDS:
+        sums = sums.repartition(FOLDS).mapInPandas(fold, kind)
     rows = {r["part"]: np.asarray(r["s"]) for r in sums.repartition(1).mapInPandas(fold, kind).collect()}
     shared.unpersist()
     return rows
@@ -209,7 +271,7 @@ def fit_topics(
     Stops when a round improves the error by less than ``tolerance`` of the first error; ``converged`` tells whether that
     came within ``max_iter`` rounds, ``unsettled`` how many weight rows of the last round were still moving.
     """
-    docs, terms = document_vectors(weights, key)
+    docs, terms = document_vectors(pin(weights.select(key, "term", "weight")), key)
     if start == "random" or not terms:
         h = np.random.default_rng(seed).uniform(0.0, 1.0, (k, len(terms)))
     else:

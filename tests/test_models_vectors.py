@@ -306,3 +306,23 @@ def test_decomposed_start(spark):
 def test_topics_of_empty_weights(spark):
     model, docs = topics.fit_topics(spark.createDataFrame([], "id long, term string, weight double"), "id", k=3)
     assert model.terms == [] and docs.count() == 0
+
+
+def test_weights_are_exchanged_not_swept(monkeypatch):
+    """A well-conditioned system needs no sweeps, and its weights are those that the sweeps approach."""
+    rng = np.random.default_rng(1)
+    h = rng.uniform(0, 1, (8, 200)) * (rng.uniform(0, 1, (8, 200)) < 0.5)
+    target, gram = rng.normal(0, 1, (400, 200)) @ h.T, h @ h.T
+    gram[:, 3] = gram[3, :] = target[:, 3] = 0.0
+    start = np.full((400, 8), 0.5)
+    slow, _ = topics._swept(target, gram, start, 1e-13)
+    monkeypatch.setattr(topics, "MOST_SWEEPS", 0)
+    found, unsettled = topics.solve_rows(target, gram, start)
+    assert unsettled == 0 and np.allclose(found, slow, atol=1e-9) and (found[:, 3] == 0.5).all()
+    assert topics.solve_rows(target[:0], gram, start[:0])[0].shape == (0, 8)
+
+
+def test_singular_weights_are_swept():
+    h = np.array([[1.0, 0, 1], [1.0, 0, 1], [0, 1.0, 0]])
+    w, unsettled = topics.solve_rows(np.array([[2.0, 2, 5]]), h @ h.T, np.zeros((1, 3)))
+    assert unsettled == 0 and np.allclose(w @ h, [[1.0, 5, 1]])
