@@ -19,6 +19,8 @@ from patronage.llm.textops import U, as_long, mix, mix_one, small_batches
 from patronage.session import pin
 
 _EMPTY = np.iinfo(np.uint64).max
+#: Bytes of lines that are hashed at once; their shingles and signatures take some sixty times as much memory.
+PIECE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,16 @@ def _distinct(batch: pa.RecordBatch) -> dict[int, bytes]:
     return {line_id(line): line for text in batch.column("text") for line in set(lines_of(text)) if line}
 
 
+def _pieces(lines: list[bytes]) -> Iterator[slice]:
+    """Slices of about ``PIECE_BYTES`` bytes of lines, or of one line if it is longer."""
+    ends, start = np.cumsum([len(line) for line in lines], dtype=np.int64), 0
+    while start < len(lines):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def shingle_hashes(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of all lines, one after the other, and the line of each."""
     decoded = [line.decode(errors="replace") for line in lines]
@@ -88,18 +100,25 @@ def signatures(hashes: np.ndarray, line: np.ndarray, lines: int, bins: int) -> n
     return table
 
 
+def line_bands(found: dict[int, bytes], rule: Fuzzy) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket keys of the bands of the lines, and the line's id of each; a piece of the lines at a time."""
+    factors = np.array([mix_one(70 + r) | 1 for r in range(rule.rows)], dtype=U)
+    names, lines = np.fromiter(found, dtype=U, count=len(found)), list(found.values())
+    for piece in _pieces(lines):
+        own = lines[piece]
+        table = signatures(*shingle_hashes(own, rule.size), len(own), rule.bands * rule.rows)
+        grouped = table.reshape(len(own), rule.bands, rule.rows)
+        keys = mix(mix((grouped * factors).sum(axis=2, dtype=U)) + np.arange(rule.bands, dtype=U))
+        yield keys.ravel(), np.repeat(names[piece], rule.bands)
+
+
 def band_keys(texts: DataFrame, rule: Fuzzy) -> DataFrame:
     """(key, id): the bands of every distinct line of a batch."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = np.array([mix_one(70 + r) | 1 for r in range(rule.rows)], dtype=U)
         for batch in small_batches(batches):
-            if found := _distinct(batch):
-                table = signatures(*shingle_hashes(list(found.values()), rule.size), len(found), rule.bands * rule.rows)
-                grouped = table.reshape(len(found), rule.bands, rule.rows)
-                keys = mix(mix((grouped * factors).sum(axis=2, dtype=U)) + np.arange(rule.bands, dtype=U))
-                ids = np.repeat(np.fromiter(found, dtype=U, count=len(found)), rule.bands)
-                yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), as_long(ids)], ["key", "id"])
+            for keys, ids in line_bands(_distinct(batch), rule):
+                yield pa.RecordBatch.from_arrays([as_long(keys), as_long(ids)], ["key", "id"])
 
     return texts.mapInArrow(bands, "key long, id long")
 
@@ -132,16 +151,19 @@ def _near_lines(rows: DataFrame, wanted: np.ndarray, rule: Fuzzy) -> DataFrame:
             ids = np.fromiter(found, dtype=U, count=len(found))
             near = in_bitmap(shared.value, ids.view(np.int64))
             if near.any():
-                lines = [found[i] for i in ids[near].tolist()]
-                hashes, line = shingle_hashes(lines, rule.size)
-                sets = [np.unique(part) for part in np.split(hashes, np.searchsorted(line, np.arange(1, len(lines))))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        as_long(ids[near]), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([parity_marks(s) for s in sets], pa.list_(pa.int64())), pa.array([x.decode(errors="replace") for x in lines]),
-                    ],
-                    ["id", "n", "marks", "text"],
-                )
+                names = ids[near]
+                lines = [found[i] for i in names.tolist()]
+                for piece in _pieces(lines):
+                    own = lines[piece]
+                    hashes, line = shingle_hashes(own, rule.size)
+                    sets = [np.unique(part) for part in np.split(hashes, np.searchsorted(line, np.arange(1, len(own))))]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            as_long(names[piece]), pa.array([len(s) for s in sets], pa.int64()),
+                            pa.array([parity_marks(s) for s in sets], pa.list_(pa.int64())), pa.array([x.decode(errors="replace") for x in own]),
+                        ],
+                        ["id", "n", "marks", "text"],
+                    )
 
     return rows.select("text").mapInArrow(pick, "id long, n long, marks array<long>, text string").dropDuplicates(["id"])
 
