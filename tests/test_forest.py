@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from patronage.operators.forest import Forest, ForestModel, ForestTrainer, best_splits, class_counts, descend, grow
+from patronage.operators.forest import Forest, ForestModel, ForestTrainer, best_splits, class_counts, descend, forest_cuts, grow
 
 ROWS = 600
 
@@ -88,3 +88,8 @@ def test_stored_and_read_again(whole, rows, tmp_path):
     whole.write().overwrite().save(str(tmp_path / "m"))
     again = ForestModel.load(str(tmp_path / "m"))
     assert scored(again, rows) == scored(whole, rows)
+
+
+def test_rare_values_have_cuts(rows):
+    cuts = forest_cuts(rows, 5, 32)
+    assert cuts[3].tolist() == [0.5] and cuts[4].tolist() == [] and all(20 < len(c) < 32 for c in cuts[:3])
