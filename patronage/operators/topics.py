@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from patronage.session import pin
@@ -37,13 +39,42 @@ class TopicModel:
 
 
 def document_vectors(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    """(key, idx array, val array) per document, stored, and the sorted vocabulary."""
-    terms = [r[0] for r in weights.select("term").distinct().orderBy("term").collect()]  # at most max_features
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
-    entries = weights.join(F.broadcast(index), "term").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e")  # at most one entry per term
-    )
-    return pin(entries.select(key, F.col("e.idx").alias("idx"), F.col("e.weight").alias("val"))), terms
+    """(key, idx, val) per document, stored, and the sorted vocabulary.
+
+    Term numbers and weights are packed as bytes (int32 and float64), which every round reads as they are. Rows of
+    ``weights`` that are partitioned by key, as those of TF-IDF, are not shuffled again.
+    """
+    entries = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("e"))  # at most one entry per term
+    stored = pin(entries.select(key, F.col("e.term").alias("terms"), F.col("e.weight").alias("val")))
+    terms = [r[0] for r in stored.select(F.explode("terms").alias("term")).distinct().orderBy("term").collect()]  # at most max_features
+    shared = weights.sparkSession.sparkContext.broadcast(terms)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pa.array(shared.value, pa.string())
+        for batch in batches:
+            found, val = batch.column("terms"), batch.column("val")
+            ends = np.append(0, np.cumsum(pc.list_value_length(found).to_numpy().astype(np.int64)))
+            packed = [pc.index_in(found.flatten(), value_set=index).to_numpy().astype(np.int32), val.flatten().to_numpy().astype(np.float64)]
+            columns = [_packed(x, ends) for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "idx", "val"])
+
+    schema = stored.select(key).schema.add("idx", T.BinaryType()).add("val", T.BinaryType())
+    return pin(stored.mapInArrow(number, schema)), terms
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the values from one end to the next, as a binary array."""
+    offsets = pa.py_buffer((ends * values.itemsize).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, offsets, pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows one after the other, and their number in each row."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    bytes_ = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+    values = np.frombuffer(bytes_.tobytes(), dtype=kind)
+    return values, np.diff(offsets) // values.itemsize
 
 
 def _swept(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled: float) -> tuple[np.ndarray, int]:
@@ -125,51 +156,57 @@ def solve_rows(target: np.ndarray, gram: np.ndarray, start: np.ndarray, settled:
     return rows, unsettled
 
 
-def _batch_weights(pdf: pd.DataFrame, h: np.ndarray):
-    target, doc, cols, vals = _products(pdf, h.T)
+def _batch_weights(batch: pa.RecordBatch, h: np.ndarray):
+    target, doc, cols, vals = _products(batch, h.T)
     w, unsettled = solve_rows(target, h @ h.T, np.zeros_like(target))
     return w, doc, cols, vals, unsettled
 
 
-def _sums(docs: DataFrame, matrix: np.ndarray, add: Callable[[Iterator[pd.DataFrame], np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """An Arrow array of the arrays, which are not turned into Python numbers."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *arrays])))
+
+
+def _sums(docs: DataFrame, matrix: np.ndarray, add: Callable[[Iterator[pa.RecordBatch], np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """Arrays that each task makes of its documents and the shared ``matrix``, added by their numbers in two levels."""
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
-    def run(batches):
-        made = add((pdf for pdf in batches if len(pdf)), shared.value)
-        yield pd.DataFrame({"part": list(made), "s": list(made.values())})
+    def sent(made: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), _lists(list(made.values()))], ["part", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield sent(add((batch for batch in batches if len(batch)), shared.value))
 
-    def fold(batches):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for part, s in zip(pdf["part"], pdf["s"]):
-                totals[part] = totals[part] + s if part in totals else np.asarray(s)
-        if totals:
-            yield pd.DataFrame({"part": list(totals), "s": list(totals.values())})
+        for batch in batches:
+            for part, s in zip(batch.column("part").to_pylist(), batch.column("s"), strict=True):
+                own = s.values.to_numpy()
+                totals[part] = totals[part] + own if part in totals else own
+        yield sent(totals)
 
     kind = "part int, s array<double>"
-    sums = docs.select("idx", "val").mapInPandas(run, kind)
+    sums = docs.select("idx", "val").mapInArrow(run, kind)
     if docs.rdd.getNumPartitions() > FOLDS:
-        sums = sums.repartition(FOLDS).mapInPandas(fold, kind)
-    rows = {r["part"]: np.asarray(r["s"]) for r in sums.repartition(1).mapInPandas(fold, kind).collect()}
+        sums = sums.repartition(FOLDS).mapInArrow(fold, kind)
+    rows = {r["part"][0].as_py(): r["s"][0].values.to_numpy() for r in sums.repartition(1).mapInArrow(fold, kind).toArrow().to_batches(1)}
     shared.unpersist()
     return rows
 
 
-def _entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, column and value of all entries of a batch."""
-    sizes = pdf["idx"].map(len).to_numpy()
-    cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"]])
-    vals = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["val"]])
-    return np.repeat(np.arange(len(pdf)), sizes), cols, vals
+    (cols, sizes), (vals, _) = _unpacked(batch.column("idx"), np.int32), _unpacked(batch.column("val"), np.float64)
+    return np.repeat(np.arange(len(batch)), sizes), cols, vals
 
 
-def _products(pdf: pd.DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _products(batch: pa.RecordBatch, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The batch's rows of A times the columns of ``matrix``, and its entries."""
-    doc, cols, vals = _entries(pdf)
-    out = np.empty((len(pdf), matrix.shape[1]))
-    for j in range(matrix.shape[1]):
-        out[:, j] = np.bincount(doc, weights=vals * matrix[cols, j], minlength=len(pdf))
+    doc, cols, vals = _entries(batch)
+    out = np.empty((len(batch), matrix.shape[1]))
+    for j, column in enumerate(np.ascontiguousarray(matrix.T)):
+        out[:, j] = np.bincount(doc, weights=vals * column[cols], minlength=len(batch))
     return out, doc, cols, vals
 
 
@@ -179,11 +216,11 @@ def _round_sums(docs: DataFrame, h: np.ndarray):
 
     def add(batches, matrix):
         wta, wtw, squares, moving = np.zeros((k, v)), np.zeros((k, k)), 0.0, 0
-        for pdf in batches:
-            w, doc, cols, vals, unsettled = _batch_weights(pdf, matrix)
+        for batch in batches:
+            w, doc, cols, vals, unsettled = _batch_weights(batch, matrix)
             moving += unsettled
-            for j in range(k):
-                wta[j] += np.bincount(cols, weights=vals * w[doc, j], minlength=v)
+            for j, column in enumerate(np.ascontiguousarray(w.T)):
+                wta[j] += np.bincount(cols, weights=vals * column[doc], minlength=v)
             wtw += w.T @ w
             squares += float(vals @ vals)
         return dict(enumerate([*wta, np.concatenate([wtw.ravel(), [squares, moving]])]))
@@ -199,10 +236,10 @@ def _gram_times(docs: DataFrame, q: np.ndarray) -> np.ndarray:
 
     def add(batches, matrix):
         total = np.zeros((width, v))
-        for pdf in batches:
-            product, doc, cols, vals = _products(pdf, matrix)
-            for j in range(width):
-                total[j] += np.bincount(cols, weights=vals * product[doc, j], minlength=v)
+        for batch in batches:
+            product, doc, cols, vals = _products(batch, matrix)
+            for j, column in enumerate(np.ascontiguousarray(product.T)):
+                total[j] += np.bincount(cols, weights=vals * column[doc], minlength=v)
         return dict(enumerate(total))
 
     rows = _sums(docs, q, add)
@@ -231,11 +268,11 @@ def _side_sums(docs: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.nda
 
     def add(batches, matrix):
         total = np.zeros(2 * width + 2)
-        for pdf in batches:
-            product, _, _, vals = _products(pdf, matrix)
+        for batch in batches:
+            product, _, _, vals = _products(batch, matrix)
             total[:width] += (np.maximum(product, 0.0) ** 2).sum(axis=0)
             total[width:-2] += (np.maximum(-product, 0.0) ** 2).sum(axis=0)
-            total[-2:] += vals.sum(), len(pdf)
+            total[-2:] += vals.sum(), len(batch)
         return {0: total}
 
     total = _sums(docs, vectors, add).get(0, np.zeros(2 * width + 2))
@@ -271,7 +308,7 @@ def fit_topics(
     Stops when a round improves the error by less than ``tolerance`` of the first error; ``converged`` tells whether that
     came within ``max_iter`` rounds, ``unsettled`` how many weight rows of the last round were still moving.
     """
-    docs, terms = document_vectors(pin(weights.select(key, "term", "weight")), key)
+    docs, terms = document_vectors(weights.select(key, "term", "weight"), key)
     if start == "random" or not terms:
         h = np.random.default_rng(seed).uniform(0.0, 1.0, (k, len(terms)))
     else:
@@ -308,13 +345,13 @@ def document_topics(model: TopicModel, docs: DataFrame, key: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.components)
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                w = _batch_weights(pdf, shared.value)[0]
-                yield pd.DataFrame({key: pdf[key], "topic_weights": list(w)})
+        for batch in batches:
+            if len(batch):
+                w = _batch_weights(batch, shared.value)[0]
+                yield pa.RecordBatch.from_arrays([batch.column(key), _lists(list(w))], [key, "topic_weights"])
 
     schema = docs.select(key).schema.add("topic_weights", T.ArrayType(T.DoubleType()))
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def dominant_topic(topic_weights: DataFrame) -> DataFrame:

@@ -43,9 +43,11 @@ def build_themed(
 
     def build() -> DataFrame:
         texts = tables.complaints(spark, folder, False)
+        if topics is not None:
+            texts = tables.dealt(texts.drop("dominant_topic"))
         scored = cx.with_raw_sentiment(texts, positive, negative).drop(cx.TEXT)
         if topics is not None:
-            scored = scored.drop("dominant_topic").join(topics.select("complaint_id", "dominant_topic"), "complaint_id", "left")
+            scored = scored.join(topics.select("complaint_id", "dominant_topic"), "complaint_id", "left")
         return cx.with_theme(tables.with_responses(scored, spark, folder))
 
     if topics is not None:
@@ -58,7 +60,7 @@ def build_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
     def build() -> DataFrame:
         kept = F.filter(F.array(text.clean_redacted(cx.TEXT)), lambda t: F.length(t) >= MIN_TEXT)
-        return tables.complaints(spark, folder, False).select("complaint_id", F.explode(kept).alias("clean_text"))
+        return tables.dealt(tables.complaints(spark, folder, False).select("complaint_id", cx.TEXT)).select("complaint_id", F.explode(kept).alias("clean_text"))
 
     return stage(spark, folder, "redacted", build)
 
