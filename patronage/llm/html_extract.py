@@ -5,8 +5,8 @@ occur on the same pages of a host form an equivalence class. Words of large, fre
 each of their pages are the template's; a block made of such words only is dropped. What remains are the slots, and all
 are kept: those inside the host's article or main elements if its template has any, else those of the whole page.
 
-Occurrence vectors are never gathered: a vector's fingerprint is a sum over pages, so a host of any size is an aggregation
-with one row per token and task.
+Occurrence vectors are never gathered: a vector's fingerprint is a sum over pages. Pages are dealt to chunks of their host,
+and a chunk sends one row for each token that may reach the host's support.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import bitmap, in_bitmap, share
 from patronage.llm.textops import U, as_long, mix, small_batches
 from patronage.llm.url_filter import host_and_path
 from patronage.session import pin
@@ -84,6 +83,10 @@ class Page:
     clutter: set[str] = field(default_factory=set)
 
 
+#: Characters of a host's pages that one task folds at a time.
+CHUNK_CHARS = 8 << 20
+#: Tokens of single pages that wait to be folded.
+PENDING_TOKENS = 1 << 18
 #: A block boundary among the pieces.
 BREAK = "\x00"
 
@@ -220,70 +223,131 @@ def own_slot(page: Page) -> str:
     return best if best and sizes[best][0] * 2 >= max(s[0] for s in sizes.values()) else ""
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, copied, n, v1, v2, least, most, text, links): the tokens of the pages, words without a path.
-
-    Pages of a batch are folded; ``copied`` is the page's key, which is not folded away, if the host may have the page several times.
+class HostTokens:
+    """The tokens of pages of one host, a row each: on how many pages, their fingerprint, least and most a page, text below."""
+
+    def __init__(self) -> None:
+        self.index: dict[tuple[str, str], int] = {}  # (path, word), no word for a tag
+        self.sizes: dict[int, list[int]] = {}
+        self.sums = [np.zeros(0, dtype=np.int64) for _ in range(5)]  # n, v1, v2, least, most
+        self.pages, self.pending = 0, ([], [], [], [])
+
+    def add(self, page: Page, key: int) -> None:
+        index, (at, counts, keys, lengths) = self.index, self.pending
+        words = Counter((node.path, w) for node, text in page.pieces if text != BREAK and not node.clutter for w in text.split())
+        tags = [(path, n) for path, n in page.counts.items() if path not in page.clutter]
+        before, own = len(at), slot_sizes(page)
+        for path, n in tags:
+            at.append(index.setdefault((path, ""), len(index)))
+            counts.append(n)
+            if path in own:
+                size = self.sizes.setdefault(at[-1], [0, 0])
+                size[0] += own[path][0]
+                size[1] += own[path][1]
+        at += [index.setdefault(word, len(index)) for word in words]
+        counts += words.values()
+        keys.append(key)
+        lengths.append(len(at) - before)
+        self.pages += 1
+        if len(at) >= PENDING_TOKENS:
+            self._fold()
+
+    def _fold(self) -> None:
+        at, counts, keys, lengths = (np.array(c, dtype=np.int64) for c in self.pending)
+        more = len(self.index) - len(self.sums[0])
+        starts = (0, 0, 0, np.iinfo(np.int64).max, 0)
+        self.sums = [np.append(c, np.full(more, start, dtype=np.int64)) for c, start in zip(self.sums, starts, strict=True)]
+        n, v1, v2, least, most = self.sums
+        mark = np.repeat(mix(keys.view(U)), lengths)
+        np.add.at(n, at, 1)
+        np.add.at(v1, at, (mark & U(0xFFFFFFFF)).view(np.int64))
+        np.add.at(v2, at, (mark >> U(32)).view(np.int64))
+        np.minimum.at(least, at, counts)
+        np.maximum.at(most, at, counts)
+        self.pending = ([], [], [], [])
+
+    def rows(self, host: str, least_pages: float) -> pa.RecordBatch:
+        """The tokens on at least so many of the pages."""
+        self._fold()
+        kept = np.flatnonzero(self.sums[0] >= least_pages)
+        names = list(self.index)
+        keys, sizes = [names[i] for i in kept.tolist()], [self.sizes.get(i, (0, 0)) for i in kept.tolist()]
+        columns = [
+            pa.array([host] * len(keys), pa.string()), as_long(np.array([token(*k) for k in keys], dtype=U)),
+            pa.array([None if word else path for path, word in keys], pa.string()), *(pa.array(c[kept]) for c in self.sums),
+            *(pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1)), pa.array([self.pages] * len(keys), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["host", "token", "path", "n", "v1", "v2", "least", "most", "text", "links", "seen"])
+
+
+def page_tokens(pages: DataFrame, share: float, support: float, least_pages: int) -> DataFrame:
+    """(host, token, path, n, v1, v2, least, most, text, links, seen): tokens of the pages, by chunk of a host, words without a path.
+
+    ``pages`` has (host, html, page, chunk, chunks). Equal pages meet in a chunk and count once; ``seen`` is the number of the
+    chunk's pages. Tokens below the ``share`` of these pages stay behind, or below the support if the host is one chunk.
     """
-    copies = pages.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    shared = share(pages.sparkSession, bitmap(copies.select("page")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = last = found = None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if found is not None:
+                yield found.rows(group[0], max(least_pages, support * found.pages) if group[2] == 1 else share * found.pages)
+
         for batch in small_batches(batches, "html"):
-            keys = batch.column("page")
-            copied = in_bitmap(shared.value, keys.to_numpy())
-            rows, tokens, paths, counts, sizes = [], [], [], [], []
-            for row, source in enumerate(batch.column("html").to_pylist()):
-                page = read_page(source)
-                own = slot_sizes(page)
-                words = Counter((node.path, w) for node, text in page.pieces if text != BREAK and not node.clutter for w in text.split())
-                tags = [(path, n) for path, n in page.counts.items() if path not in page.clutter]
-                tokens += [token(path) for path, _ in tags] + [token(*w) for w in words]
-                paths += [path for path, _ in tags] + [None] * len(words)
-                counts += [n for _, n in tags] + list(words.values())
-                sizes += [own.get(path, (0, 0)) for path, _ in tags] + [(0, 0)] * len(words)
-                rows += [row] * (len(tags) + len(words))
-            at = pa.array(rows, pa.int64())
-            text, links = zip(*sizes, strict=True) if sizes else ((), ())
-            page_of = keys.take(at).to_numpy()
-            mark, count = mix(page_of.view(U)), pa.array(counts, pa.int64())
-            found = pa.table({
-                "host": batch.column("host").take(at), "token": as_long(np.array(tokens, dtype=U)), "path": pa.array(paths, pa.string()),
-                "copied": pa.array(page_of, mask=~copied[np.array(rows, dtype=np.int64)]),
-                "n": pa.array(np.ones(len(rows), dtype=np.int64)), "v1": as_long(mark & U(0xFFFFFFFF)), "v2": as_long(mark >> U(32)),
-                "least": count, "most": count, "text": pa.array(text, pa.int64()), "links": pa.array(links, pa.int64()),
-            })
-            folds = [("n", "sum"), ("v1", "sum"), ("v2", "sum"), ("least", "min"), ("most", "max"), ("text", "sum"), ("links", "sum")]
-            folded = found.group_by(["host", "token", "path", "copied"], use_threads=False).aggregate(folds)
-            names = ["host", "token", "path", "copied", *(f"{c}_{f}" for c, f in folds)]
-            yield from folded.select(names).rename_columns(["host", "token", "path", "copied", *(c for c, _ in folds)]).to_batches()
-
-    longs = ", ".join(f"{c} long" for c in ("copied", "n", "v1", "v2", "least", "most", "text", "links"))
-    return pages.mapInArrow(read, f"host string, token long, path string, {longs}")
-
-
-def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
+            columns = (batch.column(c).to_pylist() for c in ("host", "chunk", "chunks", "page", "html"))
+            for host, chunk, chunks, key, source in zip(*columns, strict=True):
+                if (host, chunk, chunks) != group:
+                    yield from result()
+                    group, last, found = (host, chunk, chunks), None, HostTokens()
+                if key != last:
+                    found.add(read_page(source), key)
+                    last = key
+        yield from result()
+
+    longs = ", ".join(f"{c} long" for c in ("n", "v1", "v2", "least", "most", "text", "links", "seen"))
+    dealt = pages.select("host", "chunk", "chunks", "page", "html").repartition("host", "chunk").sortWithinPartitions("host", "chunk", "page")
+    return dealt.mapInArrow(read, f"host string, token long, path string, {longs}")
+
+
+def token_vectors(pages: DataFrame, support: float, least_pages: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(host, token, path, n, v1, v2, least, most, text, links, pages): the tokens with the support of the host's pages.
+
+    A host's pages are dealt by their key to chunks of about ``chunk_chars``. A token with the support has at least half that
+    share in some chunk, so each chunk sends only those. Where a token that may reach the support was left behind in
+    another chunk, its host is read again and nothing is left behind, so no count is an estimate.
+    """
+    sizes = pages.select("host", "page", F.length("html").alias("chars")).distinct().groupBy("host")
+    hosts = pin(sizes.agg(F.count(F.lit(1)).alias("pages"), F.greatest(F.lit(1), F.ceil(F.sum("chars") / chunk_chars)).cast("long").alias("chunks")))
+    # one row per chunk_chars of pages at most
+    large = F.broadcast(hosts.where("chunks > 1").select("host", "chunks"))
+    rows = pages.join(large, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod("page", "chunks"))
+
+    def vectors(rows: DataFrame, share: float) -> DataFrame:
+        summed = page_tokens(rows, share, support, least_pages).groupBy("host", "token", "path").agg(
+            *(F.sum(c).alias(c) for c in ("n", "v1", "v2", "text", "links", "seen")), F.min("least").alias("least"), F.max("most").alias("most")
+        ).join(hosts, "host")
+        left = (F.col("pages") - F.col("seen")) * share
+        return summed.where((F.col("n") + left >= F.col("pages") * support) & (F.col("n") + left >= least_pages))
+
+    found = pin(vectors(rows, support / 2))
+    unsure = found.where("seen < pages").select("host").distinct()
+    if not unsure.isEmpty():
+        again = pin(vectors(rows.join(F.broadcast(unsure), "host", "left_semi"), 0.0))
+        found = found.join(unsure, "host", "left_anti").unionByName(again)
+    return found
+
+
+def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(host, slots, words): the article and main elements and the words of each host's template, from (host, html, page).
 
     Tokens that occur on the same pages are a class. A class is valid if it has ``least_tokens`` and at least ``support`` of the
     host's pages and ``least_pages``. Words belong to the template if their class is valid and their number is the same on
     each page of it; a main slot needs no class of that size, but occurs once a page. Equal pages count as one.
     """
-    # dealt out once for both steps; tasks fold their pages before
-    by_copy = page_tokens(pages).repartition("host", "token").groupBy("host", "token", "path", "copied").agg(
-        *(F.sum(c).alias(c) for c in ("n", "v1", "v2", "text", "links")), F.min("least").alias("least"), F.max("most").alias("most")
-    )
-
-    def once(column: str) -> Column:
-        return F.sum(F.when(F.col("copied").isNull(), F.col(column)).otherwise(F.expr(f"{column} div n"))).alias(column)
-
-    vectors = by_copy.groupBy("host", "token", "path").agg(
-        once("v1"), once("v2"), F.min("least").alias("least"), F.max("most").alias("most"), once("text"), once("links"), once("n")
-    )
-    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     members = F.collect_list(F.struct("token", "path", "least", "most", "text", "links"))
     classes = (
-        vectors.join(hosts, "host").where((F.col("n") >= F.col("pages") * support) & (F.col("n") >= least_pages))
+        token_vectors(pages, support, least_pages, chunk_chars)
         .groupBy("host", "v1", "v2").agg(members.alias("members"))
         .select("host", (F.size("members") >= least_tokens).alias("valid"), F.explode("members").alias("m"))
         .select("host", "valid", "m.*")
