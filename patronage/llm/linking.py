@@ -91,6 +91,10 @@ class Fronts:
         size = F.floor(F.col(f"{x}.n") * (self.den - self.num) / self.den) + 1
         return F.floor(F.col(f"{x}.place") * size / 256)
 
+    def low(self, x: str) -> Column:
+        """The place is within the part of the bound of the smaller set of a pair."""
+        return self.place(x) * (self.den + self.num) <= F.col(f"{x}.n") * (self.den - self.num)
+
     def possible(self, x: str, y: str) -> Column:
         shared = (F.col(f"{x}.n") + F.col(f"{y}.n")) * self.num
         return ((F.col(f"{x}.n") - self.place(x)) * (self.den + self.num) >= shared) & (
@@ -157,10 +161,16 @@ def front_components(members: DataFrame, sets: DataFrame, verify: Callable[[Data
     named = rows.join(roots, "id", "left").select("key", "id", "place", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     rest = pin(named.join(mixed.select("key"), "key", "left_semi").join(sets, "id"))
-    # of a pair, the smaller set has the first shared element within its own part of the bound
-    low = rest.alias("x").where(fronts.place("x") * (den + num) <= F.col("x.n") * (den - num))
+    # of a pair, the smaller set has the first shared element within its own part of the bound; as one condition on both
+    # sides, it leaves them alike, so that the rows are dealt out once
+    low = F.when(F.col("x.n") <= F.col("y.n"), fronts.low("x")).otherwise(fronts.low("y"))
     crossing = (
-        low.join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & fronts.possible("x", "y") & few_odd("x", "y", num, den))
+        rest.alias("x")
+        .join(
+            rest.alias("y"),
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+            & low & fronts.possible("x", "y") & few_odd("x", "y", num, den),
+        )
         .select(*pair()).distinct()
     )
     crossing = pin(crossing)
@@ -170,15 +180,28 @@ def front_components(members: DataFrame, sets: DataFrame, verify: Callable[[Data
     return roots if new.isEmpty() else components(links.unionByName(new))
 
 
-def parity_marks(elements: np.ndarray) -> np.ndarray:
-    """1,024 bits, each the parity of the elements that fall on it, as 16 longs.
+def parity_marks(elements: np.ndarray, bits: int = MARK_BITS) -> np.ndarray:
+    """1,024 bits or another power of two, each the parity of the elements that fall on it, as longs.
 
     Two sets differ in at least as many elements as their marks differ in bits, so marks rule out pairs and never a link.
     """
-    odd = np.bincount((elements & np.uint64(MARK_BITS - 1)).astype(np.int64), minlength=MARK_BITS).astype(np.uint8) & 1
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
+def wide_marks(elements: np.ndarray) -> bytes | None:
+    """Parity marks of at least as many bits as elements, for sets that would fill the marks of fixed size."""
+    return parity_marks(elements, 1 << (len(elements) - 1).bit_length()).tobytes() if len(elements) > MARK_BITS else None
+
+
+def odd_bits(a: bytes, b: bytes) -> int:
+    """In how many bits two wide marks differ, the longer ones folded to the length of the others."""
+    x, y = sorted((np.frombuffer(m, dtype=np.uint64) for m in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def few_odd(x: str, y: str, num: int, den: int) -> Column:
     """The marks of x and y differ in no more bits than linked sets of their sizes differ in elements."""
     bits = F.zip_with(f"{x}.marks", f"{y}.marks", lambda a, b: F.bit_count(a.bitwiseXOR(b)))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.linking import Fronts, bitmap, free_names, free_shuffles, front_components, in_bitmap, parity_marks, share, text_key
+from patronage.llm.linking import Fronts, bitmap, free_names, free_shuffles, front_components, in_bitmap, odd_bits, parity_marks, share, text_key, wide_marks
 from patronage.llm.textops import U, as_long, mix, mix_one, per_text, shingles, small_batches, words
 from patronage.session import pin
 
@@ -50,11 +50,11 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
         yield batch, list(per_text(*shingles(*words(batch.column("text")), size)))
 
 
-SETS = "doc_id long, text_key long, n_shingles long, set_key long, marks array<long>"
+SETS = "doc_id long, text_key long, n_shingles long, set_key long, marks array<long>, wide binary"
 
 
 def document_sets(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key, marks) for every row; equal sets have equal keys, an empty set has none."""
+    """(doc_id, text_key, n_shingles, set_key, marks, wide) for every row; equal sets have equal keys, an empty set has none."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, similarity.size):
@@ -63,8 +63,9 @@ def document_sets(docs: DataFrame, similarity: Similarity) -> DataFrame:
                     batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signed(_set_key(s)) if len(s) else None for s in sets], pa.int64()),
                     pa.array([parity_marks(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([wide_marks(s) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "text_key", "n_shingles", "set_key", "marks"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "marks", "wide"],
             )
 
     return _rows(docs).mapInArrow(describe, SETS)
@@ -132,7 +133,7 @@ def set_fronts(docs: DataFrame, similarity: Similarity, levels: np.ndarray) -> D
 
 
 def _grams(docs: DataFrame, wanted: np.ndarray, similarity: Similarity) -> DataFrame:
-    """(id, fragment, grams) of the sets in the bitmap ``wanted``, partitioned by id; a repeated set comes once."""
+    """(id, fragment, grams) of the sets in the bitmap ``wanted``, partitioned by both; a repeated set comes once."""
     shared = share(docs.sparkSession, wanted)
     cuts = [U(((1 << 64) - 1) // COUNT_FRAGMENTS * f) for f in range(1, COUNT_FRAGMENTS)]
 
@@ -151,7 +152,24 @@ def _grams(docs: DataFrame, wanted: np.ndarray, similarity: Similarity) -> DataF
                 )
 
     rows = docs.select("text").mapInArrow(segments, "id long, fragment int, grams array<long>")
-    return rows.repartition("id").dropDuplicates(["id", "fragment"])
+    return rows.repartition("id", "fragment").dropDuplicates(["id", "fragment"])
+
+
+def _alike(pairs: DataFrame, wide: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that wide marks (id, wide) do not rule out; a set without wide marks is never ruled out."""
+    num, den = similarity.num, similarity.den
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b"))
+            kept = [
+                a is None or b is None or odd_bits(a, b) * (den + num) <= (n_a + n_b) * (den - num) for a, b, n_a, n_b in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(kept, pa.bool_()))
+
+    a, b = (wide.select(F.col("id").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    joined = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    return joined.mapInArrow(keep, "a long, b long, n_a long, n_b long")
 
 
 def _components(docs: DataFrame, similarity: Similarity) -> DataFrame:
@@ -162,24 +180,27 @@ def _components(docs: DataFrame, similarity: Similarity) -> DataFrame:
     members = pin(fronts.members(set_fronts(docs, similarity, frequency_levels(docs, similarity))))
     free_shuffles(spark)
     described = sets.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("id")).agg(
-        F.first("n_shingles").alias("n"), F.first("marks").alias("marks")  # the same in all rows of a key
+        F.first("n_shingles").alias("n"), F.first("marks").alias("marks"), F.first("wide").alias("wide")  # the same in all rows of a key
     )
     near = members.select(F.explode(F.array("id", "centre")).alias("id")).distinct()
     described = pin(described.join(near, "id", "left_semi"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n_a, n_b) that are links: overlaps by fragment, summed."""
+        """The pairs (a, b, n_a, n_b) that are links: overlaps by fragment, summed, where wide marks leave it open."""
+        free_shuffles(spark)
+        pairs = pin(_alike(pairs, described.where("wide IS NOT NULL").select("id", "wide"), similarity))
         free_shuffles(spark)
         grams = _grams(docs, bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id"))), similarity)
-        a, b = (grams.select(F.col("id").alias(x), F.col("fragment").alias(f"fragment_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        partial = pairs.join(a, "a").join(b, "b").where("fragment_a = fragment_b").select(
+        a, b = (grams.select(F.col("id").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        parts = pairs.withColumn("fragment", F.explode(F.array(*map(F.lit, range(COUNT_FRAGMENTS)))))
+        partial = parts.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select(
             "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap")
         )
         summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         union = F.col("n_a") + F.col("n_b") - F.col("overlap")
         return summed.where(F.col("overlap") * similarity.den >= union * similarity.num).select("a", "b")
 
-    roots = front_components(members, described, verify, fronts).withColumnRenamed("id", "set_key")
+    roots = front_components(members, described.select("id", "n", "marks"), verify, fronts).withColumnRenamed("id", "set_key")
     named = pin(
         sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("low"))
         .join(roots, "set_key", "left")
