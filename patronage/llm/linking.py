@@ -12,37 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronage.session import pin
 
-MEMBER = "key long, id long, centre long"
 #: Slots of the fixed-size bitmap; it fills 2 MB whatever the input.
 SLOT_BITS = 24
 MARK_BITS = 1024
 
 
-def bucket_members(keys: DataFrame) -> DataFrame:
-    """(key, id) -> (key, id, centre): all members of a key with several ids but its smallest, the centre.
-
-    Rows of a key are read in order as a stream, so a large key is never held in memory; keys with one id
-    vanish here. A row emits many keys, so one group of near copies is spread over as many keys.
-    """
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_id = centre = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ident = (batch.column(i).to_numpy() for i in (0, 1))
-            first = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
-            again = np.append(not first[0] and ident[0] == last_id, ident[1:] == ident[:-1]) & ~first
-            begun = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            centres = np.where(begun < 0, 0 if centre is None else centre, ident[begun])
-            keep = (ident != centres) & ~again
-            last_key, last_id, centre = key[-1], ident[-1], centres[-1]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ident, centres)], ["key", "id", "centre"])
-
-    return keys.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(stream, MEMBER)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as (id, root), root the smallest id; a root has no row of its own.
 
@@ -209,41 +183,42 @@ def few_odd(x: str, y: str, num: int, den: int) -> Column:
     return odd * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num)
 
 
-def linked_components(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Components (id, root) of the verified links among the members of each key.
+def half_marks(marks: str) -> Column:
+    """Parity marks of half the bits: each the parity of two."""
+    half = MARK_BITS // 128
+    return F.zip_with(F.slice(marks, 1, half), F.slice(marks, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
 
-    First each member is compared with the centre with which it shares most keys. Then all pairs of a key that are still in
-    different components, and that their sizes and marks (id, n, marks) do not rule out, are compared; pairs inside a
-    component cannot change the result and are not made. A pair that meets under several keys is made at the smallest.
+def linked_components(members: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Components (id, root) of the verified links among the members of each key, of sets (id, name, n, marks).
+
+    Members go by their names, which sets may share. First each member is compared with the centre with which it shares most
+    keys. Then all pairs of a key that are still in different components, and that their sizes and marks do not rule out, are
+    compared; pairs inside a component cannot change the result and are not made. Rows of keys have half of the marks, which
+    rule out most pairs before they are made.
     """
     counted = members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("keys"))
-    nearest = counted.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select("id", "best.centre")
-    x, y = marks.alias("x"), marks.alias("y")
+    nearest = counted.groupBy("id").agg(F.max(F.struct("keys", "centre")).alias("best")).select(F.col("id").alias("own"), "best.centre")
+    x, y = sets.alias("x"), sets.alias("y")
     sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
-    stars = (
-        nearest.join(x, F.col("x.id") == nearest["id"]).join(y, F.col("y.id") == nearest["centre"]).where(sizes & few_odd("x", "y", num, den))
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    )
+    pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
+    alike = sizes & few_odd("x", "y", num, den)
+    stars = nearest.join(x, F.col("x.name") == F.col("own")).join(y, F.col("y.name") == F.col("centre")).where(alike).select(*pair).distinct()
     links = pin(verify(stars))
     roots = components(links)
-    all_rows = members.select("key", "id").unionByName(members.select("key", F.col("centre").alias("id")).distinct())
-    named = _with_root(all_rows, roots)
+    all_rows = members.select("key", F.col("id").alias("name")).unionByName(members.select("key", F.col("centre").alias("name")).distinct())
+    named = pin(_with_root(all_rows.join(sets.select("name", "id", "n", half_marks("marks").alias("marks")), "name"), roots))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_rows = named.join(mixed.select("key"), "key", "left_semi")
-    own_keys = open_rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rest = pin(open_rows.join(own_keys, "id").join(marks, "id"))
-    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    crossing = (
-        rest.alias("x")
-        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & sizes & few_odd("x", "y", num, den) & here)
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-    )
+    rest = pin(named.join(mixed.select("key"), "key", "left_semi"))
+    meeting = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & alike
+    pairs = pin(rest.alias("x").join(rest.alias("y"), meeting).select(*pair).distinct())
+    crossing = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b")).where(alike).select("a", "b")
     new = pin(verify(crossing))
     return roots if new.isEmpty() else components(links.unionByName(new))
 
 
 def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    return rows.join(roots, "id", "left").select("key", "id", "n", "marks", F.coalesce("root", "id").alias("root"))
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
