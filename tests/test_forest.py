@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from patronage.operators import boosting, modelling
 from patronage.operators.forest import Forest, ForestModel, ForestTrainer, best_splits, class_counts, descend, forest_cuts, grow
 
 ROWS = 600
@@ -93,3 +94,43 @@ def test_stored_and_read_again(whole, rows, tmp_path):
 def test_rare_values_have_cuts(rows):
     cuts = forest_cuts(rows, 5, 32)
     assert cuts[3].tolist() == [0.5] and cuts[4].tolist() == [] and all(20 < len(c) < 32 for c in cuts[:3])
+
+
+def test_splits_are_those_of_sums_over_classes():
+    rng, s = np.random.default_rng(3), Forest(bins=8, leaf=5)
+    counts = np.repeat(rng.integers(0, 9, (200, 1, 8, 2)), 3, axis=1).astype(float)
+    for node in counts:
+        node[1], node[2] = node[1, rng.permutation(8)], node[2, rng.permutation(8)]
+    whole = counts[:, 0].sum(axis=1)
+    left = np.cumsum(counts, axis=2)[:, :, :-1]
+    right = whole[:, None, None] - left
+    n_left, n_right, n = left.sum(axis=3), right.sum(axis=3), whole.sum(axis=1)
+    both = (left**2).sum(axis=3) / np.maximum(n_left, 1) + (right**2).sum(axis=3) / np.maximum(n_right, 1)
+    gain = (both - ((whole**2).sum(axis=1) / n)[:, None, None]) / n[:, None, None]
+    gain = np.where((n_left >= s.leaf) & (n_right >= s.leaf), gain, -1.0).reshape(200, -1)
+    slot, place, most = best_splits(counts, s)
+    assert (slot * 7 + place == gain.argmax(axis=1)).all() and (most == gain.max(axis=1)).all()
+
+
+def test_rows_are_scored_once(spark):
+    """Curves and counts each scored the test rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def transform(self, df):
+            @F.pandas_udf("double")
+            def p(x: pd.Series) -> pd.Series:
+                seen.add(len(x))
+                return x / 100
+
+            scored = df.withColumn("_p", p(F.col("obs_recency_days")))
+            return scored.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))).withColumn("prediction", (F.col("_p") > 0.5).cast("double"))
+
+    columns = {c: F.lit(0.0) for c in modelling.NUMERIC} | {"obs_recency_days": F.col("id").cast("double"), "churned": (F.col("id") > 40).cast("int")}
+    found = modelling.compare_models({"m": Counting()}, spark.range(100).select(*[c.alias(n) for n, c in columns.items()])).collect()
+    assert seen.value == 100 and found[0]["true_positive"] == 49 and found[0]["roc_auc"] == 1.0
+
+
+def test_boosting_rows_are_dealt_to_many_tasks():
+    """720,000 training rows went to three tasks."""
+    assert 720_000 / boosting.TASK_ROWS > 7
